@@ -57,7 +57,8 @@ def inflate_rental(
 
     Step sums coincide (1 + 2 = 3), so copies collide. `on_conflict="skip"` keeps the earliest
     made row, i.e. the lowest (mask, source key); `"error"` fails the query at the first conflict.
-    The window groups by the unique key, so a group holds at most a few copies per step mask.
+    Source rows are never skipped, as they are in the table already. The window groups by the
+    unique key, so a group holds at most a few copies per step mask.
     """
     if on_conflict not in ("skip", "error"):
         raise ValueError("on_conflict must be 'skip' or 'error'")
@@ -73,7 +74,8 @@ def inflate_rental(
             grown = grown.withColumn(name, value)
     w = Window.partitionBy("rental_date", "inventory_id", "customer_id").orderBy("_mask", "_source")
     ranked = grown.withColumn("_rn", F.row_number().over(w))
+    stays = (F.col("_rn") == 1) | ~copy
     if on_conflict == "error":
-        guard = F.when(F.col("_rn") > 1, F.raise_error(F.lit("duplicate (rental_date, inventory_id, customer_id)")).cast("int"))
-        ranked = ranked.withColumn("_rn", F.coalesce(guard, F.col("_rn")))
-    return ranked.filter(F.col("_rn") == 1).select(*rental.columns)
+        conflict = F.raise_error(F.lit("duplicate (rental_date, inventory_id, customer_id)")).cast("boolean")
+        stays = F.when(stays, F.lit(True)).otherwise(conflict)
+    return ranked.filter(stays).select(*rental.columns)

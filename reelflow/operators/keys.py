@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dense_index(df: DataFrame, key: str, name: str = "idx", slices: int = 1024) -> DataFrame:
+def dense_index(df: DataFrame, key: str, name: str = "idx", slices: int = 8191) -> DataFrame:
     """Number all rows 0..n-1 by (`key % slices`, `key`) without gathering them in one task.
 
     Each slice is numbered by its own window task; the slice offsets come from one running sum
-    over at most `slices` rows. The key must be an integer column and unique, which keeps
-    slices even; raise `slices` with the table so that one slice fits a task.
+    over at most `slices` rows. The key must be an integer column and unique; a prime number of slices keeps
+    them even for keys built with a stride. Raise `slices` with the table so that one slice fits a task.
     """
     slice_no = F.pmod(F.col(key), F.lit(slices))
     sliced = df.withColumn("_slice", slice_no)

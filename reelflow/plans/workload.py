@@ -61,6 +61,9 @@ def fulltext_search(
         min_len,
         max_doc_share,
     )
+    if ordered:
+        # The final sort samples its input first; the exchange keeps that from scoring twice.
+        found = found.repartition("film_id")
     hits = found.join(t.film.select("film_id", "title"), "film_id").select(
         "film_id",
         "title",

@@ -69,7 +69,12 @@ def overwrite_full(df: DataFrame, path: str) -> str:
 
 
 def overwrite_range(
-    target: str, new_rows: DataFrame, first: date | str, last: date | str, column: str = "sales_date"
+    target: str,
+    new_rows: DataFrame,
+    first: date | str,
+    last: date | str,
+    column: str = "sales_date",
+    tasks: int | None = None,
 ) -> None:
     """Replace `column BETWEEN first AND last` of a stored daily table by `new_rows`.
 
@@ -77,6 +82,10 @@ def overwrite_range(
     partition overwrite, days outside the range are not touched. Days in the range without new
     rows are dropped afterwards, since a dynamic overwrite leaves them behind. `new_rows` must not
     read from `target` and must lie inside the range.
+
+    By default adaptive execution sizes the write tasks by bytes and splits a day that holds much
+    of the data. A table of few bytes over many days is better written by a fixed number of
+    `tasks`, because opening its files is most of the work.
     """
     spark = new_rows.sparkSession
     lo, hi = as_date(first), as_date(last)
@@ -84,12 +93,14 @@ def overwrite_range(
     outside = F.raise_error(F.lit("row outside the overwritten range")).cast("boolean")
     before = _stored_days(spark, target, column, lo, hi)
     seen = Observation()
-    (
+    rows = (
         new_rows.filter(F.when(inside, F.lit(True)).otherwise(outside))
         .observe(seen, F.collect_set(column).alias("days"))  # at most one value per calendar day
         .withColumn(MONTH_FOLDER, month_start(column))
-        .hint("rebalance", F.col(column))
-        .write.mode("overwrite")
+    )
+    spread = rows.hint("rebalance", F.col(column)) if tasks is None else rows.repartition(tasks, column)
+    (
+        spread.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(MONTH_FOLDER, column)
         .parquet(target)

@@ -121,7 +121,7 @@ def _uuid(seed: str, key: str) -> str:
 
 
 def _dense(table: str, key: str) -> str:
-    return f"select {key}, row_number() over (order by {key} % 1024, {key}) - 1 idx from {table}"
+    return f"select {key}, row_number() over (order by {key} % 8191, {key}) - 1 idx from {table}"
 
 
 PER_DAY = "(select count(*) // 30 + 1 from x_inventory)"
@@ -437,7 +437,7 @@ def oracle_sql() -> dict[str, str]:
         select customer_id, year(rental_date)::integer y, count(*) n, count(return_date) n_returned,
                sum((source * 32 + mask) % 1000003)::bigint key_sum
         from (select *, row_number() over (partition by rental_date, inventory_id, customer_id order by mask, source) k from grown)
-        where k = 1 group by customer_id, year(rental_date)""",
+        where k = 1 or mask = 0 group by customer_id, year(rental_date)""",
         grown=_grown("x_rental", "rental_id", {"rental_date": "rental_date + interval {y} year",
                      "return_date": "return_date + interval {y} year"}, ["inventory_id", "customer_id"])))
     add("inflate_payment", with_roles("""

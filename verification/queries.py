@@ -83,10 +83,10 @@ def overwrite_range_query(spark: SparkSession, sf: str, t: RentalTables) -> Data
     """All days are stored; 1998 is then replaced by the days that had a payment over 100,000."""
     path = sinks.shared_dir(spark)
     daily = _yearly(t)
-    sinks.overwrite_range(path, daily, FIRST_DAY, LAST_DAY)
+    sinks.overwrite_range(path, daily, FIRST_DAY, LAST_DAY, tasks=16)
     big = _yearly(t.replacing(payment=t.payment.filter("amount > 100000")))
     inside = big.filter(F.col("sales_date").between(F.lit("1998-01-01").cast("date"), F.lit("1998-12-31").cast("date")))
-    sinks.overwrite_range(path, inside, "1998-01-01", "1998-12-31")
+    sinks.overwrite_range(path, inside, "1998-01-01", "1998-12-31", tasks=16)
     return sinks.read_daily(spark, path, FIRST_DAY, LAST_DAY)
 
 
