@@ -38,12 +38,33 @@ def append_with_keys(target: DataFrame, rows: DataFrame, key: str, copy: Column
     return old.unionByName(new.select(*old.columns))
 
 
-def left_join_spread_nulls(left: DataFrame, right: DataFrame, key: str, spread_by: str, slices: int = 256) -> DataFrame:
-    """Left join in which rows with a NULL key are spread over many tasks.
+def left_join_spread_nulls(left: DataFrame, right: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """Left join on an integer key in which rows with a NULL key are spread over many tasks.
 
-    NULL keys never match, yet a plain shuffle sends all of them to one task. Here they carry a
-    slice number taken from `spread_by` as a second join key; rows with a key carry 0 on both sides.
+    NULL keys never match, yet a plain shuffle sends all of them to one task. Here both sides are
+    joined on a second key as well: the key itself, or for a NULL key a number taken from
+    `spread_by`. The first key keeps NULLs from matching, the second one spreads them.
     """
-    part = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(slices)) + 1).otherwise(F.lit(0))
-    marked = right.withColumn("_part", F.lit(0).cast("long"))
-    return left.withColumn("_part", part.cast("long")).join(marked, [key, "_part"], "left").drop("_part")
+    stand_in = -1 - F.pmod(F.xxhash64(spread_by), F.lit(1 << 40))
+    marked = left.withColumn("_place", F.coalesce(F.col(key), stand_in)).alias("l")
+    other = right.withColumn("_place", F.col(key)).alias("r")
+    joined = marked.join(other, (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l._place") == F.col("r._place")), "left")
+    return joined.select("l.*", *[F.col(f"r.{c}") for c in right.columns if c != key]).drop("_place")
+
+
+def salted_join(
+    left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "inner", slices: int = 8
+) -> DataFrame:
+    """Join in which the rows of one `left` key go to `slices` tasks.
+
+    For a right side that is itself the result of joins on the same key: its partitioning would be
+    reused as it is, and adaptive execution splits a hot key only between two fresh exchanges. The
+    salted key makes both sides exchange, so a hot key is first cut into `slices` and then split
+    further where it is still too large. The right side is repeated `slices` times, so it should be
+    the much smaller one. `spread_by` is a column of `left` that varies within a key.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("salted_join supports inner and left joins")
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(slices)).cast("int"))
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    return salted.join(repeated, [key, "_salt"], how).drop("_salt")

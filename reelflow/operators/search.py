@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,15 +55,18 @@ def query_terms(query: str, stopwords: Sequence[str] = STOPWORDS, min_len: int =
     return dict(Counter(w for w in words if len(w) >= min_len and w not in stopwords))
 
 
+def _has_term(text: Column, term: str) -> Column:
+    """Whole-word test. The plain substring test is cheap and settles most documents."""
+    return text.contains(term) & text.rlike(f"(?<![{WORD_CLASS}]){re.escape(term)}(?![{WORD_CLASS}])")
+
+
 def _any_term(text: Column, terms: Sequence[str]) -> Column:
-    """Whole-word test for any of the terms, without building the word list.
+    """Whole-word test for any of the terms in one pass, without building the word list.
 
-    The plain substring test is far cheaper than the pattern and settles most documents.
+    One pattern, because a filter evaluates its input text anew for every mention.
     """
-    parts = [
-        text.contains(t) & text.rlike(f"(?<![{WORD_CLASS}]){re.escape(t)}(?![{WORD_CLASS}])") for t in terms
-    ]
-    return reduce(lambda a, b: a | b, parts)
+    alternatives = "|".join(re.escape(t) for t in terms)
+    return text.rlike(f"(?<![{WORD_CLASS}])(?:{alternatives})(?![{WORD_CLASS}])")
 
 
 def _length_terms(words: Column) -> Column:
@@ -96,7 +98,7 @@ def _document_frequencies(docs: DataFrame, cols: Sequence[str], terms: Sequence[
     """One row: N and, per query term, the number of documents that hold it."""
     text = _document_text(cols)
     return docs.select(text.alias("_text")).agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(_any_term(F.col("_text"), [t])).alias(f"nf{i}") for i, t in enumerate(terms)]
+        F.count(F.lit(1)).alias("n"), *[F.count_if(_has_term(F.col("_text"), t)).alias(f"nf{i}") for i, t in enumerate(terms)]
     )
 
 
@@ -165,7 +167,7 @@ def matching_documents(
     text = F.col("_text")
     useful = F.lit(False)
     for i, term in enumerate(terms):
-        useful = useful | ((F.col("_w")[i] > 0) & _any_term(text, [term]))
+        useful = useful | ((F.col("_w")[i] > 0) & _has_term(text, term))
     return (
         docs.withColumn("_text", _document_text(cols))
         .filter(_any_term(text, terms))
@@ -187,7 +189,7 @@ def term_positions(docs: DataFrame, cols: Sequence[str], min_len: int = 1, stopw
         .repartition("film_id")
         .select("film_id", F.posexplode(tokens(cols, stopwords, min_len)).alias("pos", "term"))
     )
-    return words.groupBy("film_id", "term").agg(F.array_sort(F.collect_list(F.col("pos") + 1)).alias("positions"))
+    return words.groupBy("film_id", "term").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
 
 
 def build_term_vectors(docs: DataFrame, cols: Sequence[str] = ("title", "description")) -> DataFrame:
@@ -195,7 +197,7 @@ def build_term_vectors(docs: DataFrame, cols: Sequence[str] = ("title", "descrip
     vectors = (
         term_positions(docs, cols)
         .groupBy("film_id")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "positions")))).alias("fulltext"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("fulltext"))
     )
     empty = F.create_map().cast("map<string,array<int>>")
     return docs.select("film_id").join(vectors, "film_id", "left").withColumn("fulltext", F.coalesce("fulltext", empty))

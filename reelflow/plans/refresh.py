@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reelflow.functions.scalars import as_date, as_datetime, ntz, strict_greatest, within_days
 from reelflow.operators.changes import delete_where, deleted_keys, replace_range, update_join
-from reelflow.operators.keys import left_join_spread_nulls
+from reelflow.operators.keys import left_join_spread_nulls, salted_join
 from reelflow.sources.tables import RentalTables
 
 
@@ -30,11 +30,9 @@ def refresh_sales_rollup(
     is prepared on its own, so the facts pass through two joins and one aggregate.
     """
     categories = t.film_category.select("film_id", "category_id").join(t.film.select("film_id"), "film_id", "left_semi")
-    copies = (
-        t.inventory.select("inventory_id", "film_id", "store_id")
-        .join(t.store.select("store_id"), "store_id", "left_semi")
-        .join(categories, "film_id", "left")
-        .select("inventory_id", "store_id", F.coalesce("category_id", F.lit(0)).cast("long").alias("category_id"))
+    stocked = t.inventory.select("inventory_id", "film_id", "store_id").join(t.store.select("store_id"), "store_id", "left_semi")
+    copies = salted_join(stocked, categories, "film_id", "inventory_id", "left").select(
+        "inventory_id", "store_id", F.coalesce("category_id", F.lit(0)).cast("long").alias("category_id")
     )
     sold = t.payment.filter(within_days("payment_date", start, end) & F.col("rental_id").isNotNull()).select(
         "rental_id", "amount", F.to_date("payment_date").alias("sales_date")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelflow.functions.aggregates import group_concat
 from reelflow.functions.scalars import capitalise, full_name
+from reelflow.operators.keys import salted_join
 from reelflow.plans._facts import category_names, paid_per_copy, place
 from reelflow.sources.tables import RentalTables
 
@@ -51,7 +52,7 @@ def _film_cast(t: RentalTables, name: Column) -> DataFrame:
         t.film_actor.select("film_id", "actor_id")
         .join(t.actor.select("actor_id", name.alias("actor_name")), "actor_id")
         .groupBy("film_id")
-        .agg(F.array_sort(F.collect_list("actor_name")).alias("cast"))
+        .agg(F.sort_array(F.collect_list("actor_name")).alias("cast"))
     )
     listed = F.when(F.col("times") == 1, F.col("cast")).otherwise(
         F.flatten(F.transform("cast", lambda n: F.array_repeat(n, F.col("times").cast("int"))))
@@ -138,18 +139,16 @@ def actor_info(t: RentalTables) -> DataFrame:
     films stay separate entries.
     """
     categories = t.film_category.join(t.category.select("category_id", F.col("name").alias("category")), "category_id")
+    films = t.film.select("film_id", "title").join(categories.select("film_id", "category_id", "category"), "film_id")
     per_category = (
-        t.film_actor.select("actor_id", "film_id")
-        .join(t.film.select("film_id", "title"), "film_id")
-        .join(categories.select("film_id", "category_id", "category"), "film_id")
+        salted_join(t.film_actor.select("actor_id", "film_id"), films, "film_id", "actor_id")
         .groupBy("actor_id", "category_id", "category")
         .agg(group_concat("title").alias("titles"))
     )
     info = (
-        per_category.select("actor_id", F.concat("category", F.lit(": "), "titles").alias("entry"), "category")
-        .distinct()
+        per_category.select("actor_id", "category", F.concat("category", F.lit(": "), "titles").alias("entry"))
         .groupBy("actor_id")
-        .agg(F.array_sort(F.collect_list(F.struct("category", "entry"))).alias("entries"))
+        .agg(F.sort_array(F.collect_set(F.struct("category", "entry"))).alias("entries"))
         .select("actor_id", F.array_join(F.transform("entries", lambda e: e["entry"]), "; ").alias("film_info"))
     )
     return t.actor.select("actor_id", "first_name", "last_name").join(info, "actor_id", "left")

@@ -209,15 +209,13 @@ def audit_changes_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFr
 
 def term_vectors(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
     """Number of terms and of positions, first term and its positions per film."""
-    first = F.map_entries("fulltext")
+    first = F.array_min(F.map_keys("fulltext"))
     return search.build_term_vectors(t.film_text).select(
         "film_id",
         F.size("fulltext").cast("long").alias("n_terms"),
         F.aggregate(F.map_values("fulltext"), F.lit(0).cast("long"), lambda a, p: a + F.size(p)).alias("n_positions"),
-        F.when(F.size("fulltext") > 0, F.array_min(F.map_keys("fulltext"))).alias("first_term"),
-        F.array_join(F.array_min(F.filter(first, lambda e: e["key"] == F.array_min(F.map_keys("fulltext"))))["value"], ",").alias(
-            "first_positions"
-        ),
+        first.alias("first_term"),
+        F.array_join(F.element_at("fulltext", first), ",").alias("first_positions"),
     )
 
 
