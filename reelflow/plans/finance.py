@@ -73,9 +73,9 @@ def rewards_report(
     """All columns of the customers above both limits (strictly) in one calendar month."""
     amount = Decimal(str(min_dollar_amount))
     if min_monthly_purchases <= 0:
-        raise ValueError("Minimum monthly purchases parameter must be > 0")
+        raise ValueError("min_monthly_purchases must be positive")
     if amount <= 0:
-        raise ValueError("Minimum monthly dollar amount purchased parameter must be > $0.00")
+        raise ValueError("min_dollar_amount must be positive")
     first, last = reward_month(as_of, months_back)
     best = (
         t.payment.filter(within_days("payment_date", first, last))

@@ -13,6 +13,8 @@ the id. Catalyst drops the window from every query that does not read `payment_i
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,7 @@ def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def role_tables(spark: SparkSession, sf_dir: str) -> RentalTables:
     """The whole star schema over the test tables in `sf_dir`."""
 
+    @cache
     def src(name: str) -> DataFrame:
         return driver_table(spark, sf_dir, name)
 

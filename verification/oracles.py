@@ -24,36 +24,37 @@ SALES = """
     from x_payment p join x_rental r on r.rental_id = p.rental_id join x_inventory i on i.inventory_id = r.inventory_id"""
 
 CAST = """
-    select f.film_id "FID", f.title, f.description, c.name category, f.rental_rate::double price, f.length, f.rating,
-           string_agg({name}, ', ' order by {name}) actors
-    from x_film f join x_film_category fc on fc.film_id = f.film_id join x_category c on c.category_id = fc.category_id
-         join x_film_actor fa on fa.film_id = f.film_id join x_actor a on a.actor_id = fa.actor_id
-    group by f.film_id, f.title, f.description, c.name, f.rental_rate, f.length, f.rating"""
+    select f.film_id "FID", f.title, f.description, g.name category, f.rental_rate::double price, f.length, f.rating, l.actors
+    from x_film f
+         join (select fc.film_id, c.name from x_film_category fc join x_category c using (category_id)) g using (film_id),
+         lateral (select string_agg({name}, ', ' order by {name}) actors
+                  from x_film_actor b join x_actor a using (actor_id) where b.film_id = f.film_id) l
+    where l.actors is not null"""
 
 ROLLUP = """
-    select cast(p.payment_date as date) sales_date, i.store_id, coalesce(fc.category_id, 0) category_id,
-           sum(p.amount) total_sales, count(*) tx_count
-    from {payment} p join {rental} r on r.rental_id = p.rental_id join x_inventory i on i.inventory_id = r.inventory_id
-         join x_store s on s.store_id = i.store_id
-         left join x_film f on f.film_id = i.film_id left join x_film_category fc on fc.film_id = f.film_id
-    where cast(p.payment_date as date) between date '{first}' and date '{last}'
+    select sales_date, store_id, category_id, sum(amount) total_sales, count(*) tx_count
+    from (select p.payment_date::date sales_date, p.amount, i.store_id, unnest(coalesce(k.ids, [0])) category_id
+          from {rental} r join {payment} p using (rental_id)
+               join x_inventory i on i.inventory_id = r.inventory_id and i.store_id in (select store_id from x_store)
+               left join (select film_id, list(category_id) ids from x_film_category semi join x_film using (film_id)
+                          group by film_id) k using (film_id))
+    where sales_date >= date '{first}' and sales_date <= date '{last}'
     group by all"""
 
 KPIS = """
-    select c.customer_id,
-           (select count(*) from {rental} r where r.customer_id = c.customer_id) rentals_count,
-           (select count(*) from {rental} r where r.customer_id = c.customer_id and r.return_date is null) active_rentals,
-           coalesce((select sum(p.amount) from {payment} p where p.customer_id = c.customer_id), 0)::decimal(18,2) total_spent,
-           (select max(p.payment_date) from {payment} p where p.customer_id = c.customer_id) last_payment,
-           (select max(r.rental_date) from {rental} r where r.customer_id = c.customer_id) last_rental
-    from x_customer c"""
+    select customer_id, count(*) filter (kind = 'rental') rentals_count, count(*) filter (kind = 'rental' and is_open) active_rentals,
+           coalesce(sum(amount), 0)::decimal(18,2) total_spent, max(happened) filter (kind = 'payment') last_payment,
+           max(happened) filter (kind = 'rental') last_rental
+    from (select customer_id, 'customer' kind, null is_open, null amount, null happened from x_customer
+          union all select customer_id, 'rental', return_date is null, null, rental_date from {rental}
+          union all select customer_id, 'payment', null, amount, payment_date from {payment}) semi join x_customer using (customer_id)
+    group by customer_id"""
 
 STATUS = """
-    select i.inventory_id, i.film_id, i.store_id,
-           not exists (select 1 from x_rental r where r.inventory_id = i.inventory_id and r.return_date is null) is_in_stock,
-           (select count(*) from x_rental r where r.inventory_id = i.inventory_id) total_rentals,
-           (select max(r.rental_date) from x_rental r where r.inventory_id = i.inventory_id) last_rental
-    from x_inventory i"""
+    select i.inventory_id, any_value(i.film_id) film_id, any_value(i.store_id) store_id,
+           count(*) filter (r.rental_id is not null and r.return_date is null) = 0 is_in_stock,
+           count(r.rental_id) total_rentals, max(r.rental_date) last_rental
+    from x_inventory i left join x_rental r using (inventory_id) group by i.inventory_id"""
 
 RAISED = f"""
     select p.payment_id, p.customer_id, p.payment_date,
@@ -319,21 +320,23 @@ def oracle_sql() -> dict[str, str]:
         having count(distinct x.rental_id) > 5""", place=PLACE, sales=SALES))
     add("customer_profile", with_roles("""
         select c.customer_id, upper(c.last_name) || ', ' || c.first_name || ' [' || strlen(c.email)::varchar || ']' client_profile,
-               (select sum(p.amount)::double from x_payment p where p.customer_id = c.customer_id) total_lifetime_value,
-               (select arg_min(f.title, (f.length is null, -f.length, f.title)) from x_rental r
-                    join x_inventory i on i.inventory_id = r.inventory_id join x_film f on f.film_id = i.film_id
-                where r.customer_id = c.customer_id) longest_rental_choice,
-               (select count(distinct fc.category_id) from x_rental r join x_inventory i on i.inventory_id = r.inventory_id
-                    join x_film_category fc on fc.film_id = i.film_id
-                where r.customer_id = c.customer_id) category_diversity_index,
-               (select sum(datediff('day', r.rental_date, r.return_date))::double / count(*) from x_rental r
-                where r.customer_id = c.customer_id and r.return_date is not null) avg_return_delay_days
-        from x_customer c where c.active"""))
+               v.paid::double total_lifetime_value, w.title longest_rental_choice, coalesce(k.n, 0) category_diversity_index,
+               d.kept::double / d.n avg_return_delay_days
+        from x_customer c
+             left join (select customer_id, sum(amount) paid from x_payment group by all) v using (customer_id)
+             left join (select customer_id, title from watched join x_film using (film_id)
+                        qualify row_number() over (partition by customer_id order by length desc nulls last, title) = 1) w using (customer_id)
+             left join (select customer_id, count(distinct category_id) n from watched join x_film_category using (film_id)
+                        group by all) k using (customer_id)
+             left join (select customer_id, sum(datediff('day', rental_date, return_date)) kept, count(*) n
+                        from x_rental where return_date is not null group by all) d using (customer_id)
+        where c.active""", watched="select r.customer_id, i.film_id from x_rental r join x_inventory i using (inventory_id)"))
     add("customer_activity_top", with_roles("""
-        select c.customer_id, count(r.rental_id) cnt, coalesce(sum(p.amount), 0)::double amt
-        from x_customer c left join x_rental r on r.customer_id = c.customer_id
-             left join x_payment p on p.customer_id = c.customer_id
-        group by c.customer_id order by coalesce(sum(p.amount), 0) desc, c.customer_id limit 200"""))
+        select customer_id, count(rental_id) cnt, coalesce(sum(amount), 0)::double amt
+        from x_customer left join (
+            select coalesce(r.customer_id, p.customer_id) customer_id, r.rental_id, p.amount
+            from x_rental r full join x_payment p on p.customer_id = r.customer_id) using (customer_id)
+        group by customer_id order by coalesce(sum(amount), 0) desc, customer_id limit 200"""))
 
     # --- search
     add("fulltext_search", with_roles("""
