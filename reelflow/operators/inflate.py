@@ -25,8 +25,24 @@ def _shift(column: str, years: Sequence[int]) -> Column:
     return shifted
 
 
-def _copies(df: DataFrame, years: Sequence[int]) -> DataFrame:
-    return df.withColumn("_mask", F.explode(F.sequence(F.lit(0), F.lit((1 << len(years)) - 1))))
+def _masks(years: Sequence[int]) -> list[int]:
+    return list(range(1 << len(years)))
+
+
+def _first_masks(years: Sequence[int]) -> list[int]:
+    """The lowest mask of every distinct total shift."""
+    first: dict[int, int] = {}
+    for mask in _masks(years):
+        first.setdefault(sum(y for bit, y in enumerate(years) if mask >> bit & 1), mask)
+    return sorted(first.values())
+
+
+def _copies(df: DataFrame, masks: Column) -> DataFrame:
+    return df.withColumn("_mask", F.explode(masks))
+
+
+def _array(values: Sequence[int]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
 
 
 def inflate_payment(payment: DataFrame, years: Sequence[int] = STEP_YEARS, as_of: str | None = None) -> DataFrame:
@@ -35,7 +51,7 @@ def inflate_payment(payment: DataFrame, years: Sequence[int] = STEP_YEARS, as_of
     New keys are `old key * 2**len(years) + mask`, the original being mask 0.
     """
     copy = F.col("_mask") != 0
-    grown = _copies(payment, years)
+    grown = _copies(payment, _array(_masks(years)))
     for name, value in {
         "payment_id": F.col("payment_id") * (1 << len(years)) + F.col("_mask"),
         "rental_id": F.when(~copy, F.col("rental_id")),
@@ -57,13 +73,24 @@ def inflate_rental(
 
     Step sums coincide (1 + 2 = 3), so copies collide. `on_conflict="skip"` keeps the earliest
     made row, i.e. the lowest (mask, source key); `"error"` fails the query at the first conflict.
-    Source rows are never skipped, as they are in the table already. The window groups by the
-    unique key, so a group holds at most a few copies per step mask.
+    Source rows are never skipped, as they are in the table already.
+
+    Only rentals of one copy and customer on the same day of the year can collide, so the source
+    rows are exchanged by those before they are copied: the exchange carries each rental once, not
+    once per mask, and the copies are compared where they are made. A group is one calendar day,
+    which holds a row or two per year. In skip mode, masks whose total shift a lower mask already
+    gives are left out, except for 29 February, where steps with one total can end on two days.
     """
     if on_conflict not in ("skip", "error"):
         raise ValueError("on_conflict must be 'skip' or 'error'")
+    leap_day = (F.month("rental_date") == 2) & (F.dayofmonth("rental_date") == 29)
+    day = F.month("rental_date") * 100 + F.when(leap_day, F.lit(28)).otherwise(F.dayofmonth("rental_date"))
+    every = _array(_masks(years))
+    masks = every if on_conflict == "error" else F.when(leap_day, every).otherwise(_array(_first_masks(years)))
+    group = ["inventory_id", "customer_id", "_day"]
+    source = rental.withColumn("_day", day).repartition(*group)
     copy = F.col("_mask") != 0
-    grown = _copies(rental, years).withColumn("_source", F.col("rental_id"))
+    grown = _copies(source, masks).withColumn("_source", F.col("rental_id"))
     for name, value in {
         "rental_id": F.col("rental_id") * (1 << len(years)) + F.col("_mask"),
         "rental_date": _shift("rental_date", years),
@@ -72,7 +99,7 @@ def inflate_rental(
     }.items():
         if name in rental.columns:
             grown = grown.withColumn(name, value)
-    w = Window.partitionBy("rental_date", "inventory_id", "customer_id").orderBy("_mask", "_source")
+    w = Window.partitionBy(*group, "rental_date").orderBy("_mask", "_source")
     ranked = grown.withColumn("_rn", F.row_number().over(w))
     stays = (F.col("_rn") == 1) | ~copy
     if on_conflict == "error":
