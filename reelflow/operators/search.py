@@ -21,7 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Short English stopword list commonly shipped with full-text indexes.
@@ -177,18 +177,23 @@ def matching_documents(
     )
 
 
-def term_positions(docs: DataFrame, cols: Sequence[str], min_len: int = 1, stopwords: Sequence[str] = ()) -> DataFrame:
-    """(film_id, term, positions): every word of every document with its 1-based positions.
+def _words_of(docs: DataFrame, cols: Sequence[str], min_len: int, stopwords: Sequence[str]) -> DataFrame:
+    """(film_id, pos, term): every word of every document.
 
-    Whole documents are shuffled once by their key, before the words are split out, so both this
-    grouping and the one in `build_term_vectors` run without a further exchange. The key is
-    unique, so a group is never larger than one document.
+    Whole documents are shuffled once by their key, before the words are split out, so everything
+    grouped by film (and term) afterwards runs without a further exchange. The key is unique, so a
+    group is never larger than one document.
     """
-    words = (
+    return (
         docs.select("film_id", *cols)
         .repartition("film_id")
         .select("film_id", F.posexplode(tokens(cols, stopwords, min_len)).alias("pos", "term"))
     )
+
+
+def term_positions(docs: DataFrame, cols: Sequence[str], min_len: int = 1, stopwords: Sequence[str] = ()) -> DataFrame:
+    """(film_id, term, positions): every word of every document with its 1-based positions."""
+    words = _words_of(docs, cols, min_len, stopwords)
     return words.groupBy("film_id", "term").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
 
 
@@ -203,21 +208,69 @@ def build_term_vectors(docs: DataFrame, cols: Sequence[str] = ("title", "descrip
     return docs.select("film_id").join(vectors, "film_id", "left").withColumn("fulltext", F.coalesce("fulltext", empty))
 
 
-def build_term_index(docs: DataFrame, cols: Sequence[str] = ("title", "description"), buckets: int = 256) -> DataFrame:
-    """Search index rows (bucket, term, film_id, dtf), to be written partitioned by `bucket`.
+def build_term_index(
+    docs: DataFrame,
+    cols: Sequence[str] = ("title", "description"),
+    buckets: int = 256,
+    stopwords: Sequence[str] = STOPWORDS,
+    min_len: int = 4,
+) -> DataFrame:
+    """Search index: (bucket, term, film_id, dtf, u, norm), one row per term and document.
 
-    A lookup reads only the buckets of its query words. A frequent term fills one bucket with many
-    rows but is never gathered: the rows stay separate.
+    `u` and `norm` are the document's number of terms and its sum of ln(dtf) + 1, repeated on
+    every row so that a lookup needs nothing else. The window over one document reuses the
+    partitioning of the word count.
     """
-    return (
-        term_positions(docs, cols)
-        .select("term", "film_id", F.size("positions").alias("dtf"))
-        .withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets)))
+    document = Window.partitionBy("film_id")
+    counted = _words_of(docs, cols, min_len, stopwords).groupBy("film_id", "term").agg(F.count(F.lit(1)).alias("dtf"))
+    return counted.select(
+        F.pmod(F.hash("term"), F.lit(buckets)).alias("bucket"),
+        "term",
+        "film_id",
+        "dtf",
+        F.count(F.lit(1)).over(document).alias("u"),
+        F.sum(F.log("dtf") + 1).over(document).alias("norm"),
     )
 
 
+def write_term_index(index: DataFrame, path: str) -> None:
+    """Store the index by bucket; a bucket with a very frequent term is split over several files."""
+    index.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 def lookup_terms(index: DataFrame, terms: Sequence[str], buckets: int = 256) -> DataFrame:
     """Index rows of the given words; a stored index is read in the words' buckets only."""
-    words = F.array(*[F.lit(t.lower()) for t in terms])
-    wanted = F.array_contains(F.transform(words, lambda w: F.pmod(F.hash(w), F.lit(buckets))), F.col("bucket"))
+    words = [F.lit(t.lower()) for t in terms]
+    wanted = F.col("bucket").isin([F.pmod(F.hash(w), F.lit(buckets)) for w in words])
     return index.filter(wanted & F.col("term").isin([t.lower() for t in terms]))
+
+
+def score_with_index(
+    index: DataFrame,
+    n_documents: DataFrame,
+    query: str,
+    buckets: int = 256,
+    stopwords: Sequence[str] = STOPWORDS,
+    min_len: int = 4,
+    max_doc_share: float = 0.5,
+) -> DataFrame:
+    """(film_id, score), like `score_documents`, from the index instead of the text.
+
+    `n_documents` is a one-row, one-column DataFrame with the number of documents. Stopwords and
+    minimum length must be those of the index.
+    """
+    wanted = query_terms(query, stopwords, min_len)
+    if not wanted:
+        return index.select("film_id", F.lit(0.0).alias("score")).filter(F.lit(False))
+    hits = lookup_terms(index, list(wanted), buckets)
+    n = n_documents.scalar()
+    counts = hits.agg(F.array(*[F.count_if(F.col("term") == t) for t in wanted])).scalar()
+    held = hits.withColumn("_n", n).withColumn("_nf", counts)
+    part: Column = F.lit(0.0)
+    for i, (term, qf) in enumerate(wanted.items()):
+        nf = F.col("_nf")[i]
+        usable = (F.col("term") == term) & (nf < F.col("_n") * max_doc_share)
+        part = part + F.when(usable, F.lit(float(qf)) * F.log((F.col("_n") - nf) / nf)).otherwise(F.lit(0.0))
+    u = F.col("u")
+    local = (F.log("dtf") + 1) / F.col("norm") * u / (F.lit(1.0) + F.lit(LENGTH_PIVOT) * u)
+    return held.groupBy("film_id").agg(F.sum(part * local).alias("score")).filter(F.col("score") > 0)

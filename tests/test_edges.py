@@ -388,8 +388,21 @@ def test_term_vectors_and_index(spark):
     docs = make(spark, "film_text", {"film_id": 1, "title": "To be", "description": "or not to be"}, {"film_id": 2, "title": "!"})
     got = {r.film_id: r.fulltext for r in search.build_term_vectors(docs).collect()}
     assert got == {1: {"to": [1, 5], "be": [2, 6], "or": [3], "not": [4]}, 2: {}}
-    index = search.build_term_index(docs)
-    assert [(r.film_id, r.dtf) for r in search.lookup_terms(index, ["Be"]).collect()] == [(1, 2)]
+    index = search.build_term_index(docs, stopwords=(), min_len=2)
+    assert [(r.film_id, r.dtf, r.u) for r in search.lookup_terms(index, ["Be"]).collect()] == [(1, 2, 4)]
+
+
+def test_index_gives_the_same_ranking_and_reads_its_buckets_only(spark, tables, tmp_path):
+    docs, cols, query = tables.film_text, ("title", "description"), "license data ther data"
+    path = str(tmp_path / "index")
+    search.write_term_index(search.build_term_index(docs, cols, buckets=8), path)
+    stored = spark.read.parquet(path)
+    got = search.score_with_index(stored, docs.agg(F.count(F.lit(1)).alias("n")), query, buckets=8)
+    scan = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x and "dtf" in x]
+    assert scan and all("PartitionFilters: [isnotnull(bucket" in x or "PartitionFilters: [bucket" in x for x in scan)
+    ranked = {r.film_id: r.score for r in search.score_documents(docs, cols, query).collect()}
+    assert {r.film_id: pytest.approx(r.score, abs=1e-9) for r in got.collect()} == ranked and ranked
+    assert search.score_with_index(stored, docs.limit(1).select("film_id"), "of war").count() == 0
 
 
 def test_scalar_functions(spark):

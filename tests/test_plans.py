@@ -9,7 +9,7 @@ from reelflow.operators import search
 from reelflow.plans import finance, refresh
 from tests.conftest import SF
 
-WRITING = {"load_table", "write_payments_by_month", "overwrite_full", "overwrite_range", "populate_extended_tables"}
+WRITING = {"load_table", "write_payments_by_month", "overwrite_full", "overwrite_range", "populate_extended_tables", "indexed_search"}
 
 
 def plan(df) -> str:
@@ -58,6 +58,11 @@ def test_term_positions_shuffle_once(spark, tables, shuffle_joins):
     assert text.count("Exchange") == 1
 
 
+def test_term_index_shuffles_once(spark, tables, shuffle_joins):
+    text = plan(search.build_term_index(tables.film_text))
+    assert text.count("Exchange") == 1
+
+
 def test_ranking_scans_text_without_exploding_it(spark, tables):
     text = plan(search.score_documents(tables.film_text, ("title", "description"), "license data"))
     assert "Exchange hashpartitioning" not in text

@@ -357,7 +357,12 @@ def oracle_sql() -> dict[str, str]:
                (select string_agg(q.pos::varchar, ',' order by q.pos) from positions q
                 where q.film_id = t.film_id and q.term = min(p.term)) first_positions
         from x_film_text t left join positions p on p.film_id = t.film_id group by t.film_id""", positions=positions))
-    add("build_term_index", with_roles("select film_id, term, count(*) dtf from positions group by film_id, term", positions=positions))
+    add("build_term_index", with_roles("""
+        select film_id, term, dtf, count(*) over (partition by film_id) u,
+               round(sum(ln(dtf) + 1) over (partition by film_id), 6) norm
+        from doc_terms""", doc_terms=DOC_TERMS))
+    add("indexed_search", with_roles("select film_id, round(score, 6) score from scores",
+                                     doc_terms=DOC_TERMS, query_terms=_search_terms(SEARCH_TEXT), scores=SCORES))
 
     # --- workload
     add("bulk_price_update", with_roles(

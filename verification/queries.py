@@ -221,7 +221,17 @@ def term_vectors(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
 
 def term_index(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
     """Occurrences of every term in every film."""
-    return search.build_term_index(t.film_text).select("film_id", "term", F.col("dtf").cast("long").alias("dtf"))
+    index = search.build_term_index(t.film_text)
+    return index.select("film_id", "term", F.col("dtf").cast("long").alias("dtf"), "u", F.round("norm", 6).alias("norm"))
+
+
+def indexed_search(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    """The ranking of `fulltext_search` from a stored index."""
+    path = sinks.shared_dir(spark)
+    search.write_term_index(search.build_term_index(t.film_text, buckets=16), path)
+    n_documents = t.film_text.agg(F.count(F.lit(1)).alias("n"))
+    found = search.score_with_index(spark.read.parquet(path), n_documents, SEARCH_TEXT, buckets=16)
+    return found.select("film_id", F.round("score", 6).alias("score"))
 
 
 def check_unique_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
@@ -408,6 +418,7 @@ REGISTRY: dict[str, Query] = {
     "audit_changes": audit_changes_query,
     "build_term_vectors": term_vectors,
     "build_term_index": term_index,
+    "indexed_search": indexed_search,
     "check_unique": check_unique_query,
     "check_unique_report": lambda spark, sf, t: checks.unique_report(_with_rollup(t)),
     "check_foreign_key": lambda spark, sf, t: checks.foreign_key_report(_with_rollup(t)),
