@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def group_concat(value: str, sep: str = ", ", order_by: str | None = None, distinct: bool = False) -> Column:
-    """Joined text of the non-NULL values of a group, in a stated order.
+    """Joined text of the non-NULL values of a group (a string column), in a stated order.
 
     The value of one group is one output cell, so its size is that of the result itself; values
     are gathered per map task first (`listagg` aggregates partially). With `distinct` the order

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelflow.functions.scalars import ntz
+from reelflow.sources import schemas
+from reelflow.sources.tables import RentalTables
 
 
 def update_join(
@@ -62,6 +64,17 @@ def stamp_last_update(before: DataFrame, after: DataFrame, key: Sequence[str] |
     )
 
 
+def stamp_tables(before: RentalTables, after: RentalTables, as_of: datetime | str) -> RentalTables:
+    """`stamp_last_update` on every table that carries stamps; a pure key table has nothing to stamp."""
+    stamped = {}
+    for name in schemas.STAMPED_TABLES:
+        if name in before.names() and name in after.names():
+            keys = schemas.PRIMARY_KEYS[name]
+            if set(after[name].columns) - {*keys, "last_update"} and "last_update" in after[name].columns:
+                stamped[name] = stamp_last_update(before[name], after[name], keys, as_of)
+    return after.replacing(**stamped)
+
+
 def delete_where(target: DataFrame, predicate: Column) -> DataFrame:
     """Rows for which the predicate is not true (false or unknown rows stay)."""
     return target.filter(~F.coalesce(predicate, F.lit(False)))

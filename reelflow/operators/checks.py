@@ -71,3 +71,27 @@ def foreign_key_report(tables: RentalTables) -> DataFrame:
         if t in known and p in known and c in tables[t].columns
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def domain_report(tables: RentalTables) -> DataFrame:
+    """Values outside every declared domain: (table_name, column_name, value, n)."""
+    known = set(tables.names())
+    parts = [
+        check_domain(tables[t], c, allowed, between).select(
+            F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"), "n"
+        )
+        for t, c, allowed, between in schemas.DOMAINS
+        if t in known
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def not_null_report(tables: RentalTables, required_only: bool = True) -> DataFrame:
+    """NULLs per column of every table, one pass each: (table_name, column_name, n_null)."""
+    parts = []
+    for name in tables.names():
+        present = tables[name].columns
+        columns = [c for c in schemas.required_columns(name) if c in present] if required_only else present
+        counted = check_not_null(tables[name], columns)
+        parts.append(counted.select(F.lit(name).alias("table_name"), "column_name", "n_null"))
+    return reduce(DataFrame.unionByName, parts)

@@ -6,9 +6,15 @@ lists the same mapping as SQL. All views are narrow except `inventory`, `film_ac
 `language` (a distinct), `rental` (one hash aggregate with map-side combine) and
 `payment.payment_id`.
 
+The mapping plants gaps that a rental business has and the test tables lack: films without a
+category or with two, films without actors, actors without films, NULLs, two domain faults. They
+are there to be met by the queries; no table is thinned out to make it smaller.
+
 `payment_id` numbers the lines that share an order and line number. The numbering window is split
-by `l_partkey % 64` so that one hot order is spread over many tasks; the slice number is part of
-the id. Catalyst drops the window from every query that does not read `payment_id`.
+by `l_partkey % 1024` so that one hot order is spread over many tasks; the slice number is part of
+the id. Position, slice and order line together need more than 63 bits when one order holds a large
+share of a very large table, so this id is a DECIMAL(38,0). Catalyst drops the window from every
+query that does not read `payment_id`. `inventory_id` fits a LONG up to nine billion parts.
 """
 
 from __future__ import annotations
@@ -35,8 +41,8 @@ DRIVER_DDL: dict[str, str] = {
 }
 
 PART_STRIDE = 1_000_000_000  # inventory_id = part * stride + supplier
-RENTAL_STRIDE = 1_000_000_000_000  # payment_id = position * stride + order line
-NUMBERING_SLICES = 64
+RENTAL_STRIDE = "1000000000000000BD"  # payment_id = (position * slices + slice) * stride + order line
+NUMBERING_SLICES = 1024
 STORES = 10
 
 
@@ -187,7 +193,9 @@ def role_tables(spark: SparkSession, sf_dir: str) -> RentalTables:
         )
         numbered = src("lineitem").withColumn("rn", F.row_number().over(w).cast("long"))
         return numbered.join(src("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
-            (((F.col("rn") - 1) * NUMBERING_SLICES + piece) * RENTAL_STRIDE + order_line).alias("payment_id"),
+            (((F.col("rn") - 1) * NUMBERING_SLICES + piece).cast("decimal(20,0)") * F.expr(RENTAL_STRIDE) + order_line)
+            .cast("decimal(38,0)")
+            .alias("payment_id"),
             F.col("o_custkey").alias("customer_id"),
             F.col("l_suppkey").alias("staff_id"),
             F.when(F.col("l_partkey") % 20 != 0, order_line).alias("rental_id"),

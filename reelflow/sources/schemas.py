@@ -108,10 +108,19 @@ FOREIGN_KEYS: list[tuple[str, str, str, str]] = [
     ("inventory_status", "store_id", "store", "store_id"),
 ]
 
+# Value domains.
 RATINGS = ["G", "PG", "PG-13", "R", "NC-17"]
 AUDIT_ACTIONS = ["INSERT", "UPDATE", "DELETE"]
 YEAR_RANGE = (1901, 2155)
 
+# (table, column, allowed values or None, closed range or None)
+DOMAINS: list[tuple[str, str, list[str] | None, tuple[int, int] | None]] = [
+    ("film", "rating", RATINGS, None),
+    ("film", "release_year", None, YEAR_RANGE),
+    ("audit_rental", "action", AUDIT_ACTIONS, None),
+    ("audit_payment", "action", AUDIT_ACTIONS, None),
+]
+
 # Tables whose rows are stamped on every update.
 STAMPED_TABLES = [
     "actor", "address", "category", "city", "country", "customer", "film", "film_actor",

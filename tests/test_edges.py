@@ -310,6 +310,17 @@ def test_update_rounds_half_up_and_stamps_matches_only(spark):
     assert workload.bulk_price_update(t, 2, 100, "2001-01-01").filter("amount <> 2.50").count() == 0
 
 
+def test_stamps_only_changed_rows_of_all_tables(spark):
+    old = chain(spark)
+    new = old.replacing(city=old.city.withColumn("city", F.upper("city")), category=old.category.withColumn(
+        "name", F.when(F.col("category_id") == 2, "Noir").otherwise(F.col("name"))))
+    got = changes.stamp_tables(old, new, "2001-01-01 00:00:00")
+    assert [r.last_update for r in got.city.collect()] == [ts("2001-01-01")]
+    assert {r.category_id: r.last_update is None for r in got.category.collect()} == {1: True, 2: False}
+    assert got.actor.filter("last_update is not null").count() == 0
+    assert got.film_actor.count() == old.film_actor.count()
+
+
 def test_delete_keeps_unknown_rows(spark):
     film = make(spark, "film", *[{"film_id": i, "length": n} for i, n in [(1, 10), (2, 90), (3, None)]])
     assert sorted(r.film_id for r in changes.delete_where(film, F.col("length") > 50).collect()) == [1, 3]

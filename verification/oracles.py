@@ -268,9 +268,11 @@ def oracle_sql() -> dict[str, str]:
                coalesce(return_date, rental_date)::varchar known
         from x_rental"""))
     add("group_concat", with_roles("""
-        select fc.category_id, string_agg(distinct f.title, ', ' order by f.title) titles,
-               string_agg(f.title, '|' order by f.title) all_titles
-        from x_film_category fc join x_film f on f.film_id = fc.film_id group by fc.category_id"""))
+        select film_id, list_aggregate(list_sort(list_distinct(list(store_id::varchar))), 'string_agg', ', ') stores,
+               list_aggregate(list_sort(list(store_id::varchar)), 'string_agg', '|') copies, any_value(categories) categories
+        from x_inventory left join (select film_id, string_agg(name, ', ' order by name) categories
+                                    from x_film_category join x_category using (category_id) group by film_id) using (film_id)
+        group by film_id"""))
 
     # --- views
     person = "first_name || ' ' || last_name"
@@ -366,9 +368,9 @@ def oracle_sql() -> dict[str, str]:
 
     # --- workload
     add("bulk_price_update", with_roles(
-        "select payment_id, customer_id, amount::double amount, last_update from raised", raised=RAISED))
+        "select payment_id::varchar payment_id, customer_id, amount::double amount, last_update from raised", raised=RAISED))
     add("bump_latest_payments", with_roles("""
-        select payment_id, (case when payment_id in (select payment_id from x_payment order by payment_id desc limit 10)
+        select payment_id::varchar payment_id, (case when payment_id in (select payment_id from x_payment order by payment_id desc limit 10)
                             then amount + 0.05 else amount end)::double amount from x_payment"""))
     add("table_counts", with_roles("""
         select (select count(*) from x_rental) total_rentals, (select count(*) from x_payment) total_payments"""))
@@ -424,7 +426,7 @@ def oracle_sql() -> dict[str, str]:
         union all select 'inventory_status', count(*), sum(total_rentals)::double from x_inventory_status
         union all select 'sales_rollup_daily', count(*), sum(total_sales)::double from x_sales_rollup_daily""", **DERIVED))
     left = {"left_rental": LEFT_RENTAL, "left_payment": LEFT_PAYMENT}
-    add("cleanup_recent", with_roles("select payment_id, rental_id, amount::double amount from left_payment", **left))
+    add("cleanup_recent", with_roles("select payment_id::varchar payment_id, rental_id, amount::double amount from left_payment", **left))
     add("cleanup_recent_rollup", with_roles(f"""
         select sales_date::varchar sales_date, store_id, category_id, total_sales::double total_sales, tx_count
         from (select * from x_sales_rollup_daily where sales_date not between date '2000-06-15' and date '2001-06-15'
@@ -463,7 +465,7 @@ def oracle_sql() -> dict[str, str]:
         select (select max(rental_id) from x_rental) + 1 + s.id rental_id,
                (timestamp '{AS_OF}' - to_days(s.day))::varchar rental_date, i.inventory_id, c.customer_id,
                case when s.returned > 0.5 then (timestamp '{AS_OF}' - to_days(s.day) + to_days(s.kept))::varchar end return_date,
-               f.staff_id, (select max(payment_id) from x_payment) + 1 + s.id payment_id, s.amount,
+               f.staff_id, ((select max(payment_id) from x_payment) + 1 + s.id)::varchar payment_id, s.amount,
                (timestamp '{AS_OF}' - to_days(s.day))::varchar payment_date
         from slots s join copies i on i.idx = s.copy join people c on c.idx = s.customer join workers f on f.idx = s.staff""",
         new_customers=NEW_CUSTOMERS,
@@ -488,7 +490,7 @@ def oracle_sql() -> dict[str, str]:
                case when active and lower(last_name) is distinct from email then '{AS_OF}' else '1995-01-01 00:00:00' end last_update
         from x_customer"""))
     add("audit_changes", with_roles("""
-        select payment_id, case when b.payment_id is null then 'INSERT' when a.payment_id is null then 'DELETE' else 'UPDATE' end as action,
+        select payment_id::varchar payment_id, case when b.payment_id is null then 'INSERT' when a.payment_id is null then 'DELETE' else 'UPDATE' end as action,
                'batch' actor_user, b.amount::double old_amount, a.amount::double new_amount
         from (select * from x_payment where payment_date < timestamp '2001-06-01') b
              full join (select * from raised where payment_date >= timestamp '1995-06-01') a using (payment_id)
@@ -497,10 +499,12 @@ def oracle_sql() -> dict[str, str]:
     add("check_unique_report", with_roles(_unique_keys(), **DERIVED))
     add("check_foreign_key", with_roles(_foreign_keys(), **DERIVED))
     add("check_domain", with_roles("""
-        select 'rating' column_name, rating as value, count(*) n from x_film
+        select 'film' table_name, 'rating' column_name, rating as value, count(*) n from x_film
         where rating not in ('G', 'PG', 'PG-13', 'R', 'NC-17') group by rating
-        union all select 'release_year', release_year::varchar, count(*) from x_film
-        where release_year < 1901 or release_year > 2155 group by release_year"""))
+        union all select 'film', 'release_year', release_year::varchar, count(*) from x_film
+        where release_year < 1901 or release_year > 2155 group by release_year
+        union all select 'audit_payment', 'action', 'update', count(*) from raised where last_update is not null having count(*) > 0""",
+        raised=RAISED))
     add("check_not_null", with_roles(" union all ".join([
         _nulls("customer", "customer_id store_id first_name last_name email address_id active"),
         _nulls("film", "film_id title description release_year language_id rental_duration rental_rate length replacement_cost rating"),

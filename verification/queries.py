@@ -1,7 +1,7 @@
 """One query per operator, each over the whole tables of a test directory.
 
 Library results keep decimals, dates and timestamps. For comparing with another engine, `plain`
-turns money into doubles (after exact decimal summing) and dates and times into text.
+turns money into doubles (after exact decimal summing) and dates, times and wide ids into text.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from reelflow.functions import scalars as S
 from reelflow.functions.aggregates import group_concat
 from reelflow.operators import changes, checks, inflate, keys, search
 from reelflow.plans import analytics, finance, refresh, seed, stock, views, workload
-from reelflow.sources import roles, schemas, sinks
+from reelflow.sources import roles, sinks
 from reelflow.sources.tables import RentalTables, load_table
 
 AS_OF = "2001-06-15 12:00:00"
@@ -30,7 +30,7 @@ def plain(df: DataFrame) -> DataFrame:
     def column(f: T.StructField) -> Column:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DecimalType):
-            return c.cast("double").alias(f.name)
+            return c.cast("double" if f.dataType.scale else "string").alias(f.name)
         if isinstance(f.dataType, T.DateType | T.TimestampType | T.TimestampNTZType):
             return c.cast("string").alias(f.name)
         return c
@@ -150,11 +150,14 @@ def date_functions(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
 
 
 def group_concat_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
-    """Ordered, distinct lists of the titles per category."""
-    titled = t.film_category.join(t.film.select("film_id", "title"), "film_id")
-    return titled.groupBy("category_id").agg(
-        group_concat("title", distinct=True).alias("titles"), group_concat("title", sep="|").alias("all_titles")
+    """Categories and stores of every film as ordered lists, with and without repeats."""
+    named = t.film_category.join(t.category.select("category_id", "name"), "category_id")
+    names = named.groupBy("film_id").agg(group_concat("name").alias("categories"))
+    held = t.inventory.select("film_id", F.col("store_id").cast("string").alias("store"))
+    copies = held.groupBy("film_id").agg(
+        group_concat("store", distinct=True).alias("stores"), group_concat("store", sep="|").alias("copies")
     )
+    return copies.join(names, "film_id", "left")
 
 
 # --- change operators ------------------------------------------------------------------------
@@ -249,21 +252,13 @@ def _with_rollup(t: RentalTables) -> RentalTables:
 
 
 def check_domain_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
-    ratings = checks.check_domain(t.film, "rating", allowed=schemas.RATINGS)
-    years = checks.check_domain(t.film, "release_year", between=schemas.YEAR_RANGE)
-
-    def named(df: DataFrame, column: str) -> DataFrame:
-        return df.select(F.lit(column).alias("column_name"), F.col(column).cast("string").alias("value"), "n")
-
-    return named(ratings, "rating").unionByName(named(years, "release_year"))
+    log = changes.audit_changes(t.payment, workload.bulk_price_update(t, 1, 100, AS_OF), "payment_id", AS_OF)
+    return checks.domain_report(t.replacing(audit_payment=log.withColumn("action", F.lower("action"))))
 
 
 def check_not_null_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
-    parts = [
-        checks.check_not_null(t[name], t[name].columns).withColumn("table_name", F.lit(name))
-        for name in ("customer", "film", "rental", "payment")
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    facts = RentalTables({name: t[name] for name in ("customer", "film", "rental", "payment")})
+    return checks.not_null_report(facts, required_only=False)
 
 
 # --- inflation, seeding, upkeep --------------------------------------------------------------
@@ -284,7 +279,7 @@ def inflate_payment_query(spark: SparkSession, sf: str, t: RentalTables) -> Data
         F.count(F.lit(1)).alias("n"),
         F.count("rental_id").alias("n_with_rental"),
         F.sum("amount").alias("amount"),
-        F.sum(F.col("payment_id") % 1_000_003).alias("key_sum"),
+        F.sum(F.col("payment_id") % 1_000_003).cast("long").alias("key_sum"),
     )
 
 

@@ -66,9 +66,9 @@ ROLES: dict[str, str] = {
         from lineitem join orders on l_orderkey = o_orderkey
         group by l_orderkey, l_linenumber""",
     "x_payment": """
-        select ((row_number() over (partition by l_orderkey, l_linenumber, l_partkey % 64
-                   order by l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) - 1) * 64
-                + l_partkey % 64) * 1000000000000 + l_orderkey * 10 + l_linenumber payment_id,
+        select ((row_number() over (partition by l_orderkey, l_linenumber, l_partkey % 1024
+                   order by l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) - 1)::hugeint * 1024
+                + l_partkey % 1024) * 1000000000000000::hugeint + l_orderkey * 10 + l_linenumber payment_id,
                o_custkey customer_id, l_suppkey staff_id,
                case when l_partkey % 20 <> 0 then l_orderkey * 10 + l_linenumber end rental_id,
                cast(l_extendedprice as decimal(12,2)) amount, l_shipdate payment_date,
