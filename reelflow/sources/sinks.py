@@ -7,7 +7,6 @@ the new rows do not depend on.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import date
 
@@ -23,13 +22,10 @@ MONTH_FOLDER = "month"
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the cluster's shared `spark.checkpoint.dir`.
 
-    Without that setting only a local session may write, to a temporary folder.
+    Where that setting is absent the session's warehouse, which all executors share as well,
+    holds the folder. No machine-local temporary folder is ever used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="reelflow-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
