@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelflow.llm import minhash
+from reelflow.llm import decontaminate, minhash
 from reelflow.llm.common import read
 
 
@@ -14,8 +14,12 @@ def op8_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf, "documents"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op8_minhash_near_dedup, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
