@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelflow.llm.common import slices, utf8
+from reelflow.llm.common import slices, tokens, utf8
 
 SEGMENT = 64
 THRESHOLD = 0.6
@@ -45,17 +45,11 @@ K1, B = 1.2, 0.75
 #: Characters of items in one index; more items make several indexes of this size.
 INDEX_CHARS = 16_000_000
 
-_SPACED = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _SENTENCE = re.compile(rb"[.!?][\"')\]]*\s+")
 _FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 _TERMS = "shard int, item_id long, segment int, term binary, tf int, size int"
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words of letters, digits and non-ASCII characters; A-Z are lowered."""
-    return text.translate(_SPACED).split() if text else []
-
-
 def question_and_answer(text: bytes | None) -> tuple[list[bytes], list[bytes]]:
     """An item's words up to its last sentence, and those of its last sentence.
 

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelflow.llm import decontaminate, minhash
+from reelflow.llm import decontaminate, minhash, toxicity
 from reelflow.llm.common import read
 
 
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.grades(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf, "documents"))
 
@@ -19,7 +23,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_minhash_near_dedup, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_toxicity, op8_minhash_near_dedup, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
