@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelflow.llm import decontaminate, minhash, toxicity
+from reelflow.llm import decontaminate, minhash, secrets, toxicity
 from reelflow.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.grades(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
 
+def op3_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.secrets(read(spark, sf, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf, "documents"))
 
@@ -23,7 +27,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op8_minhash_near_dedup, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_toxicity, op3_secret_scans, op8_minhash_near_dedup, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
