@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelflow.llm import decontaminate, minhash, secrets, toxicity
+from reelflow.llm import decontaminate, minhash, mixing, secrets, toxicity
 from reelflow.llm.common import read
 
 
@@ -22,13 +22,17 @@ def op8_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf, "documents"))
 
 
+def op9_mixing_to_targets(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixed(read(spark, sf, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_secret_scans, op8_minhash_near_dedup, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_toxicity, op3_secret_scans, op8_minhash_near_dedup, op9_mixing_to_targets, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing_to_targets": mixing.oracle_sql()}
