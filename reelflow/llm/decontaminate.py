@@ -29,8 +29,9 @@ from dataclasses import dataclass, fields
 from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelflow.llm.common import slices, tokens, utf8
@@ -284,3 +285,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         out = out.union(texts.mapInArrow(scan, _FOUND))
     return out
+
+
+def is_contaminated(text: Column, index: Index) -> Column:
+    """Whether a text holds a verified item of the index; null is empty."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast([getattr(index, f.name) for f in fields(index)])
+
+    @F.pandas_udf("boolean")
+    def dirty(texts: pd.Series) -> pd.Series:
+        index = Index(*shared.value)
+        found = np.zeros(len(texts), bool)
+        for start in range(0, len(texts), 256):
+            for row, *_ in _scan(index, texts.iloc[start : start + 256].tolist()):
+                found[start + row] = True
+        return pd.Series(found)
+
+    return dirty(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs` without a verified item in their text; nothing is shuffled."""
+    out = docs
+    for index in indexes(benchmark):
+        out = out.where(~is_contaminated(F.col("text"), index))
+    return out

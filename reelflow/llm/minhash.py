@@ -242,3 +242,21 @@ def _hot_links(compare: _Comparison, hot: DataFrame, links: DataFrame) -> DataFr
     right = here.select("v", "inside", F.col("n").alias("m"), F.col("r").alias("q"), F.col("x").alias("y"), F.col("c").alias("d"))
     pairs = left.join(fitting, ["v", "n", "r"]).join(right, ["v", "inside", "m", "q"]).where("c <> d")
     return found.union(compare.links(_pairs(pairs)))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that are kept: one of each group of copies.
+
+    Of rows that repeat a kept doc_id the one with the smallest text stays; rows without an id stay.
+    """
+    columns = docs.columns
+    decided = stored(near_duplicates(docs))
+    dropped = decided.where("not kept").select("doc_id").distinct()
+    kept = docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*columns)
+    repeated = stored(decided.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_anti").select(*columns)
+    again = kept.join(repeated, "doc_id", "left_semi").select(*columns)
+    first = again.groupBy(F.col("doc_id").alias("id")).agg(F.min_by(F.struct(*columns), F.coalesce("text", F.lit(""))).alias("row"))
+    return once.union(first.select("row.*"))

@@ -44,16 +44,19 @@ def topic(text: Column, tokens: Column) -> Column:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens); null text is empty, null source and lang are `(none)`."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """(document, doc_id, source, lang, topic, n_tokens); `document` is the whole row.
+
+    Null text is empty, null source and lang are `(none)`.
+    """
     counted = docs.select(
+        F.struct(*docs.columns).alias("document"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("source").cast("string"), F.lit("(none)")).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit("(none)")).alias("lang"),
-        text.alias("text"),
-        n_tokens(text).alias("n_tokens"),
+        F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
-    return counted.select("doc_id", "source", "lang", topic(F.col("text"), F.col("n_tokens")).alias("topic"), "n_tokens")
+    counted = counted.withColumn("n_tokens", n_tokens(F.col("text")))
+    return counted.withColumn("topic", topic(F.col("text"), F.col("n_tokens"))).drop("text")
 
 
 def _lookup(column: str, values: dict[str, float]) -> Column:
@@ -123,6 +126,15 @@ def _scale(cells: DataFrame, total: float) -> float:
     return scale
 
 
+def _drawn(docs: DataFrame, languages: dict[str, float] | None, topics: dict[str, float] | None) -> DataFrame:
+    rows = described(docs)
+    cells, scale = weights(rows.drop("document", "doc_id"), languages, topics)
+    number = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10)
+    out = rows.join(cells.drop("n"), ["source", "lang", "topic"], "left")
+    out = out.withColumn("weight", F.coalesce("weight", F.lit(0.0))).withColumn("p", F.least(F.lit(1.0), F.col("weight") * scale))
+    return out.withColumn("kept", number.cast("double") / 2**52 < F.col("p"))
+
+
 def mixed(docs: DataFrame, languages: dict[str, float] | None = None, topics: dict[str, float] | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, weight, probability, kept) for every row of `docs`.
 
@@ -131,16 +143,16 @@ def mixed(docs: DataFrame, languages: dict[str, float] | None = None, topics: di
     Null ids draw as the empty string does. Rows that repeat a doc_id share its draw, so the draw
     can be repeated on any part of the input. An empty table gives an empty result.
     """
-    rows = described(docs)
-    cells, scale = weights(rows, languages, topics)
-    number = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10)
-    out = rows.join(cells.drop("n"), ["source", "lang", "topic"], "left")
-    out = out.withColumn("weight", F.coalesce("weight", F.lit(0.0))).withColumn("p", F.least(F.lit(1.0), F.col("weight") * scale))
-    return out.select(
-        "doc_id", "source", "lang", "topic", "n_tokens",
-        F.round("weight", 6).alias("weight"), F.round("p", 6).alias("probability"),
-        (number.cast("double") / 2**52 < F.col("p")).alias("kept"),
-    )
+    return _drawn(docs, languages, topics).select(
+        "doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("p", 6).alias("probability"), "kept"
+    )
+
+
+def sampled(docs: DataFrame, languages: dict[str, float] | None = None, topics: dict[str, float] | None = None) -> DataFrame:
+    """The rows of `docs` that the draw keeps, and a column `mix` of topic, tokens, weight and probability."""
+    mix = F.struct("topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("p", 6).alias("probability"))
+    kept = _drawn(docs, languages, topics).where("kept").select("document", mix.alias("mix"))
+    return kept.select(*[F.col("document")[c].alias(c) for c in docs.columns if c != "mix"], "mix")
 
 
 def oracle_sql() -> str:

@@ -266,3 +266,13 @@ def secrets(docs: DataFrame) -> DataFrame:
         F.sha2(_listed(F.col("f.base")), 256).alias("base_sha256"),
         _listed(F.concat("f.base", "f.added")).alias("spans"),
     )
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """`docs` with every span replaced in `text`, and `n_chars`, if there, counted again for these texts."""
+    automata = fit(docs)
+    text = redact(F.col("text"), automata)
+    out = docs.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return out.select(*docs.columns)

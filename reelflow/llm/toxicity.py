@@ -209,3 +209,8 @@ def grades(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), severity(F.col("text"), model).alias("s"))
     return scored.select("doc_id", "s.*")
+
+
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` whose text is not toxic."""
+    return docs.where(~severity(F.col("text"), fit(docs, labels))["toxic"])
