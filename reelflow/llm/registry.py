@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reelflow.llm import decontaminate, minhash, mixing, secrets, toxicity
+from reelflow.llm import chat, decontaminate, minhash, mixing, secrets, toxicity
 from reelflow.llm.common import read
 
 
@@ -18,6 +19,14 @@ def op3_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.secrets(read(spark, sf, "documents"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations and conversation -7, whose texts are full of marks."""
+    given = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    marks = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.digests(chat.formatted(given.union(marks)))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf, "documents"))
 
@@ -31,8 +40,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_secret_scans, op8_minhash_near_dedup, op9_mixing_to_targets, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_toxicity, op3_secret_scans, op7_chat_formatting, op8_minhash_near_dedup, op9_mixing_to_targets, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing_to_targets": mixing.oracle_sql()}
+    return {"op7_chat_formatting": chat.oracle_sql(), "op9_mixing_to_targets": mixing.oracle_sql()}
