@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelflow.llm import chat, decontaminate, minhash, mixing, secrets, toxicity
+from reelflow.llm import chat, decontaminate, minhash, mixing, secrets, spotsigs, toxicity
 from reelflow.llm.common import read
 
 
@@ -19,6 +19,10 @@ def op3_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.secrets(read(spark, sf, "documents"))
 
 
+def op6_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return spotsigs.fingerprints(read(spark, sf, "documents"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     """All conversations and conversation -7, whose texts are full of marks."""
     given = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
@@ -40,7 +44,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_secret_scans, op7_chat_formatting, op8_minhash_near_dedup, op9_mixing_to_targets, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_toxicity, op3_secret_scans, op6_document_fingerprints, op7_chat_formatting, op8_minhash_near_dedup, op9_mixing_to_targets, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
