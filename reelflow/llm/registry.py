@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelflow.llm import chat, decontaminate, minhash, mixing, secrets, spotsigs, toxicity, urls
+from reelflow.llm import chat, decontaminate, html, minhash, mixing, secrets, spotsigs, toxicity, urls
 from reelflow.llm.common import read
 
 
@@ -19,6 +19,10 @@ def op3_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.secrets(read(spark, sf, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html.main_texts(read(spark, sf, "pages"))
+
+
 def op5_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return urls.verdicts(read(spark, sf, "pages"))
 
@@ -48,7 +52,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_secret_scans, op5_url_filters, op6_document_fingerprints, op7_chat_formatting, op8_minhash_near_dedup, op9_mixing_to_targets, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_toxicity, op3_secret_scans, op4_html_extraction, op5_url_filters, op6_document_fingerprints, op7_chat_formatting, op8_minhash_near_dedup, op9_mixing_to_targets, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
