@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelflow.llm import chat, decontaminate, html, minhash, mixing, secrets, spotsigs, toxicity, urls
+from reelflow.llm import chat, decontaminate, html, language, minhash, mixing, secrets, spotsigs, toxicity, urls
 from reelflow.llm.common import read
 
 
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identified(read(spark, sf, "documents"), read(spark, sf, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.grades(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
@@ -52,7 +56,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_secret_scans, op4_html_extraction, op5_url_filters, op6_document_fingerprints, op7_chat_formatting, op8_minhash_near_dedup, op9_mixing_to_targets, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_secret_scans, op4_html_extraction, op5_url_filters, op6_document_fingerprints, op7_chat_formatting, op8_minhash_near_dedup, op9_mixing_to_targets, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
