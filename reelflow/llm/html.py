@@ -300,8 +300,10 @@ def extract(html: str | None, wrapper: dict | None) -> str:
     if template:
         own = _own_texts(page)
         dropped = {k for k in range(root, page.end[root]) if own[k] and (page.path(k), own[k]) in template}
-    end = page.end[root] if root >= 0 else len(page.tag)
-    return _clean([t for k, t in page.texts if (root <= k < end and not page.skip[k] and k not in dropped) or (root < 0 and (k < 0 or not page.skip[k]))])
+    if root < 0:
+        return _clean([t for k, t in page.texts if k < 0 or not page.skip[k]])
+    end = page.end[root]
+    return _clean([t for k, t in page.texts if root <= k < end and not page.skip[k] and k not in dropped])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:

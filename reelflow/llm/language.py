@@ -74,7 +74,8 @@ def fit(documents: DataFrame) -> tuple[list[str], np.ndarray]:
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = given.where(F.col("lang").isin(langs)).distinct().withColumn("rank", F.row_number().over(order))
     sample = sample.where(F.col("rank") <= PER_LANGUAGE).drop("rank")
-    texts = documents.select("doc_id", "lang", "text").join(stored(sample), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    # at most PER_LANGUAGE * LANGUAGES short rows, whatever the input's size
+    texts = documents.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"], "left_semi").select("lang", "text")
     rows = texts.mapInArrow(_gram_counts, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     langs = sorted(langs)
     counts = np.full((len(langs), BUCKETS), 0.05)

@@ -2,7 +2,8 @@
 
 Host names and path parts are cut at every character that is no letter; what remains is split into
 words by the most probable segmentation under a unigram model (Viterbi). The model counts the words
-of all pages and the hyphen- or dot-separated pieces of all hosts. A multinomial naive Bayes
+of all pages, but for the names that the page's own host is made of, and the hyphenated pieces of all
+hosts. A multinomial naive Bayes
 model of the words is trained on hosts, each counted once: a host is an example to block if its
 words hold one of the seed words, else an example to allow. Words of no example say nothing.
 """
@@ -24,6 +25,8 @@ from reelflow.llm.common import slices, utf8
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 SEEDS = frozenset("adult ads bet bets casino malware pills poker porn spam track tracker warez xxx".split())
+#: Names that stand in many hosts and are no concatenations.
+HOST_WORDS = "www blog mail shop news com net org edu gov info example test".split()
 #: Words of the unigram model and tokens of the classifier, the most frequent ones.
 UNIGRAMS, TOKENS = 50_000, 100_000
 WORD_CHARS = 20
@@ -101,20 +104,23 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 256):
         found: Counter = Counter()
         for host, html in zip(utf8(batch.column(0)), utf8(batch.column(1)), strict=True):
-            found.update(w for w in _LETTERS.findall(host or b"") if len(w) <= WORD_CHARS)
-            found.update(w for w in _LETTERS.findall(_TAG.sub(b" ", html or b"").lower()) if len(w) <= WORD_CHARS)
+            labels = (host or b"").split(b".")
+            found.update(w for label in labels if b"-" in label for w in _LETTERS.findall(label) if len(w) <= WORD_CHARS)
+            own = {w for label in labels if b"-" not in label for w in _LETTERS.findall(label)}
+            found.update(w for w in _LETTERS.findall(_TAG.sub(b" ", html or b"").lower()) if len(w) <= WORD_CHARS and w not in own)
         yield pa.RecordBatch.from_arrays(
             [pa.array([w.decode() for w in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"]
         )
 
 
 def fit_words(pages: DataFrame) -> Words:
-    """The unigram model of the runs of a-z in all hosts and page texts."""
+    """The unigram model of the runs of a-z in page texts and hyphenated hosts, and of usual host names."""
     host, _ = host_and_path(F.col("url"))
     counts = pages.select(host.alias("host"), "html").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     rows = counts.orderBy(F.desc("n"), "word").limit(UNIGRAMS).collect()
     total = sum(r.n for r in rows) or 1
-    return Words({r.word: math.log(r.n / total) for r in rows}, math.log(10 / total))
+    fixed = dict.fromkeys(HOST_WORDS, math.log(0.01))
+    return Words({r.word: math.log(r.n / total) for r in rows} | fixed, math.log(10 / total))
 
 
 def fit_bayes(pages: DataFrame, words: Words, seeds: frozenset[str] = SEEDS) -> Bayes:
