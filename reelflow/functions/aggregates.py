@@ -25,18 +25,17 @@ def exact_mean(total: Column, n: Column) -> Column:
 
 
 def population_stddev(weight: Column, total: Column, square_total: Column, unit: float = 100.0) -> Column:
-    """Population standard deviation from exact moments.
+    """Population standard deviation from exact moments, one formula for groups of any size.
 
     The inputs are integer-valued decimals (amounts counted in cents): sum of weights, weighted
-    sum and weighted sum of squares. `w*s2 - s1*s1` is exact in 38 digits, so equal amounts give
-    exactly 0 and the result does not depend on the order of summing. Groups too large for 38
-    digits fall back to double arithmetic instead of failing.
+    sum and weighted sum of squares. Squares are taken about the mean's whole part `q`: their sum
+    is `s2 - q * (2 * s1 - q * w)`, exact, and no larger than `s2`, so it fits 38 digits whenever
+    `s2` does. What is left of the mean, `r / w`, is under one unit. Equal amounts give exactly 0,
+    and the result does not depend on the order of summing.
     """
-    w = weight.cast("decimal(18,0)")
-    exact = F.try_subtract(
-        F.try_multiply(square_total.cast("decimal(38,0)"), w).cast("decimal(38,0)"),
-        F.try_multiply(total.cast("decimal(38,0)"), total.cast("decimal(38,0)")).cast("decimal(38,0)"),
-    ).cast("double")
-    wd, s1, s2 = weight.cast("double"), total.cast("double"), square_total.cast("double")
-    spread = F.coalesce(exact, wd * s2 - s1 * s1)
-    return F.sqrt(F.greatest(spread, F.lit(0.0))) / wd / F.lit(unit)
+    wide = "decimal(38,0)"
+    w, s1, s2 = weight.cast(wide), total.cast(wide), square_total.cast(wide)
+    q = F.floor(s1 / w).cast(wide)
+    about_q = (s2 - (q * (s1 * 2 - (q * w).cast(wide)).cast(wide)).cast(wide)).cast("double")
+    r, n = (s1 - (q * w).cast(wide)).cast("double"), w.cast("double")
+    return F.sqrt(F.greatest(about_q - r * r / n, F.lit(0.0)) / n) / F.lit(unit)

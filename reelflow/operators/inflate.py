@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelflow.functions.scalars import add_years
+from reelflow.operators.keys import copied_key
 
 STEP_YEARS = (1, 2, 3, 4, 5)
 
@@ -45,15 +46,21 @@ def _array(values: Sequence[int]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _key(source: DataFrame, key: str, years: Sequence[int]) -> Column:
+    """A source row's own key, or a new one for a copy: unique, and above all keys there are."""
+    new = copied_key(source, key, (1 << len(years)) - 1, F.col("_mask") - 1)
+    return F.when(F.col("_mask") == 0, F.col(key)).otherwise(new)
+
+
 def inflate_payment(payment: DataFrame, years: Sequence[int] = STEP_YEARS, as_of: str | None = None) -> DataFrame:
     """Payments grown by `2**len(years)`; copies belong to no rental.
 
-    New keys are `old key * 2**len(years) + mask`, the original being mask 0.
+    Source rows keep their keys, so other tables still meet them; copies get keys above.
     """
     copy = F.col("_mask") != 0
     grown = _copies(payment, _array(_masks(years)))
     for name, value in {
-        "payment_id": F.col("payment_id") * (1 << len(years)) + F.col("_mask"),
+        "payment_id": _key(payment, "payment_id", years),
         "rental_id": F.when(~copy, F.col("rental_id")),
         "payment_date": _shift("payment_date", years),
         "last_update": F.when(copy, F.lit(as_of).cast("timestamp")).otherwise(F.col("last_update")),
@@ -73,7 +80,7 @@ def inflate_rental(
 
     Step sums coincide (1 + 2 = 3), so copies collide. `on_conflict="skip"` keeps the earliest
     made row, i.e. the lowest (mask, source key); `"error"` fails the query at the first conflict.
-    Source rows are never skipped, as they are in the table already.
+    Source rows are never skipped, as they are in the table already, and keep their keys.
 
     Only rentals of one copy and customer on the same day of the year can collide, so the source
     rows are exchanged by those before they are copied: the exchange carries each rental once, not
@@ -92,7 +99,7 @@ def inflate_rental(
     copy = F.col("_mask") != 0
     grown = _copies(source, masks).withColumn("_source", F.col("rental_id"))
     for name, value in {
-        "rental_id": F.col("rental_id") * (1 << len(years)) + F.col("_mask"),
+        "rental_id": _key(rental, "rental_id", years),
         "rental_date": _shift("rental_date", years),
         "return_date": _shift("return_date", years),
         "last_update": F.when(copy, F.lit(as_of).cast("timestamp")).otherwise(F.col("last_update")),

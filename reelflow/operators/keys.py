@@ -26,16 +26,26 @@ def dense_index(df: DataFrame, key: str, name: str = "idx", slices: int = 8191)
     )
 
 
-def append_with_keys(target: DataFrame, rows: DataFrame, key: str, copy: Column | int = 1, stride: int = 32) -> DataFrame:
-    """Append `rows` with generated keys: `old key * stride + copy number`.
+def copied_key(source: DataFrame, key: str, copies: int, copy: Column, above: DataFrame | None = None) -> Column:
+    """The key of copy number `copy` (0..copies-1) of a row of `source`: above every key of `above`.
 
-    Target rows keep copy number 0, so the new keys cannot meet the old ones as long as `copy`
-    lies in 1..stride-1. The expression is narrow: no shuffle, no sort, no counter.
+    `above` is the table the copies are appended to, `source` itself by default. The smallest and
+    largest key are scalar subqueries, so the expression is narrow and gives the same keys whenever
+    it is computed; as keys of `source` are unique, so are the new ones, and none meets an old one.
     """
-    number = F.lit(copy) if isinstance(copy, int) else copy
-    old = target.withColumn(key, F.col(key) * stride)
-    new = rows.withColumn(key, F.col(key) * stride + number)
-    return old.unionByName(new.select(*old.columns))
+    kind = source.schema[key].dataType
+    top = (source if above is None else above).agg(F.max(key)).scalar()
+    low = source.agg(F.min(key)).scalar()
+    return (F.coalesce(top, low - 1) + 1 + (F.col(key) - low) * copies + copy).cast(kind)
+
+
+def append_with_keys(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Append `rows`, whose own values of `key` are unique, under new keys above all of the target's.
+
+    Rows that exist keep their keys, so everything that refers to them stays right.
+    """
+    new = rows.withColumn(key, copied_key(rows, key, 1, F.lit(0), above=target))
+    return target.unionByName(new.select(*target.columns))
 
 
 def left_join_spread_nulls(left: DataFrame, right: DataFrame, key: str, spread_by: str) -> DataFrame:

@@ -104,6 +104,11 @@ def test_two_categories_of_one_name_repeat_the_actors(spark):
     assert rows["Action"].rental_count == 2 and rows["Action"].total_revenue == D("13.00")
 
 
+def source_and_mask(key: int, low: int, top: int) -> tuple[int, int]:
+    """Which source row, and by which steps, a key of an inflated table stands for."""
+    return (key, 0) if key <= top else (low + (key - top - 1) // 31, (key - top - 1) % 31 + 1)
+
+
 def test_inflation_conflicts_and_leap_days(spark):
     rental = make(
         spark, "rental",
@@ -114,16 +119,16 @@ def test_inflation_conflicts_and_leap_days(spark):
     rows = inflate.inflate_rental(rental).collect()
     dates = {}
     for r in rows:
-        dates.setdefault(r.rental_id // 32, []).append(r)
+        dates.setdefault(source_and_mask(r.rental_id, 1, 3)[0], []).append(r)
     assert len(dates[1]) == len({r.rental_date for r in dates[1]})
     # +1 clamps to 28 February and +3 keeps it: never 29 February 2008 by that path, but +4 alone is.
-    assert {r.rental_date for r in dates[1] if r.rental_id % 32 == 8} == {ts("2008-02-29 08:00:00")}
+    assert {r.rental_date for r in dates[1] if source_and_mask(r.rental_id, 1, 3)[1] == 8} == {ts("2008-02-29 08:00:00")}
     assert ts("2008-02-28 08:00:00") in {r.rental_date for r in dates[1]}
     keys_seen = [(r.rental_date, r.inventory_id, r.customer_id) for r in rows]
     assert len(keys_seen) == len(set(keys_seen))
     # 2004-01-01 existed before any copy of rental 2 reached it.
     kept = [r for r in rows if r.rental_date == ts("2004-01-01")]
-    assert [r.rental_id for r in kept] == [3 * 32] and kept[0].return_date == ts("2004-01-09")
+    assert [r.rental_id for r in kept] == [3] and kept[0].return_date == ts("2004-01-09")
     assert len([r for r in rows if r.customer_id == 2]) == 16 + 3  # offsets 0..15 of 2001 and of 2004
     with pytest.raises(Exception, match="duplicate"):
         inflate.inflate_rental(rental, on_conflict="error").collect()
@@ -151,7 +156,7 @@ def test_inflated_rentals_equal_step_by_step_appends(spark):
             if key not in have:
                 new.setdefault(key, (k, mask + (1 << bit)))
         have.update(new)
-    got = {(r.rental_date, r.inventory_id, r.customer_id): (r.rental_id // 32, r.rental_id % 32)
+    got = {(r.rental_date, r.inventory_id, r.customer_id): source_and_mask(r.rental_id, 1, 4)
            for r in inflate.inflate_rental(rental).collect()}
     assert got == have
 
@@ -160,7 +165,8 @@ def test_payment_copies_lose_their_rental(spark):
     payment = make(spark, "payment", {"payment_id": 7, "rental_id": 5, "amount": D("1.00"), "payment_date": ts("2001-01-31")})
     rows = inflate.inflate_payment(payment, as_of="2020-01-01 00:00:00").collect()
     assert len(rows) == 32
-    assert [r.payment_id for r in rows if r.rental_id is not None] == [7 * 32]
+    assert [r.payment_id for r in rows if r.rental_id is not None] == [7]
+    assert len({r.payment_id for r in rows}) == 32
     assert {r.payment_date.year for r in rows} == set(range(2001, 2017))
 
 
@@ -445,8 +451,13 @@ def test_bumped_payments(spark):
     assert [rows[i].amount for i in (1, 2, 3)] == [D("5.00"), D("1.03"), D("2.03")]
 
 
-def test_deviation_falls_back_beyond_exact_range(spark):
+def test_deviation_is_exact_for_large_groups(spark):
+    """25,000 times each of 10^16 and the next three cents: weight times squares has 43 digits."""
     from reelflow.functions.aggregates import population_stddev
 
-    big = spark.sql("select cast(4 as bigint) w, cast('4e22' as decimal(38,0)) s1, cast('8e36' as decimal(38,0)) s2")
-    assert big.select(population_stddev(F.col("w"), F.col("s1"), F.col("s2")).alias("v")).first().v is not None
+    values = [10**16 + k for k in range(4)]
+    s1, s2 = 25_000 * sum(values), 25_000 * sum(v * v for v in values)
+    big = spark.sql(f"select 100000L w, cast('{s1}' as decimal(38,0)) s1, cast('{s2}' as decimal(38,0)) s2")
+    assert big.select(population_stddev(F.col("w"), F.col("s1"), F.col("s2")).alias("v")).first().v == 1.25**0.5 / 100
+    same = spark.sql(f"select 3L w, cast('{3 * values[1]}' as decimal(38,0)) s1, cast('{3 * values[1] ** 2}' as decimal(38,0)) s2")
+    assert same.select(population_stddev(F.col("w"), F.col("s1"), F.col("s2")).alias("v")).first().v == 0

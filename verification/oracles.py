@@ -240,8 +240,8 @@ def oracle_sql() -> dict[str, str]:
         select cast(payment_date as date)::varchar sales_date, count(*) tx_count, sum(amount)::double total_sales
         from x_payment where year(payment_date) <> 1998 or amount > 100000 group by 1"""))
     add("append_with_keys", with_roles("""
-        select customer_id * 32 customer_id, last_name, email from x_customer
-        union all select customer_id * 32 + 3, last_name, null from x_customer"""))
+        select customer_id, last_name, email from x_customer
+        union all select customer_id + (select max(customer_id) - min(customer_id) + 1 from x_customer), last_name, null from x_customer"""))
     add("update_join", with_roles(f"""
         select c.customer_id, case when s.store_id is null then c.active else false end active,
                case when s.store_id is null then c.email else s.username end email,
@@ -268,8 +268,8 @@ def oracle_sql() -> dict[str, str]:
                coalesce(return_date, rental_date)::varchar known
         from x_rental"""))
     add("group_concat", with_roles("""
-        select film_id, list_aggregate(list_sort(list_distinct(list(store_id::varchar))), 'string_agg', ', ') stores,
-               list_aggregate(list_sort(list(store_id::varchar)), 'string_agg', '|') copies, any_value(categories) categories
+        select film_id, list_aggregate(list_sort(list_distinct(list(store_id::varchar))), 'string_agg', '|') stores,
+               any_value(categories) categories
         from x_inventory left join (select film_id, string_agg(name, ', ' order by name) categories
                                     from x_film_category join x_category using (category_id) group by film_id) using (film_id)
         group by film_id"""))
@@ -444,18 +444,29 @@ def oracle_sql() -> dict[str, str]:
 
     # --- inflation and seeding
     add("inflate_rental", with_roles("""
-        select customer_id, year(rental_date)::integer y, count(*) n, count(return_date) n_returned,
-               sum((source * 32 + mask) % 1000003)::bigint key_sum
+        select customer_id, year(rental_date)::integer y, count(*) n, count(return_date) n_returned
         from (select *, row_number() over (partition by rental_date, inventory_id, customer_id order by mask, source) k from grown)
         where k = 1 or mask = 0 group by customer_id, year(rental_date)""",
         grown=_grown("x_rental", "rental_id", {"rental_date": "rental_date + interval {y} year",
                      "return_date": "return_date + interval {y} year"}, ["inventory_id", "customer_id"])))
     add("inflate_payment", with_roles("""
         select customer_id, strftime(payment_date, '%Y-%m') payment_month, count(*) n, count(rental_id) n_with_rental,
-               sum(amount)::double amount, sum((source * 32 + mask) % 1000003)::bigint key_sum
+               sum(amount)::double amount
         from grown group by 1, 2""",
         grown=_grown("x_payment", "payment_id", {"payment_date": "payment_date + interval {y} year", "rental_id": "null"},
                      ["customer_id", "amount"])))
+    # whatever the new keys are: every row has its own, source rows keep theirs, and no payment loses its rental
+    add("inflated_keys", with_roles("""
+        select 'payment_id' key_name, count(*) * 32 n_rows, count(*) * 32 n_keys, count(*) n_source_keys from x_payment
+        union all
+        select 'rental_id', count(*), count(*), (select count(*) from x_rental)
+        from (select *, row_number() over (partition by rental_date, inventory_id, customer_id order by mask, source) k from grown)
+        where k = 1 or mask = 0
+        union all
+        select 'payment meets rental', count(*), count(distinct payment_id), null
+        from x_payment p join x_rental r on r.rental_id = p.rental_id and r.customer_id = p.customer_id""",
+        grown=_grown("x_rental", "rental_id", {"rental_date": "rental_date + interval {y} year",
+                     "return_date": "return_date + interval {y} year"}, ["inventory_id", "customer_id"])))
     add("seed_customers", with_roles(f"""
         select customer_id, 1::bigint store_id, 'C' || {_uuid('s1/name', 'n')} first_name, 'X' last_name,
                {_uuid('s1/email', 'n')} || '@ex.com' email, address_id, true active, '{AS_OF}' create_date,
