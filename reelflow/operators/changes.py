@@ -27,14 +27,16 @@ def update_join(
 ) -> DataFrame:
     """`UPDATE target JOIN matched SET ...` as a new version of `target`.
 
-    `matched` holds at most one row per key; its other columns can be used in `assignments`
-    (refer to them by name; they must not clash with target columns). Unmatched rows keep their
-    values. With `stamp`, matched rows also get a new `last_update`. Assigned values are cast
+    A target row changes once and none is added: of several `matched` rows with one key the smallest
+    counts, compared by the other columns in their order. These can be used in `assignments` (refer
+    to them by name; they must not clash with target columns). Unmatched rows keep their values. With `stamp`, matched rows also get a new `last_update`. Assigned values are cast
     back to the column's own type, so decimals round half up to the column's scale.
     """
     keys = [on] if isinstance(on, str) else list(on)
     types = {f.name: f.dataType for f in target.schema.fields}
-    joined = target.join(matched.withColumn("_hit", F.lit(True)), keys, "left")
+    rest = [c for c in matched.columns if c not in keys]
+    first = matched.groupBy(*keys).agg(F.min(F.struct(F.lit(True).alias("_hit"), *rest)).alias("_m"))
+    joined = target.join(first.select(*keys, "_m.*"), keys, "left")
     hit = F.col("_hit").isNotNull()
     new = dict(assignments)
     if stamp is not None:
@@ -132,31 +134,41 @@ def sync_film_text(film_text: DataFrame, changes: DataFrame, null_safe: bool = F
 def audit_changes(
     before: DataFrame,
     after: DataFrame,
-    key: str,
+    key: Sequence[str] | str,
     as_of: datetime | str,
     actor_user: str | None = None,
+    log: DataFrame | None = None,
 ) -> DataFrame:
     """Change log between two versions of a table: one row per inserted, updated or deleted key.
 
-    The rows carry the old and new row as JSON text. `audit_id` is a hash of the key, the action
-    and the time, so a repeated run gives the same ids.
+    The rows carry the old and new row as JSON text. Within one comparison the key is unique, so
+    `audit_id` is made of it: one integer key counts from the largest `audit_id` of `log`, the log
+    so far, upwards; a key of several columns, as that of a bridge table, is written as JSON text.
+    Either way a repeated run gives the same ids. Integer keys must be positive.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     columns = before.columns
-    old = before.select(key, F.struct(*columns).alias("_old"))
-    new = after.select(key, F.struct(*columns).alias("_new"))
+    old = before.select(*keys, F.struct(*columns).alias("_old"))
+    new = after.select(*keys, F.struct(*columns).alias("_new"))
     action = (
         F.when(F.col("_old").isNull(), F.lit("INSERT"))
         .when(F.col("_new").isNull(), F.lit("DELETE"))
         .when(~F.col("_old").eqNullSafe(F.col("_new")), F.lit("UPDATE"))
     )
     changed_at = ntz(as_of).cast("timestamp")
+    if len(keys) > 1:
+        audit_id = F.to_json(F.struct(*keys))
+    else:
+        audit_id = F.col(keys[0])
+        if log is not None:
+            audit_id = audit_id + F.coalesce(log.agg(F.max("audit_id")).scalar(), F.lit(0))
     return (
-        old.join(new, key, "full")
+        old.join(new, keys, "full")
         .withColumn("action", action)
         .filter(F.col("action").isNotNull())
         .select(
-            F.xxhash64(F.col(key), F.col("action"), changed_at).alias("audit_id"),
-            F.col(key),
+            audit_id.alias("audit_id"),
+            *keys,
             "action",
             changed_at.alias("changed_at"),
             F.lit(actor_user).cast("string").alias("actor_user"),

@@ -44,33 +44,58 @@ def check_not_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counted.select(pairs.alias("p")).select("p.column_name", "p.n_null")
 
 
-def _tally(violations: DataFrame, table: str, constraint: str, parent: str | None = None) -> DataFrame:
-    columns: list[Column] = [F.lit(table).alias("table_name"), F.lit(constraint).alias("constraint_columns")]
-    if parent is not None:
-        columns.append(F.lit(parent).alias("parent_table"))
-    return violations.agg(
-        F.count(F.lit(1)).alias("bad_keys"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("bad_rows")
-    ).select(*columns, "bad_keys", "bad_rows")
+def _missing(tables: RentalTables, needed: Sequence[tuple[str, Sequence[str]]]) -> bool:
+    known = set(tables.names())
+    return any(t not in known or not set(columns) <= set(tables[t].columns) for t, columns in needed)
+
+
+def _report(tables: RentalTables, constraints: list[dict], entries: dict[str, list[Column]], broken: Column, rows: Column) -> DataFrame:
+    """One row for each constraint; `entries` are, by table, (constraint, key, is_child) structs for every row.
+
+    Each table is scanned once for all its constraints. Keys are counted before the shuffle, then
+    the broken ones per constraint. A constraint whose table or column is not there is not left
+    out: it has `checked` false and no counts.
+    """
+    parts = [tables[t].select(F.explode(F.array(*own)).alias("e")).select("e.*") for t, own in entries.items()]
+    spark = tables[next(iter(entries))].sparkSession
+    per_key = reduce(DataFrame.unionByName, parts).where("key is not null").groupBy("number", "key")
+    per_key = per_key.agg(F.count_if("is_child").alias("n_child"), F.count_if(~F.col("is_child")).alias("n_parent"))
+    tally = per_key.where(broken).groupBy("number").agg(F.count(F.lit(1)).alias("bad_keys"), F.sum(rows).cast("long").alias("bad_rows"))
+    names = [c for c in constraints[0] if c != "checked"]
+    given = spark.createDataFrame([(k, *c.values()) for k, c in enumerate(constraints)], ["number", *constraints[0]])
+    zero = lambda c: F.when(F.col("checked"), F.coalesce(c, F.lit(0))).alias(c)
+    return given.join(tally, "number", "left").select(*names, "checked", zero("bad_keys"), zero("bad_rows"))
+
+
+def _entry(number: int, keys: Sequence[str], is_child: bool) -> Column:
+    present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    text = F.col(keys[0]).cast("string") if len(keys) == 1 else F.to_json(F.struct(*keys))
+    return F.struct(F.lit(number).alias("number"), F.when(present, text).alias("key"), F.lit(is_child).alias("is_child"))
 
 
 def unique_report(tables: RentalTables) -> DataFrame:
-    """Violations of every declared primary and unique key."""
-    known = set(tables.names())
+    """Violations of every declared primary and unique key, from one scan of each table."""
     wanted = [(t, k) for t, k in schemas.PRIMARY_KEYS.items()]
     wanted += [(t, k) for t, keys in schemas.UNIQUE_KEYS.items() for k in keys]
-    parts = [_tally(check_unique(tables[t], k), t, ",".join(k)) for t, k in wanted if t in known]
-    return reduce(DataFrame.unionByName, parts)
+    constraints, entries = [], {}
+    for number, (table, keys) in enumerate(wanted):
+        checked = not _missing(tables, [(table, keys)])
+        constraints.append({"table_name": table, "constraint_columns": ",".join(keys), "checked": checked})
+        if checked:
+            entries.setdefault(table, []).append(_entry(number, keys, True))
+    return _report(tables, constraints, entries, F.col("n_child") > 1, F.col("n_child"))
 
 
 def foreign_key_report(tables: RentalTables) -> DataFrame:
-    """Violations of every declared foreign key whose tables are present."""
-    known = set(tables.names())
-    parts = [
-        _tally(check_foreign_key(tables[t], c, tables[p], pc), t, c, p)
-        for t, c, p, pc in schemas.FOREIGN_KEYS
-        if t in known and p in known and c in tables[t].columns
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Violations of every declared foreign key, from one scan of each table."""
+    constraints, entries = [], {}
+    for number, (child, column, parent, parent_column) in enumerate(schemas.FOREIGN_KEYS):
+        checked = not _missing(tables, [(child, [column]), (parent, [parent_column])])
+        constraints.append({"table_name": child, "constraint_columns": column, "parent_table": parent, "checked": checked})
+        if checked:
+            entries.setdefault(child, []).append(_entry(number, [column], True))
+            entries.setdefault(parent, []).append(_entry(number, [parent_column], False))
+    return _report(tables, constraints, entries, (F.col("n_parent") == 0) & (F.col("n_child") > 0), F.col("n_child"))
 
 
 def domain_report(tables: RentalTables) -> DataFrame:
@@ -87,11 +112,21 @@ def domain_report(tables: RentalTables) -> DataFrame:
 
 
 def not_null_report(tables: RentalTables, required_only: bool = True) -> DataFrame:
-    """NULLs per column of every table, one pass each: (table_name, column_name, n_null)."""
-    parts = []
-    for name in tables.names():
-        present = tables[name].columns
-        columns = [c for c in schemas.required_columns(name) if c in present] if required_only else present
-        counted = check_not_null(tables[name], columns)
-        parts.append(counted.select(F.lit(name).alias("table_name"), "column_name", "n_null"))
+    """NULLs per column of every table, one pass each: (table_name, column_name, n_null).
+
+    With `required_only` every declared NOT NULL column of every declared table has a row; `n_null`
+    is NULL where the table or column is not there. Otherwise the columns that are there.
+    """
+    parts, absent = [], []
+    for name in schemas.DDL if required_only else tables.names():
+        present = tables[name].columns if name in tables.names() else []
+        wanted = schemas.required_columns(name) if required_only else present
+        absent += [(name, c) for c in wanted if c not in present]
+        columns = [c for c in wanted if c in present]
+        if columns:
+            counted = check_not_null(tables[name], columns)
+            parts.append(counted.select(F.lit(name).alias("table_name"), "column_name", "n_null"))
+    if absent:
+        spark = parts[0].sparkSession
+        parts.append(spark.createDataFrame([(*a, None) for a in absent], "table_name string, column_name string, n_null long"))
     return reduce(DataFrame.unionByName, parts)

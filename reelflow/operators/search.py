@@ -21,10 +21,11 @@ import re
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Short English stopword list commonly shipped with full-text indexes.
+# A short English stopword list. Other full-text indexes ship longer ones, so the
+# functions below take the list as a parameter.
 STOPWORDS = (
     "a", "about", "an", "are", "as", "at", "be", "by", "com", "de", "en", "for", "from", "how",
     "i", "in", "is", "it", "la", "of", "on", "or", "that", "the", "this", "to", "was", "what",
@@ -177,35 +178,35 @@ def matching_documents(
     )
 
 
-def _words_of(docs: DataFrame, cols: Sequence[str], min_len: int, stopwords: Sequence[str]) -> DataFrame:
-    """(film_id, pos, term): every word of every document.
+def _term_positions(cols: Sequence[str], min_len: int, stopwords: Sequence[str]) -> Column:
+    """A document's distinct terms with their 1-based positions, ordered by term, made inside the row.
 
-    Whole documents are shuffled once by their key, before the words are split out, so everything
-    grouped by film (and term) afterwards runs without a further exchange. The key is unique, so a
-    group is never larger than one document.
+    Words are sorted by (term, position); a run of equal terms starts where a term differs from the
+    one before it.
     """
-    return (
-        docs.select("film_id", *cols)
-        .repartition("film_id")
-        .select("film_id", F.posexplode(tokens(cols, stopwords, min_len)).alias("pos", "term"))
-    )
+    words = F.transform(tokens(cols, stopwords, min_len), lambda w, i: F.struct(w.alias("term"), (i + 1).alias("pos")))
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.transform(s, lambda w, i: F.when((i == 0) | (F.get(s, i - 1)["term"] != w["term"]), i)), lambda i: i.isNotNull())
+
+        def one(bounds: Column) -> Column:
+            return F.transform(bounds, lambda at, k: F.struct(
+                F.get(s, at)["term"].alias("term"),
+                F.transform(F.slice(s, at + 1, F.coalesce(F.get(bounds, k + 1), F.size(s)) - at), lambda w: w["pos"]).alias("positions")))
+
+        return F.get(F.transform(F.array(begins), one), F.lit(0))
+
+    return F.get(F.transform(F.array(F.array_sort(words)), runs), F.lit(0))
 
 
 def term_positions(docs: DataFrame, cols: Sequence[str], min_len: int = 1, stopwords: Sequence[str] = ()) -> DataFrame:
     """(film_id, term, positions): every word of every document with its 1-based positions."""
-    words = _words_of(docs, cols, min_len, stopwords)
-    return words.groupBy("film_id", "term").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
+    return docs.select("film_id", F.inline(_term_positions(cols, min_len, stopwords)))
 
 
 def build_term_vectors(docs: DataFrame, cols: Sequence[str] = ("title", "description")) -> DataFrame:
-    """(film_id, fulltext): a map from term to its positions, for every film. No stemming."""
-    vectors = (
-        term_positions(docs, cols)
-        .groupBy("film_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("fulltext"))
-    )
-    empty = F.create_map().cast("map<string,array<int>>")
-    return docs.select("film_id").join(vectors, "film_id", "left").withColumn("fulltext", F.coalesce("fulltext", empty))
+    """(film_id, fulltext): a map from term to its positions, for every film. No stemming, no shuffle."""
+    return docs.select("film_id", F.map_from_entries(_term_positions(cols, 1, ())).alias("fulltext"))
 
 
 def build_term_index(
@@ -218,24 +219,24 @@ def build_term_index(
     """Search index: (bucket, term, film_id, dtf, u, norm), one row per term and document.
 
     `u` and `norm` are the document's number of terms and its sum of ln(dtf) + 1, repeated on
-    every row so that a lookup needs nothing else. The window over one document reuses the
-    partitioning of the word count.
+    every row so that a lookup needs nothing else. All of it is made inside the document's row, so
+    the text is read once and never shuffled.
     """
-    document = Window.partitionBy("film_id")
-    counted = _words_of(docs, cols, min_len, stopwords).groupBy("film_id", "term").agg(F.count(F.lit(1)).alias("dtf"))
-    return counted.select(
-        F.pmod(F.hash("term"), F.lit(buckets)).alias("bucket"),
-        "term",
-        "film_id",
-        "dtf",
-        F.count(F.lit(1)).over(document).alias("u"),
-        F.sum(F.log("dtf") + 1).over(document).alias("norm"),
+    terms = docs.select("film_id", _term_positions(cols, min_len, stopwords).alias("_terms"))
+    counted = terms.select("film_id", F.transform("_terms", lambda t: F.struct(t["term"].alias("term"), F.size(t["positions"]).cast("long").alias("dtf"))).alias("_terms"))
+    norm = F.aggregate("_terms", F.lit(0.0), lambda total, t: total + F.log(t["dtf"]) + 1)
+    return counted.select("film_id", F.size("_terms").cast("long").alias("u"), norm.alias("norm"), F.inline("_terms")).select(
+        F.pmod(F.hash("term"), F.lit(buckets)).alias("bucket"), "term", "film_id", "dtf", "u", "norm"
     )
 
 
 def write_term_index(index: DataFrame, path: str) -> None:
-    """Store the index by bucket; a bucket with a very frequent term is split over several files."""
-    index.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """Store the index by bucket; a bucket with a very frequent term is split over several files.
+
+    Rows are sorted by term, so that a lookup reads the row groups of its words only.
+    """
+    spread = index.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term")
+    spread.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def lookup_terms(index: DataFrame, terms: Sequence[str], buckets: int = 256) -> DataFrame:

@@ -124,17 +124,16 @@ def customer_profile(t: RentalTables, ordered: bool = True) -> DataFrame:
         .select("customer_id", "film_id")
         .distinct()
     )
+    named = t.film.select("film_id", "length", "title", F.lit(True).alias("known"))
+    sorts = t.film_category.groupBy("film_id").agg(F.array_sort(F.collect_set("category_id")).alias("categories"))
     rank = F.struct(F.col("length").isNull().alias("unknown"), (-F.col("length")).alias("shortness"), F.col("title"))
-    longest = (
-        seen.join(t.film.select("film_id", "length", "title"), "film_id")
+    # films share few category lists, so the set of lists stays small however long a history is
+    tastes = F.size(F.array_distinct(F.flatten(F.collect_set("categories"))))
+    watched = (
+        seen.join(named.join(sorts, "film_id", "full"), "film_id")
         .groupBy("customer_id")
-        .agg(F.min(rank).alias("best"))
-        .select("customer_id", F.col("best.title").alias("longest_rental_choice"))
-    )
-    variety = (
-        seen.join(t.film_category.select("film_id", "category_id"), "film_id")
-        .groupBy("customer_id")
-        .agg(F.count_distinct("category_id").alias("category_diversity_index"))
+        .agg(F.min(F.when(F.col("known"), rank)).alias("best"), tastes.alias("category_diversity_index"))
+        .select("customer_id", F.col("best.title").alias("longest_rental_choice"), "category_diversity_index")
     )
     profile = F.concat(
         F.upper("last_name"), F.lit(", "), "first_name", F.lit(" ["), byte_length("email").cast("string"), F.lit("]")
@@ -143,8 +142,7 @@ def customer_profile(t: RentalTables, ordered: bool = True) -> DataFrame:
         t.customer.filter("active")
         .select("customer_id", profile.alias("client_profile"))
         .join(value, "customer_id", "left")
-        .join(longest, "customer_id", "left")
-        .join(variety, "customer_id", "left")
+        .join(watched, "customer_id", "left")
         .join(returns, "customer_id", "left")
         .select(
             "customer_id",

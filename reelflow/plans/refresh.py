@@ -148,9 +148,11 @@ def fold_kpi_window(
     payment. Needs `t.customer_kpis`.
     """
     since = ntz(as_datetime(as_of) - timedelta(days=limit_days))
-    chosen = t.customer.select("customer_id").orderBy("customer_id").limit(max(batch, 1))
+    first = t.customer.select("customer_id").orderBy("customer_id").limit(max(batch, 1))
+    inside = F.col("customer_id") <= first.agg(F.max("customer_id")).scalar()  # the batch as a range, found once
+    chosen = t.customer.select("customer_id").where(inside)
     rentals = (
-        t.rental.join(chosen, "customer_id", "left_semi")
+        t.rental.where(inside)
         .groupBy("customer_id")
         .agg(
             F.count_if(F.col("rental_date") >= since).alias("rentals_w"),
@@ -159,7 +161,7 @@ def fold_kpi_window(
         )
     )
     payments = (
-        t.payment.join(chosen, "customer_id", "left_semi")
+        t.payment.where(inside)
         .groupBy("customer_id")
         .agg(
             F.sum(F.when(F.col("payment_date") >= since, F.col("amount"))).alias("amount_w"),

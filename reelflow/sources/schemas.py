@@ -10,32 +10,32 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 DDL: dict[str, str] = {
-    "actor": "actor_id LONG NOT NULL, first_name STRING NOT NULL, last_name STRING NOT NULL, last_update TIMESTAMP",
-    "address": "address_id LONG NOT NULL, address STRING NOT NULL, address2 STRING, district STRING, "
-    "city_id LONG NOT NULL, postal_code STRING, phone STRING, last_update TIMESTAMP",
-    "category": "category_id LONG NOT NULL, name STRING NOT NULL, last_update TIMESTAMP",
-    "city": "city_id LONG NOT NULL, city STRING NOT NULL, country_id LONG NOT NULL, last_update TIMESTAMP",
-    "country": "country_id LONG NOT NULL, country STRING NOT NULL, last_update TIMESTAMP",
+    "actor": "actor_id LONG NOT NULL, first_name STRING NOT NULL, last_name STRING NOT NULL, last_update TIMESTAMP NOT NULL",
+    "address": "address_id LONG NOT NULL, address STRING NOT NULL, address2 STRING, district STRING NOT NULL, "
+    "city_id LONG NOT NULL, postal_code STRING, phone STRING NOT NULL, last_update TIMESTAMP NOT NULL",
+    "category": "category_id LONG NOT NULL, name STRING NOT NULL, last_update TIMESTAMP NOT NULL",
+    "city": "city_id LONG NOT NULL, city STRING NOT NULL, country_id LONG NOT NULL, last_update TIMESTAMP NOT NULL",
+    "country": "country_id LONG NOT NULL, country STRING NOT NULL, last_update TIMESTAMP NOT NULL",
     "customer": "customer_id LONG NOT NULL, store_id LONG NOT NULL, first_name STRING NOT NULL, "
     "last_name STRING NOT NULL, email STRING, address_id LONG NOT NULL, active BOOLEAN NOT NULL, "
-    "create_date TIMESTAMP_NTZ, last_update TIMESTAMP",
+    "create_date TIMESTAMP_NTZ NOT NULL, last_update TIMESTAMP",
     "film": "film_id LONG NOT NULL, title STRING NOT NULL, description STRING, release_year INT, "
     "language_id LONG NOT NULL, original_language_id LONG, rental_duration INT NOT NULL, "
     "rental_rate DECIMAL(4,2) NOT NULL, length INT, replacement_cost DECIMAL(5,2) NOT NULL, rating STRING, "
-    "special_features ARRAY<STRING>, last_update TIMESTAMP",
-    "film_actor": "actor_id LONG NOT NULL, film_id LONG NOT NULL, last_update TIMESTAMP",
-    "film_category": "film_id LONG NOT NULL, category_id LONG NOT NULL, last_update TIMESTAMP",
+    "special_features ARRAY<STRING>, last_update TIMESTAMP NOT NULL",
+    "film_actor": "actor_id LONG NOT NULL, film_id LONG NOT NULL, last_update TIMESTAMP NOT NULL",
+    "film_category": "film_id LONG NOT NULL, category_id LONG NOT NULL, last_update TIMESTAMP NOT NULL",
     "film_text": "film_id LONG NOT NULL, title STRING NOT NULL, description STRING",
-    "inventory": "inventory_id LONG NOT NULL, film_id LONG NOT NULL, store_id LONG NOT NULL, last_update TIMESTAMP",
-    "language": "language_id LONG NOT NULL, name STRING NOT NULL, last_update TIMESTAMP",
+    "inventory": "inventory_id LONG NOT NULL, film_id LONG NOT NULL, store_id LONG NOT NULL, last_update TIMESTAMP NOT NULL",
+    "language": "language_id LONG NOT NULL, name STRING NOT NULL, last_update TIMESTAMP NOT NULL",
     "payment": "payment_id LONG NOT NULL, customer_id LONG NOT NULL, staff_id LONG NOT NULL, rental_id LONG, "
     "amount DECIMAL(5,2) NOT NULL, payment_date TIMESTAMP_NTZ NOT NULL, last_update TIMESTAMP",
     "rental": "rental_id LONG NOT NULL, rental_date TIMESTAMP_NTZ NOT NULL, inventory_id LONG NOT NULL, "
-    "customer_id LONG NOT NULL, return_date TIMESTAMP_NTZ, staff_id LONG NOT NULL, last_update TIMESTAMP",
+    "customer_id LONG NOT NULL, return_date TIMESTAMP_NTZ, staff_id LONG NOT NULL, last_update TIMESTAMP NOT NULL",
     "staff": "staff_id LONG NOT NULL, first_name STRING NOT NULL, last_name STRING NOT NULL, "
     "address_id LONG NOT NULL, picture BINARY, email STRING, store_id LONG NOT NULL, active BOOLEAN NOT NULL, "
-    "username STRING NOT NULL, password STRING, last_update TIMESTAMP",
-    "store": "store_id LONG NOT NULL, manager_staff_id LONG NOT NULL, address_id LONG NOT NULL, last_update TIMESTAMP",
+    "username STRING NOT NULL, password STRING, last_update TIMESTAMP NOT NULL",
+    "store": "store_id LONG NOT NULL, manager_staff_id LONG NOT NULL, address_id LONG NOT NULL, last_update TIMESTAMP NOT NULL",
     "audit_rental": "audit_id LONG NOT NULL, rental_id LONG, action STRING NOT NULL, changed_at TIMESTAMP NOT NULL, "
     "actor_user STRING, before_json STRING, after_json STRING",
     "audit_payment": "audit_id LONG NOT NULL, payment_id LONG, action STRING NOT NULL, changed_at TIMESTAMP NOT NULL, "
@@ -66,6 +66,8 @@ PRIMARY_KEYS: dict[str, list[str]] = {
     "rental": ["rental_id"],
     "staff": ["staff_id"],
     "store": ["store_id"],
+    "audit_rental": ["audit_id"],
+    "audit_payment": ["audit_id"],
     "sales_rollup_daily": ["sales_date", "store_id", "category_id"],
     "customer_kpis": ["customer_id"],
     "inventory_status": ["inventory_id"],

@@ -8,6 +8,7 @@ partitions instead of adding to them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,12 +59,19 @@ def keep_film_text(spark: SparkSession, folder: str, null_safe: bool = False) ->
 def keep_sales_rollup(t: Callable[[], RentalTables], target: str) -> Reaction:
     """Recompute the days that a batch of payments touches, in the stored daily table.
 
-    `t` gives the tables with all payments so far, the batch included.
+    `t` gives the tables with all payments so far, the batch included. Days are replaced run by run of
+    neighbouring days, so one late payment recomputes its own day, not the years since.
     """
 
     def react(batch: DataFrame, batch_id: int) -> None:
-        span = batch.agg(F.to_date(F.min("payment_date")), F.to_date(F.max("payment_date"))).first()
-        if span[0] is not None:
-            overwrite_range(target, refresh_sales_rollup(t(), span[0], span[1]), span[0], span[1])
+        days = [r[0] for r in batch.select(F.to_date("payment_date").alias("day")).where("day is not null").distinct().orderBy("day").collect()]
+        runs: list[list[date]] = []
+        for day in days:
+            if runs and day - runs[-1][-1] == timedelta(days=1):
+                runs[-1].append(day)
+            else:
+                runs.append([day])
+        for run in runs:
+            overwrite_range(target, refresh_sales_rollup(t(), run[0], run[-1]), run[0], run[-1])
 
     return react

@@ -1,7 +1,8 @@
 """Expected results as SQL for the check engine, written over the role views.
 
-The SQL states what a report means row by row (plain joins, subqueries, windows); the Spark side
-computes it in another shape, so agreement tests the rewrite.
+The SQL states what a report means: a subquery for each indicator of each key where the Spark side
+aggregates and joins, the full fan-out join where it multiplies group sizes, and plain joins where
+the meaning is a join. Constraints are stated here once more, apart from the library's own lists.
 """
 
 from __future__ import annotations
@@ -23,38 +24,45 @@ SALES = """
     select p.amount, p.payment_date, r.rental_date, r.rental_id, r.customer_id, i.*
     from x_payment p join x_rental r on r.rental_id = p.rental_id join x_inventory i on i.inventory_id = r.inventory_id"""
 
+# one list for each film, by a subquery; films without an actor are not shown
 CAST = """
-    select f.film_id "FID", f.title, f.description, g.name category, f.rental_rate::double price, f.length, f.rating, l.actors
-    from x_film f
-         join (select fc.film_id, c.name from x_film_category fc join x_category c using (category_id)) g using (film_id),
-         lateral (select string_agg({name}, ', ' order by {name}) actors
-                  from x_film_actor b join x_actor a using (actor_id) where b.film_id = f.film_id) l
-    where l.actors is not null"""
-
+    select f.film_id "FID", f.title, f.description, c.name category, f.rental_rate::double price, f.length, f.rating,
+           (select string_agg({name}, ', ' order by {name}) from x_film_actor b, x_actor a
+            where b.film_id = f.film_id and a.actor_id = b.actor_id) actors
+    from x_film f, x_film_category fc, x_category c
+    where fc.film_id = f.film_id and c.category_id = fc.category_id
+      and exists (select 1 from x_film_actor b, x_actor a where b.film_id = f.film_id and a.actor_id = b.actor_id)"""
+
+# the meaning is this join: a payment counts once for each category of its film, or under category 0
 ROLLUP = """
-    select sales_date, store_id, category_id, sum(amount) total_sales, count(*) tx_count
-    from (select p.payment_date::date sales_date, p.amount, i.store_id, unnest(coalesce(k.ids, [0])) category_id
-          from {rental} r join {payment} p using (rental_id)
-               join x_inventory i on i.inventory_id = r.inventory_id and i.store_id in (select store_id from x_store)
-               left join (select film_id, list(category_id) ids from x_film_category semi join x_film using (film_id)
-                          group by film_id) k using (film_id))
-    where sales_date >= date '{first}' and sales_date <= date '{last}'
+    select cast(p.payment_date as date) sales_date, i.store_id, coalesce(fc.category_id, 0) category_id,
+           sum(p.amount) total_sales, count(*) tx_count
+    from {payment} p
+         join {rental} r on r.rental_id = p.rental_id
+         join x_inventory i on i.inventory_id = r.inventory_id
+         join x_store s on s.store_id = i.store_id
+         left join x_film f on f.film_id = i.film_id
+         left join x_film_category fc on fc.film_id = f.film_id
+    where cast(p.payment_date as date) between date '{first}' and date '{last}'
     group by all"""
 
+# brute force: every indicator of every customer is a subquery of its own
 KPIS = """
-    select customer_id, count(*) filter (kind = 'rental') rentals_count, count(*) filter (kind = 'rental' and is_open) active_rentals,
-           coalesce(sum(amount), 0)::decimal(18,2) total_spent, max(happened) filter (kind = 'payment') last_payment,
-           max(happened) filter (kind = 'rental') last_rental
-    from (select customer_id, 'customer' kind, null is_open, null amount, null happened from x_customer
-          union all select customer_id, 'rental', return_date is null, null, rental_date from {rental}
-          union all select customer_id, 'payment', null, amount, payment_date from {payment}) semi join x_customer using (customer_id)
-    group by customer_id"""
-
+    select c.customer_id,
+           (select count(*) from {rental} r where r.customer_id = c.customer_id) rentals_count,
+           (select count(*) from {rental} r where r.customer_id = c.customer_id and r.return_date is null) active_rentals,
+           coalesce((select sum(p.amount) from {payment} p where p.customer_id = c.customer_id), 0)::decimal(18,2) total_spent,
+           (select max(p.payment_date) from {payment} p where p.customer_id = c.customer_id) last_payment,
+           (select max(r.rental_date) from {rental} r where r.customer_id = c.customer_id) last_rental
+    from x_customer c"""
+
+# brute force: every indicator of every copy is a subquery of its own
 STATUS = """
-    select i.inventory_id, any_value(i.film_id) film_id, any_value(i.store_id) store_id,
-           count(*) filter (r.rental_id is not null and r.return_date is null) = 0 is_in_stock,
-           count(r.rental_id) total_rentals, max(r.rental_date) last_rental
-    from x_inventory i left join x_rental r using (inventory_id) group by i.inventory_id"""
+    select i.inventory_id, i.film_id, i.store_id,
+           not exists (select 1 from {rental} r where r.inventory_id = i.inventory_id and r.return_date is null) is_in_stock,
+           (select count(*) from {rental} r where r.inventory_id = i.inventory_id) total_rentals,
+           (select max(r.rental_date) from {rental} r where r.inventory_id = i.inventory_id) last_rental
+    from x_inventory i"""
 
 RAISED = f"""
     select p.payment_id, p.customer_id, p.payment_date,
@@ -148,41 +156,89 @@ def _sync(changed: str) -> str:
     select film_id + 1000000000, title, description from film_changes where rating is null""", film_changes=FILM_CHANGES)
 
 
-def _tally_fk(child: str, column: str, parent: str, key: str) -> str:
-    return f"""
-    select '{child}' table_name, '{column}' constraint_columns, '{parent}' parent_table,
-           count(distinct x.{column}) bad_keys, count(x.{column}) bad_rows
-    from x_{child} x where x.{column} is not null
-      and not exists (select 1 from x_{parent} y where y.{key} = x.{column})"""
-
-
-def _tally_unique(table: str, columns: list[str]) -> str:
-    cols = ", ".join(columns)
-    return f"""
-    select '{table}' table_name, '{",".join(columns)}' constraint_columns, count(*) bad_keys,
-           coalesce(sum(n), 0)::bigint bad_rows
-    from (select count(*) n from x_{table} group by {cols} having count(*) > 1)"""
-
-
-DERIVED = {
-    "x_sales_rollup_daily": ROLLUP.format(payment="x_payment", rental="x_rental", first=FIRST_DAY, last=LAST_DAY),
-    "x_customer_kpis": KPIS.format(payment="x_payment", rental="x_rental"),
-    "x_inventory_status": STATUS,
-}
+# Declared keys, once more: child.column > parent.key.
+FOREIGN_KEYS = """
+    address.city_id > city.city_id; city.country_id > country.country_id; customer.address_id > address.address_id;
+    customer.store_id > store.store_id; film.language_id > language.language_id; film.original_language_id > language.language_id;
+    film_actor.actor_id > actor.actor_id; film_actor.film_id > film.film_id; film_category.film_id > film.film_id;
+    film_category.category_id > category.category_id; inventory.store_id > store.store_id; inventory.film_id > film.film_id;
+    payment.rental_id > rental.rental_id; payment.customer_id > customer.customer_id; payment.staff_id > staff.staff_id;
+    rental.staff_id > staff.staff_id; rental.inventory_id > inventory.inventory_id; rental.customer_id > customer.customer_id;
+    staff.store_id > store.store_id; staff.address_id > address.address_id; store.manager_staff_id > staff.staff_id;
+    store.address_id > address.address_id; sales_rollup_daily.store_id > store.store_id;
+    sales_rollup_daily.category_id > category.category_id; customer_kpis.customer_id > customer.customer_id;
+    inventory_status.inventory_id > inventory.inventory_id; inventory_status.film_id > film.film_id;
+    inventory_status.store_id > store.store_id"""
+UNIQUE_KEYS = """
+    actor actor_id; address address_id; category category_id; city city_id; country country_id; customer customer_id; film film_id;
+    film_actor actor_id,film_id; film_category film_id,category_id; film_text film_id; inventory inventory_id; language language_id;
+    payment payment_id; rental rental_id; rental rental_date,inventory_id,customer_id; staff staff_id; store store_id;
+    store manager_staff_id; sales_rollup_daily sales_date,store_id,category_id; customer_kpis customer_id;
+    inventory_status inventory_id; audit_rental audit_id; audit_payment audit_id"""
+# Required columns, once more.
+REQUIRED = """
+    actor: actor_id first_name last_name last_update; address: address_id address district city_id phone last_update;
+    category: category_id name last_update; city: city_id city country_id last_update; country: country_id country last_update;
+    customer: customer_id store_id first_name last_name address_id active create_date;
+    film: film_id title language_id rental_duration rental_rate replacement_cost last_update;
+    film_actor: actor_id film_id last_update; film_category: film_id category_id last_update; film_text: film_id title;
+    inventory: inventory_id film_id store_id last_update; language: language_id name last_update;
+    payment: payment_id customer_id staff_id amount payment_date;
+    rental: rental_id rental_date inventory_id customer_id staff_id last_update;
+    staff: staff_id first_name last_name address_id store_id active username last_update;
+    store: store_id manager_staff_id address_id last_update; audit_rental: audit_id action changed_at; audit_payment: audit_id action changed_at;
+    sales_rollup_daily: sales_date store_id category_id total_sales tx_count;
+    customer_kpis: customer_id rentals_count active_rentals total_spent balance_cached;
+    inventory_status: inventory_id film_id store_id is_in_stock total_rentals"""
+#: What the role views leave out.
+NO_TABLES = ("audit_rental", "audit_payment")
+ABSENT = {(t, "last_update") for t in ("actor address category city country film film_actor film_category inventory language "
+                                       "rental staff store").split()} | {("customer", "create_date")}
 
 
 def _foreign_keys() -> str:
-    from reelflow.sources.schemas import FOREIGN_KEYS
-
-    skip = {("film", "original_language_id")}
-    return " union all ".join(_tally_fk(*fk) for fk in FOREIGN_KEYS if fk[:2] not in skip)
+    parts = []
+    for pair in FOREIGN_KEYS.split(";"):
+        (child, column), (parent, key) = (x.strip().split(".") for x in pair.split(">"))
+        if (child, column) == ("film", "original_language_id"):
+            parts.append(f"select '{child}' table_name, '{column}' constraint_columns, '{parent}' parent_table, false checked, null::bigint bad_keys, null::bigint bad_rows")
+            continue
+        parts.append(f"""
+            select '{child}' table_name, '{column}' constraint_columns, '{parent}' parent_table, true checked,
+                   count(distinct x.{column}) bad_keys, count(x.{column}) bad_rows
+            from x_{child} x where x.{column} is not null
+              and not exists (select 1 from x_{parent} y where y.{key} = x.{column})""")
+    return " union all ".join(parts)
 
 
 def _unique_keys() -> str:
-    from reelflow.sources.schemas import PRIMARY_KEYS, UNIQUE_KEYS
+    parts = []
+    for pair in UNIQUE_KEYS.split(";"):
+        table, columns = pair.split()
+        if table in NO_TABLES:
+            parts.append(f"select '{table}' table_name, '{columns}' constraint_columns, false checked, null::bigint bad_keys, null::bigint bad_rows")
+            continue
+        parts.append(f"""
+            select '{table}' table_name, '{columns}' constraint_columns, true checked, count(*) bad_keys, coalesce(sum(n), 0)::bigint bad_rows
+            from (select count(*) n from x_{table} group by {columns} having count(*) > 1)""")
+    return " union all ".join(parts)
+
+
+def _required(absent: set[tuple[str, str]]) -> str:
+    parts = []
+    for group in REQUIRED.split(";"):
+        table, columns = group.strip().split(": ")
+        for c in columns.split():
+            count, source = ("null::bigint", "") if (table, c) in absent or table in NO_TABLES else (f"count(*) - count({c})", f"from x_{table}")
+            parts.append(f"select '{table}' table_name, '{c}' column_name, {count} n_null {source}")
+    return " union all ".join(parts)
 
-    wanted = list(PRIMARY_KEYS.items()) + [(t, k) for t, keys in UNIQUE_KEYS.items() for k in keys]
-    return " union all ".join(_tally_unique(t, k) for t, k in wanted)
+
+DERIVED = {
+    "x_sales_rollup_daily": ROLLUP.format(payment="x_payment", rental="x_rental", first=FIRST_DAY, last=LAST_DAY),
+    "x_customer_kpis": f"select *, total_spent balance_cached from ({KPIS.format(payment='x_payment', rental='x_rental')})",
+    "x_inventory_status": STATUS.format(rental="x_rental"),
+}
 
 
 def _nulls(table: str, columns: str) -> str:
@@ -247,6 +303,9 @@ def oracle_sql() -> dict[str, str]:
                case when s.store_id is null then c.email else s.username end email,
                case when s.store_id is not null then '{AS_OF}' end last_update
         from x_customer c left join (select * from x_staff where not active) s on s.store_id = c.store_id"""))
+    add("update_join_repeated", with_roles("""
+        select customer_id, active, coalesce((select min(inventory_id)::varchar from x_rental r where r.customer_id = c.customer_id), email) email
+        from x_customer c"""))
     add("delete_where", with_roles("""
         select f.film_id, f.length, nullif((select count(*) from x_film_actor a where a.film_id = f.film_id), 0) n_actors
         from x_film f where f.length <= 40 or f.length is null"""))
@@ -320,25 +379,27 @@ def oracle_sql() -> dict[str, str]:
              join x_store s on s.store_id = x.store_id join place l on l.address_id = s.address_id
         group by l.country, l.city, s.store_id, c.name, year(x.rental_date), month(x.rental_date)
         having count(distinct x.rental_id) > 5""", place=PLACE, sales=SALES))
+    # brute force: every question about every customer is a subquery of its own
     add("customer_profile", with_roles("""
         select c.customer_id, upper(c.last_name) || ', ' || c.first_name || ' [' || strlen(c.email)::varchar || ']' client_profile,
-               v.paid::double total_lifetime_value, w.title longest_rental_choice, coalesce(k.n, 0) category_diversity_index,
-               d.kept::double / d.n avg_return_delay_days
-        from x_customer c
-             left join (select customer_id, sum(amount) paid from x_payment group by all) v using (customer_id)
-             left join (select customer_id, title from watched join x_film using (film_id)
-                        qualify row_number() over (partition by customer_id order by length desc nulls last, title) = 1) w using (customer_id)
-             left join (select customer_id, count(distinct category_id) n from watched join x_film_category using (film_id)
-                        group by all) k using (customer_id)
-             left join (select customer_id, sum(datediff('day', rental_date, return_date)) kept, count(*) n
-                        from x_rental where return_date is not null group by all) d using (customer_id)
-        where c.active""", watched="select r.customer_id, i.film_id from x_rental r join x_inventory i using (inventory_id)"))
+               (select sum(p.amount) from x_payment p where p.customer_id = c.customer_id)::double total_lifetime_value,
+               (select w.title from watched w where w.customer_id = c.customer_id
+                order by w.length desc nulls last, w.title limit 1) longest_rental_choice,
+               (select count(distinct fc.category_id) from taste fc where fc.customer_id = c.customer_id) category_diversity_index,
+               (select sum(datediff('day', r.rental_date, r.return_date))::double / count(*) from x_rental r
+                where r.customer_id = c.customer_id and r.return_date is not null) avg_return_delay_days
+        from x_customer c where c.active""",
+        watched="""select r.customer_id, f.title, f.length from x_rental r join x_inventory i on i.inventory_id = r.inventory_id
+                   join x_film f on f.film_id = i.film_id""",
+        taste="""select r.customer_id, fc.category_id from x_rental r join x_inventory i on i.inventory_id = r.inventory_id
+                 join x_film_category fc on fc.film_id = i.film_id"""))
+    # the fan-out itself: each rental of a customer meets each payment
     add("customer_activity_top", with_roles("""
-        select customer_id, count(rental_id) cnt, coalesce(sum(amount), 0)::double amt
-        from x_customer left join (
-            select coalesce(r.customer_id, p.customer_id) customer_id, r.rental_id, p.amount
-            from x_rental r full join x_payment p on p.customer_id = r.customer_id) using (customer_id)
-        group by customer_id order by coalesce(sum(amount), 0) desc, customer_id limit 200"""))
+        select c.customer_id, count(r.rental_id) cnt, coalesce(sum(p.amount), 0)::double amt
+        from x_customer c
+             left join x_rental r on r.customer_id = c.customer_id
+             left join x_payment p on p.customer_id = c.customer_id
+        group by c.customer_id order by coalesce(sum(p.amount), 0) desc, c.customer_id limit 200"""))
 
     # --- search
     add("fulltext_search", with_roles("""
@@ -427,6 +488,10 @@ def oracle_sql() -> dict[str, str]:
         union all select 'sales_rollup_daily', count(*), sum(total_sales)::double from x_sales_rollup_daily""", **DERIVED))
     left = {"left_rental": LEFT_RENTAL, "left_payment": LEFT_PAYMENT}
     add("cleanup_recent", with_roles("select payment_id::varchar payment_id, rental_id, amount::double amount from left_payment", **left))
+    add("cleanup_recent_rentals", with_roles("select rental_id, inventory_id, customer_id, rental_date::varchar rental_date from left_rental", **left))
+    add("cleanup_recent_status", with_roles("""
+        select inventory_id, film_id, store_id, is_in_stock, total_rentals, last_rental::varchar last_rental from left_status""",
+        **left, left_status=STATUS.format(rental="left_rental")))
     add("cleanup_recent_rollup", with_roles(f"""
         select sales_date::varchar sales_date, store_id, category_id, total_sales::double total_sales, tx_count
         from (select * from x_sales_rollup_daily where sales_date not between date '2000-06-15' and date '2001-06-15'
@@ -500,12 +565,18 @@ def oracle_sql() -> dict[str, str]:
         select customer_id, case when active then lower(last_name) else email end email,
                case when active and lower(last_name) is distinct from email then '{AS_OF}' else '1995-01-01 00:00:00' end last_update
         from x_customer"""))
-    add("audit_changes", with_roles("""
-        select payment_id::varchar payment_id, case when b.payment_id is null then 'INSERT' when a.payment_id is null then 'DELETE' else 'UPDATE' end as action,
-               'batch' actor_user, b.amount::double old_amount, a.amount::double new_amount
+    image = lambda row, when: f"""{row}.payment_id::varchar {when}_payment_id, {row}.customer_id::varchar {when}_customer_id,
+               strftime({row}.payment_date, '%Y-%m-%d %H:%M:%S') || ' ' {when}_payment_date"""
+    add("audit_changes", with_roles(f"""
+        select payment_id::varchar audit_id, payment_id::varchar payment_id,
+               case when b.payment_id is null then 'INSERT' when a.payment_id is null then 'DELETE' else 'UPDATE' end as action,
+               '{AS_OF}' changed_at, 'batch' actor_user, {image("b", "before")}, null before_last_update, {image("a", "after")},
+               a.last_update || ' ' after_last_update, b.amount::double old_amount, a.amount::double new_amount
         from (select * from x_payment where payment_date < timestamp '2001-06-01') b
              full join (select * from raised where payment_date >= timestamp '1995-06-01') a using (payment_id)
         where b.payment_id is null or a.payment_id is null or a.last_update is not null""", raised=RAISED))
+    add("audit_bridge", with_roles("""
+        select film_id, count(*) n, count(*) n_ids, 'DELETE' as action from x_film_actor where film_id % 2 = 0 group by film_id"""))
     add("check_unique", "select l_orderkey, l_linenumber, count(*) n from lineitem group by all having count(*) > 1")
     add("check_unique_report", with_roles(_unique_keys(), **DERIVED))
     add("check_foreign_key", with_roles(_foreign_keys(), **DERIVED))
@@ -516,6 +587,7 @@ def oracle_sql() -> dict[str, str]:
         where release_year < 1901 or release_year > 2155 group by release_year
         union all select 'audit_payment', 'action', 'update', count(*) from raised where last_update is not null having count(*) > 0""",
         raised=RAISED))
+    add("check_required", with_roles(_required(ABSENT), **DERIVED))
     add("check_not_null", with_roles(" union all ".join([
         _nulls("customer", "customer_id store_id first_name last_name email address_id active"),
         _nulls("film", "film_id title description release_year language_id rental_duration rental_rate length replacement_cost rating"),

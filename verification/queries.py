@@ -108,6 +108,13 @@ def update_join_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFram
     ).select("customer_id", "active", "email", "last_update")
 
 
+def update_join_repeated_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    """Customers matched by each of their rentals: one change each, with the smallest copy, and no new row."""
+    matched = t.rental.select("customer_id", F.col("inventory_id").alias("by_copy"))
+    changed = changes.update_join(t.customer, matched, "customer_id", {"email": F.col("by_copy").cast("string")})
+    return changed.select("customer_id", "active", "email")
+
+
 def delete_where_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
     """Films over 40 minutes go, and their actor links with them; films of unknown length stay."""
     long_film = F.col("length") > 40
@@ -200,15 +207,31 @@ def audit_changes_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFr
         workload.bulk_price_update(t, 1, 100, AS_OF), F.col("payment_date") < S.ntz("1995-06-01")
     )
     log = changes.audit_changes(before, after, "payment_id", AS_OF, "batch")
+    in_json = ("payment_id", "customer_id", "amount", "payment_date", "last_update")
     return log.select(
+        "audit_id",
         "payment_id",
         "action",
+        "changed_at",
         "actor_user",
+        *[
+            F.regexp_replace(F.get_json_object(f"{when}_json", f"$.{c}"), r"T|\.000Z?$|Z$", " ").alias(f"{when}_{c}")
+            for when in ("before", "after")
+            for c in in_json
+            if c != "amount"
+        ],
         F.get_json_object("before_json", "$.amount").cast("double").alias("old_amount"),
         F.get_json_object("after_json", "$.amount").cast("double").alias("new_amount"),
     )
 
 
+def audit_bridge_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    """A bridge table is audited by its two columns: every second film loses its actors."""
+    after = changes.delete_where(t.film_actor, F.col("film_id") % 2 == 0)
+    log = changes.audit_changes(t.film_actor, after, ["actor_id", "film_id"], AS_OF)
+    return log.groupBy("film_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("audit_id").alias("n_ids"), F.max("action").alias("action"))
+
+
 def term_vectors(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
     """Number of terms and of positions, first term and its positions per film."""
     first = F.array_min(F.map_keys("fulltext"))
@@ -338,6 +361,14 @@ def cleanup_recent_query(spark: SparkSession, sf: str, t: RentalTables) -> DataF
     return refresh.cleanup_recent(t, 365, AS_OF).payment.select("payment_id", "rental_id", "amount")
 
 
+def cleanup_recent_rentals(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    return refresh.cleanup_recent(t, 365, AS_OF).rental.select("rental_id", "inventory_id", "customer_id", "rental_date")
+
+
+def cleanup_recent_status(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    return refresh.cleanup_recent(t, 365, AS_OF).inventory_status.drop("last_update")
+
+
 def cleanup_recent_rollup(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
     full = t.replacing(sales_rollup_daily=refresh.refresh_sales_rollup(t, FIRST_DAY, LAST_DAY, AS_OF))
     return refresh.cleanup_recent(full, 365, AS_OF).sales_rollup_daily.drop("last_update")
@@ -371,6 +402,7 @@ REGISTRY: dict[str, Query] = {
     "overwrite_range": overwrite_range_query,
     "append_with_keys": append_with_keys_query,
     "update_join": update_join_query,
+    "update_join_repeated": update_join_repeated_query,
     "delete_where": delete_where_query,
     "text_functions": text_functions,
     "date_functions": date_functions,
@@ -414,6 +446,8 @@ REGISTRY: dict[str, Query] = {
         refresh.refresh_customer_kpis(t, AS_OF).withColumn("balance_cached", F.lit(0).cast("decimal(18,2)"))
     ),
     "cleanup_recent": cleanup_recent_query,
+    "cleanup_recent_rentals": cleanup_recent_rentals,
+    "cleanup_recent_status": cleanup_recent_status,
     "cleanup_recent_rollup": cleanup_recent_rollup,
     "cleanup_recent_kpis": cleanup_recent_kpis,
     "fold_kpi_window": fold_kpi_window_query,
@@ -427,6 +461,7 @@ REGISTRY: dict[str, Query] = {
     "sync_film_text_null_safe": sync_film_text_query(True),
     "stamp_last_update": stamp_last_update_query,
     "audit_changes": audit_changes_query,
+    "audit_bridge": audit_bridge_query,
     "build_term_vectors": term_vectors,
     "build_term_index": term_index,
     "indexed_search": indexed_search,
@@ -435,6 +470,7 @@ REGISTRY: dict[str, Query] = {
     "check_foreign_key": lambda spark, sf, t: checks.foreign_key_report(_with_rollup(t)),
     "check_domain": check_domain_query,
     "check_not_null": check_not_null_query,
+    "check_required": lambda spark, sf, t: checks.not_null_report(_with_rollup(t)),
 }
 
 
