@@ -55,22 +55,31 @@ FUNCTIONS = [
       WHERE i.film_id = p_film_id AND i.store_id = p_store_id AND EXISTS
         (SELECT 1 FROM rental r WHERE r.inventory_id = i.inventory_id AND r.return_date IS NULL)
     """,
-    """
-    rewards_report(p_min_purchases INT, p_min_amount DECIMAL(10,2), p_as_of DATE)
-      RETURNS TABLE (customer_id BIGINT, n_purchases BIGINT, amount DECIMAL(38,2)) RETURN
-      SELECT customer_id, count(customer_id), CAST(sum(amount) AS DECIMAL(38,2)) FROM payment
-      WHERE payment_date >= CAST(trunc(add_months(p_as_of, -1), 'MM') AS TIMESTAMP_NTZ)
-        AND payment_date < CAST(trunc(p_as_of, 'MM') AS TIMESTAMP_NTZ)
-      GROUP BY customer_id HAVING sum(amount) > p_min_amount AND count(customer_id) > p_min_purchases
-    """,
 ]
 
 
+def _rewards(columns: dict[str, str]) -> str:
+    """The rewards routine: whole customer rows, one calendar month back or as many as are given."""
+    listed = ", ".join(f"c.{name}" for name in columns)
+    return f"""
+    rewards_report(p_min_purchases INT, p_min_amount DECIMAL(10,2), p_as_of DATE, p_months INT DEFAULT 1)
+      RETURNS TABLE ({", ".join(f"{name} {kind}" for name, kind in columns.items())}) RETURN
+      SELECT {listed} FROM payment p JOIN customer c ON c.customer_id = p.customer_id
+      WHERE CASE WHEN p_min_purchases > 0 AND p_min_amount > 0 THEN true
+                 ELSE CAST(raise_error('both limits must be positive') AS BOOLEAN) END
+        AND p.payment_date >= CAST(trunc(add_months(p_as_of, -p_months), 'MM') AS TIMESTAMP_NTZ)
+        AND p.payment_date < CAST(add_months(trunc(add_months(p_as_of, -p_months), 'MM'), 1) AS TIMESTAMP_NTZ)
+      GROUP BY {listed}
+      HAVING sum(p.amount) > p_min_amount AND count(p.customer_id) > p_min_purchases
+    """
+
+
 def install(spark: SparkSession, t: RentalTables) -> None:
     """Register temporary views for every table and report, and the SQL functions over them."""
     for name in t.names():
         t[name].createOrReplaceTempView(name)
     for name, view in VIEWS.items():
         view(t).createOrReplaceTempView(name)
-    for body in FUNCTIONS:
+    columns = {f"`{f.name}`": f.dataType.simpleString() for f in t.customer.schema.fields}
+    for body in [*FUNCTIONS, _rewards(columns)]:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {body.strip()}")

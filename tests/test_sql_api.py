@@ -1,5 +1,7 @@
 """The SQL surface answers like the DataFrame functions."""
 
+import pytest
+
 from reelflow.plans import finance, sql_api, stock
 
 
@@ -28,6 +30,9 @@ def test_sql_routines(spark, tables):
     best = spark.sql("select customer_id from rewards_report(1, 50000.00, date'2000-03-15')")
     assert sorted(r[0] for r in best.collect()) == sorted(
         r.customer_id for r in finance.rewards_report(tables, 1, "50000.00", "2000-03-15").collect())
+    assert best.columns == ["customer_id"] and spark.sql("select * from rewards_report(1, 50000.00, date'2000-03-15', 3)").columns == tables.customer.columns
+    with pytest.raises(Exception, match="must be positive"):
+        spark.sql("select * from rewards_report(0, 50000.00, date'2000-03-15')").collect()
     assert spark.sql("select `zip code` from customer_list").count() == tables.customer.count()
     for name in sql_api.VIEWS:
         assert spark.table(name).limit(1).count() == 1

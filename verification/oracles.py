@@ -472,6 +472,18 @@ def oracle_sql() -> dict[str, str]:
     add("count_rewardees", with_roles("select count(*) count_rewardees from x_customer where customer_id in (select * from best)",
                                       best=REWARDED.format(first="1999-12-01", last="1999-12-31")))
 
+    # --- the SQL surface
+    add("sql_stock", with_roles(f"""
+        select inventory_id, not {OUT} in_stock,
+               (select r.customer_id from x_rental r where r.inventory_id = i.inventory_id and r.return_date is null
+                order by r.rental_id limit 1) customer_id
+        from x_inventory i"""))
+    sql["sql_balance"] = f"select customer_id, balance from ({sql['customer_balance']})"
+    sql["sql_film_in_stock"], sql["sql_film_not_in_stock"] = sql["film_in_stock"], sql["film_not_in_stock"]
+    sql["sql_rewards"] = sql["rewards_report"]
+    add("sql_rewards_months", with_roles("select c.* from x_customer c where c.customer_id in (select * from best)",
+                                         best=REWARDED.format(first="1999-12-01", last="1999-12-31")))
+
     # --- derived tables
     add("refresh_sales_rollup", with_roles(f"""
         select sales_date::varchar sales_date, store_id, category_id, total_sales::double total_sales, tx_count,
@@ -567,6 +579,11 @@ def oracle_sql() -> dict[str, str]:
         from x_customer"""))
     image = lambda row, when: f"""{row}.payment_id::varchar {when}_payment_id, {row}.customer_id::varchar {when}_customer_id,
                strftime({row}.payment_date, '%Y-%m-%d %H:%M:%S') || ' ' {when}_payment_date"""
+    text = {"country": "country", "city": "city", "address": "address", "staff": "first_name", "actor": "first_name",
+            "customer": "first_name", "category": "name", "film": "title", "language": "name"}
+    add("stamp_tables", with_roles(" union all ".join(
+        [f"select '{n}' table_name, count(*) n, count(*) filter ({n}_id % 10 = 0 and {c} is distinct from 'changed') n_stamped from x_{n}" for n, c in text.items()]
+        + [f"select '{n}' table_name, count(*) n, 0 n_stamped from x_{n}" for n in ("store", "film_category", "film_actor", "inventory", "rental")])))
     add("audit_changes", with_roles(f"""
         select payment_id::varchar audit_id, payment_id::varchar payment_id,
                case when b.payment_id is null then 'INSERT' when a.payment_id is null then 'DELETE' else 'UPDATE' end as action,

@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from reelflow.functions import scalars as S
 from reelflow.functions.aggregates import group_concat
 from reelflow.operators import changes, checks, inflate, keys, search
-from reelflow.plans import analytics, finance, refresh, seed, stock, views, workload
-from reelflow.sources import roles, sinks
+from reelflow.plans import analytics, finance, refresh, seed, sql_api, stock, views, workload
+from reelflow.sources import roles, schemas, sinks
 from reelflow.sources.tables import RentalTables, load_table
 
 AS_OF = "2001-06-15 12:00:00"
@@ -388,6 +388,39 @@ def table_counts_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFra
     return workload.table_counts(t)
 
 
+def sql_query(text: str) -> Callable[[SparkSession, str, RentalTables], DataFrame]:
+    """A statement over the SQL surface: the functions over whole tables."""
+
+    def run(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+        sql_api.install(spark, t)
+        return spark.sql(text)
+
+    return run
+
+
+def stamp_tables_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    """Every stamped table after a change to one row in ten: how many rows carry the new stamp."""
+    present = [name for name in schemas.STAMPED_TABLES if name in t.names()]
+    stamped = {name: t[name].withColumn("last_update", F.lit("1995-01-01 00:00:00").cast("timestamp")) for name in present}
+    before = t.replacing(**stamped)
+
+    def changed(name: str) -> DataFrame:
+        key = schemas.PRIMARY_KEYS[name][0]
+        text = next((f.name for f in t[name].schema.fields if isinstance(f.dataType, T.StringType)), None)
+        if text is None:
+            return before[name]
+        return before[name].withColumn(text, F.when(F.col(key) % 10 == 0, F.lit("changed")).otherwise(F.col(text)))
+
+    after = changes.stamp_tables(before, t.replacing(**{name: changed(name) for name in present}), AS_OF)
+    parts = [
+        after[name].agg(
+            F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("last_update") == F.lit(AS_OF).cast("timestamp")).alias("n_stamped"))
+        for name in present
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 Query = Callable[[SparkSession, str, RentalTables], DataFrame]
 
 
@@ -455,11 +488,26 @@ REGISTRY: dict[str, Query] = {
     "inflate_payment": inflate_payment_query,
     "inflated_keys": inflated_keys_query,
     "table_counts": table_counts_query,
+    "sql_stock": sql_query(
+        "select inventory_id, inventory_in_stock(inventory_id) in_stock, inventory_held_by_customer(inventory_id) customer_id from inventory"
+    ),
+    "sql_balance": sql_query(
+        "select customer_id, get_customer_balance(customer_id, timestamp_ntz'2000-06-30 00:00:00') balance from customer"
+    ),
+    "sql_film_in_stock": sql_query(
+        "select k.film_id, k.store_id, i.inventory_id from (select distinct film_id, store_id from inventory) k, lateral film_in_stock(k.film_id, k.store_id) i"
+    ),
+    "sql_film_not_in_stock": sql_query(
+        "select k.film_id, k.store_id, i.inventory_id from (select distinct film_id, store_id from inventory) k, lateral film_not_in_stock(k.film_id, k.store_id) i"
+    ),
+    "sql_rewards": sql_query("select * from rewards_report(1, 50000.00, date'2000-03-15')"),
+    "sql_rewards_months": sql_query("select * from rewards_report(1, 50000.00, date'2000-03-15', 3)"),
     "seed_customers": seed_customer_query,
     "seed_synthetic_data": seed_synthetic_data_query,
     "sync_film_text": sync_film_text_query(False),
     "sync_film_text_null_safe": sync_film_text_query(True),
     "stamp_last_update": stamp_last_update_query,
+    "stamp_tables": stamp_tables_query,
     "audit_changes": audit_changes_query,
     "audit_bridge": audit_bridge_query,
     "build_term_vectors": term_vectors,
