@@ -24,6 +24,7 @@ def update_join(
     assignments: Mapping[str, Column],
     stamp: datetime | str | None = None,
     stamp_column: str = "last_update",
+    matched_is_unique: bool = False,
 ) -> DataFrame:
     """`UPDATE target JOIN matched SET ...` as a new version of `target`.
 
@@ -35,8 +36,12 @@ def update_join(
     keys = [on] if isinstance(on, str) else list(on)
     types = {f.name: f.dataType for f in target.schema.fields}
     rest = [c for c in matched.columns if c not in keys]
-    first = matched.groupBy(*keys).agg(F.min(F.struct(F.lit(True).alias("_hit"), *rest)).alias("_m"))
-    joined = target.join(first.select(*keys, "_m.*"), keys, "left")
+    if matched_is_unique:
+        first = matched.withColumn("_hit", F.lit(True))
+    else:
+        smallest = matched.groupBy(*keys).agg(F.min(F.struct(F.lit(True).alias("_hit"), *rest)).alias("_m"))
+        first = smallest.select(*keys, "_m.*")
+    joined = target.join(first, keys, "left")
     hit = F.col("_hit").isNotNull()
     new = dict(assignments)
     if stamp is not None:

@@ -189,4 +189,5 @@ def fold_kpi_window(
             "balance_cached": spent + F.col("amount_w"),
         },
         stamp=as_of,
+        matched_is_unique=True,
     )

@@ -2,8 +2,10 @@
 
 The routines that return one value per key are SQL functions with a scalar subquery. Spark
 decorrelates them when they are used over a column, so `SELECT inventory_in_stock(inventory_id)
-FROM inventory` runs as one aggregate and one join. For whole tables the DataFrame functions in
-this package say the same with fewer scans.
+FROM inventory` runs as one aggregate and one join. `get_customer_balance` is for single customers: a
+date that may differ from row to row would be joined to all charges. `customer_balances` gives
+all customers' balances of one date. For whole tables the DataFrame functions in this package say the
+same with fewer scans.
 """
 
 from __future__ import annotations
@@ -23,6 +25,13 @@ VIEWS = {
     "actor_info": views.actor_info,
 }
 
+CHARGES = """
+    SELECT r.customer_id AS who, r.rental_date AS due, CAST(f.rental_rate + coalesce(greatest(
+             datediff(r.return_date, r.rental_date) - f.rental_duration, 0), 0) AS DECIMAL(18,2)) AS charge
+    FROM rental r JOIN inventory i ON i.inventory_id = r.inventory_id JOIN film f ON f.film_id = i.film_id
+    UNION ALL
+    SELECT customer_id, payment_date, CAST(-amount AS DECIMAL(18,2)) FROM payment"""
+
 FUNCTIONS = [
     """
     inventory_in_stock(p_inventory_id BIGINT) RETURNS BOOLEAN RETURN
@@ -33,16 +42,15 @@ FUNCTIONS = [
       (SELECT min_by(customer_id, rental_id) FROM rental
        WHERE inventory_id = p_inventory_id AND return_date IS NULL)
     """,
-    """
+    f"""
     get_customer_balance(p_customer_id BIGINT, p_effective_date TIMESTAMP_NTZ) RETURNS DECIMAL(18,2) RETURN
-      (SELECT CAST(coalesce(sum(charge), 0) AS DECIMAL(18,2)) FROM (
-         SELECT r.customer_id AS who, r.rental_date AS due, CAST(f.rental_rate + coalesce(greatest(
-                  datediff(r.return_date, r.rental_date) - f.rental_duration, 0), 0) AS DECIMAL(18,2)) AS charge
-         FROM rental r JOIN inventory i ON i.inventory_id = r.inventory_id JOIN film f ON f.film_id = i.film_id
-         UNION ALL
-         SELECT customer_id, payment_date, CAST(-amount AS DECIMAL(18,2)) FROM payment)
+      (SELECT CAST(coalesce(sum(charge), 0) AS DECIMAL(18,2)) FROM ({CHARGES})
        WHERE who = p_customer_id AND due <= p_effective_date)
     """,
+    f"""
+    customer_balances(p_effective_date TIMESTAMP_NTZ) RETURNS TABLE (customer_id BIGINT, balance DECIMAL(18,2)) RETURN
+      SELECT who, CAST(sum(charge) AS DECIMAL(18,2)) FROM ({CHARGES}) WHERE due <= p_effective_date GROUP BY who
+    """,
     """
     film_in_stock(p_film_id BIGINT, p_store_id BIGINT) RETURNS TABLE (inventory_id BIGINT) RETURN
       SELECT i.inventory_id FROM inventory i

@@ -29,7 +29,7 @@ def bulk_price_update(
     addresses = t.address.join(cities, "city_id", "left_semi").select("address_id")
     matched = t.customer.filter("active").join(addresses, "address_id", "left_semi").select("customer_id")
     raised = F.col("amount") * F.lit(Decimal(str(factor)))
-    return update_join(t.payment, matched, "customer_id", {"amount": raised}, stamp=as_of)
+    return update_join(t.payment, matched, "customer_id", {"amount": raised}, stamp=as_of, matched_is_unique=True)
 
 
 def bump_latest_payments(
@@ -41,7 +41,7 @@ def bump_latest_payments(
     """
     latest = t.payment.select("payment_id").orderBy(F.desc("payment_id")).limit(n)
     step = Decimal(str(delta)) * iterations
-    return update_join(t.payment, latest, "payment_id", {"amount": F.col("amount") + F.lit(step)})
+    return update_join(t.payment, latest, "payment_id", {"amount": F.col("amount") + F.lit(step)}, matched_is_unique=True)
 
 
 def fulltext_search(

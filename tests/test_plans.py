@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 from reelflow.operators import search
 from reelflow.plans import finance, refresh
 from tests.conftest import SF
+from verification.queries import queries as verification_queries
 
 WRITING = {"load_table", "write_payments_by_month", "overwrite_full", "overwrite_range", "populate_extended_tables", "indexed_search"}
 
@@ -24,7 +25,7 @@ def shuffle_joins(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - WRITING))
+@pytest.mark.parametrize("name", sorted(set(verification_queries()) - WRITING))
 def test_no_cartesian_product_no_python_and_no_forced_broadcast(spark, shuffle_joins, name):
     text = plan(entry.queries()[name](spark, SF))
     for word in ("CartesianProduct", "NestedLoopJoin", "BroadcastHashJoin", "Python"):

@@ -492,7 +492,8 @@ REGISTRY: dict[str, Query] = {
         "select inventory_id, inventory_in_stock(inventory_id) in_stock, inventory_held_by_customer(inventory_id) customer_id from inventory"
     ),
     "sql_balance": sql_query(
-        "select customer_id, get_customer_balance(customer_id, timestamp_ntz'2000-06-30 00:00:00') balance from customer"
+        "select customer_id, coalesce(b.balance, 0) balance "
+        "from customer left join customer_balances(timestamp_ntz'2000-06-30 00:00:00') b using (customer_id)"
     ),
     "sql_film_in_stock": sql_query(
         "select k.film_id, k.store_id, i.inventory_id from (select distinct film_id, store_id from inventory) k, lateral film_in_stock(k.film_id, k.store_id) i"
