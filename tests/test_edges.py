@@ -322,8 +322,8 @@ def test_stamps_only_changed_rows_of_all_tables(spark):
         "name", F.when(F.col("category_id") == 2, "Noir").otherwise(F.col("name"))))
     got = changes.stamp_tables(old, new, "2001-01-01 00:00:00")
     assert [r.last_update for r in got.city.collect()] == [ts("2001-01-01")]
-    assert {r.category_id: r.last_update is None for r in got.category.collect()} == {1: True, 2: False}
-    assert got.actor.filter("last_update is not null").count() == 0
+    assert {r.category_id: r.last_update for r in got.category.collect()} == {1: ts("2000-01-01"), 2: ts("2001-01-01")}
+    assert got.actor.filter("last_update <> timestamp'2000-01-01'").count() == 0
     assert got.film_actor.count() == old.film_actor.count()
 
 
@@ -461,3 +461,41 @@ def test_deviation_is_exact_for_large_groups(spark):
     assert big.select(population_stddev(F.col("w"), F.col("s1"), F.col("s2")).alias("v")).first().v == 1.25**0.5 / 100
     same = spark.sql(f"select 3L w, cast('{3 * values[1]}' as decimal(38,0)) s1, cast('{3 * values[1] ** 2}' as decimal(38,0)) s2")
     assert same.select(population_stddev(F.col("w"), F.col("s1"), F.col("s2")).alias("v")).first().v == 0
+
+
+def test_update_of_repeated_matches_adds_no_row(spark):
+    target = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k long, v string")
+    matched = spark.createDataFrame([(1, 5, "x"), (1, 4, "y"), (None, 1, "z"), (3, 1, "w")], "k long, n long, w string")
+    rows = changes.update_join(target, matched, "k", {"v": F.col("w")}).collect()
+    assert sorted((r.v, r.k) for r in rows) == [("b", 2), ("c", None), ("y", 1)]
+
+
+def test_audit_ids_are_unique_and_go_on_from_a_log(spark):
+    before = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    after = spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string")
+    log = changes.audit_changes(before, after, "k", "2001-01-01")
+    assert sorted((r.audit_id, r.action) for r in log.collect()) == [(1, "DELETE"), (2, "UPDATE"), (3, "INSERT")]
+    more = changes.audit_changes(after, before, "k", "2001-01-02", log=log)
+    assert sorted(r.audit_id for r in more.collect()) == [4, 5, 6]
+    assert more.first().changed_at == ts("2001-01-02")
+    pairs = spark.createDataFrame([(1, 23), (12, 3)], "a long, b long")
+    ids = [r.audit_id for r in changes.audit_changes(pairs, pairs.limit(0), ["a", "b"], "2001-01-01").collect()]
+    assert len(set(ids)) == 2
+
+
+def test_appended_keys_lie_above_all_others(spark):
+    target = spark.createDataFrame([(7, "a"), (2**33, "b")], "k long, v string")
+    rows = spark.createDataFrame([(1, "c"), (40, "d")], "k long, v string")
+    got = {r.v: r.k for r in keys.append_with_keys(target, rows, "k").collect()}
+    assert got["a"] == 7 and got["b"] == 2**33 and 2**33 < got["c"] < got["d"]
+    assert {r.k for r in keys.append_with_keys(target.limit(0), rows, "k").collect()} == {1, 40}
+
+
+def test_missing_constraint_columns_are_reported(spark):
+    t = small(spark, film=[{"film_id": 1, "language_id": 3}], language=[{"language_id": 4}])
+    t = t.replacing(film=t.film.drop("original_language_id"))
+    report = {(r.table_name, r.constraint_columns): r for r in checks.foreign_key_report(t).collect()}
+    assert len(report) == 28
+    assert not report["film", "original_language_id"].checked and report["film", "original_language_id"].bad_rows is None
+    assert (report["film", "language_id"].bad_keys, report["film", "language_id"].bad_rows) == (1, 1)
+    assert report["inventory", "film_id"].bad_rows == 0
