@@ -105,16 +105,20 @@ def _named(attributes: str) -> tuple[set[str], str, bool]:
 def parse(html: str) -> Page:
     """Elements and texts of a page; markup errors are met as browsers do, in a simple way."""
     page, stack, at = Page(), [], 0
+    still_open: dict[str, int] = defaultdict(int)
+    limit = html.rfind(">") + 1  # no markup ends behind it
 
     def close(to: int) -> None:
         while len(stack) > to:
-            page.end[stack.pop()] = len(page.tag)
+            node = stack.pop()
+            page.end[node] = len(page.tag)
+            still_open[page.tag[node]] -= 1
 
     def text(upto: int) -> None:
         if upto > at:
             page.texts.append((stack[-1] if stack else -1, html[at:upto]))
 
-    while m := _TOKEN.search(html, at):
+    while m := _TOKEN.search(html, at, limit):
         text(m.start())
         at = m.end()
         name = m[2] or m[5]
@@ -122,7 +126,7 @@ def parse(html: str) -> Page:
             continue
         name, ending, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if ending:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if still_open[name] else ():
                 if page.tag[stack[k]] == name:
                     close(k)
                     break
@@ -138,14 +142,14 @@ def parse(html: str) -> Page:
         if name in _VOID:
             continue
         closed, unless = _CLOSES.get(name, (_P if name in _BLOCKS else (), _SCOPE))
-        for k in range(len(stack) - 1, -1, -1) if closed else ():
+        for k in range(len(stack) - 1, -1, -1) if any(still_open[c] for c in closed) else ():
             if page.tag[stack[k]] in closed:
                 close(k)
                 break
             if page.tag[stack[k]] in unless:
                 break
         words, first, hidden = _named(attributes) if attributes else (set(), "", False)
-        inside = any(page.tag[k] == "article" for k in stack)
+        inside = still_open["article"] > 0
         whole = name in ("html", "body", "article", "main")
         skip = bool(stack) and page.skip[stack[-1]] or hidden or name in _BOILERPLATE
         if not whole or (name == "article" and not words.isdisjoint(("comment", "comments", "related", "promo"))):
@@ -160,6 +164,7 @@ def parse(html: str) -> Page:
         page.content.append("role=main" in words or name == "main" or not words.isdisjoint(_CONTENT))
         if not (attributes.endswith("/") and name not in _BLOCKS):
             stack.append(len(page.tag) - 1)
+            still_open[name] += 1
         else:
             page.end[-1] = len(page.tag)
     text(len(html))

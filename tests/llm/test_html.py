@@ -71,3 +71,14 @@ def test_cases(pages):
     assert ("20", None, "", 0) in got and ("21", "http://x.test/", "", 0) in got
     assert [g[2] for g in got if g[0] == "3"] == ["T3 body 3", "T3 body 3", "other"]
     assert H.main_texts(pages()).collect() == []
+
+
+def test_long_odd_markup_is_quick():
+    import time
+
+    began = time.process_time()
+    assert text("<article>x" + "<a " * 60_000).startswith("x")
+    assert text("<div>" * 40_000 + "deep") == "deep"
+    assert text("<article>a</p>" * 20_000).startswith("a")
+    assert text('<article><a "' * 20_000 + ">z") in ("z", "")
+    assert time.process_time() - began < 20
