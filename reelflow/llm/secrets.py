@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelflow.llm.common import slices
+from reelflow.llm.common import slices, stored
 
 KINDS = ("assign", "access", "hex", "format")
 #: Labelled values an automaton is trained on, those with the smallest hashes, and their length at most.
@@ -196,7 +196,7 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame) -> list[dict]:
     """An automaton for each kind of base span in `docs`, from a bounded sample of distinct values."""
-    values = docs.select("text").mapInArrow(_values, "kind string, value string").distinct()
+    values = stored(docs.select("text").mapInArrow(_values, "kind string, value string").distinct())
     automata = []
     for kind in KINDS[:3]:
         own = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(VALUES)
