@@ -1,34 +1,37 @@
 """Main text of web pages by wrapper induction.
 
-Of each host a few pages are parsed and their DOM trees aligned by simple tree matching. A text
-that all aligned pages have at a node is template; a node whose text varies is a slot. The host's
-wrapper is the element that holds most of the text of its slots, menus, footers, adverts, forms,
-comments and the like left out, and the template texts inside it. Every page is then parsed once:
-its main element is the article element if it has one, else the wrapper's element, else an
-element that is named as content, else the body; its text is what is in there, without boilerplate
-elements and, where the wrapper decided, without the template.
+Every page is parsed; the set of its block elements' paths, those of boilerplate left out, is its
+layout. For each host and layout the texts at each path are counted over all its pages, copies once.
+A text that nearly all pages with the path have there is constant, what else is there is a slot. The
+wrapper is the element that holds most of the text of the slots, and the constant texts, which are
+template. A layout without a wrapper of its own, as one with a single page, takes the element that
+simple tree matching pairs with that of its host's most frequent layout. The text of a page is what
+is in its wrapper's elements, without boilerplate elements and without the template. Only where no
+wrapper fits are names used: article elements, else an element that is named as content, else the
+body.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from html import unescape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from reelflow.llm.common import stored
+from reelflow.llm.common import slices, stored
 from reelflow.llm.urls import host_and_path
 
-#: Pages of a host that its wrapper is induced from, those with the smallest hashes of their ids.
-SAMPLE = 5
-#: Trees are aligned down to this depth, and at most this many children of an element.
-DEPTH, CHILDREN = 60, 300
+#: Trees are aligned down to this depth.
+DEPTH = 60
+#: Share of the pages of a layout with a path that must have the same text there for it to be constant.
+CONSTANT = 0.9
 #: An element is the wrapper's if it holds this share of the slots' text of the element around it.
 SHARE = 0.6
 #: Pages that must agree on a text for it to be template.
@@ -41,6 +44,7 @@ _BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote caption figcaption".split())
+_FRAMES = (_BLOCKS | {"html"}) - _LEAVES
 _BOILERPLATE = frozenset("nav footer aside menu form fieldset button select input label dialog head".split())
 _NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion "
@@ -159,7 +163,7 @@ def parse(html: str) -> Page:
         page.tag.append(name)
         page.parent.append(stack[-1] if stack else -1)
         page.end.append(0)
-        page.label.append(f"{name}.{first}" if first else name)
+        page.label.append(f"{name}.{first}".replace("/", "|") if first else name)
         page.skip.append(skip)
         page.content.append("role=main" in words or name == "main" or not words.isdisjoint(_CONTENT))
         if not (attributes.endswith("/") and name not in _BLOCKS):
@@ -205,8 +209,7 @@ def aligned(a: Page, b: Page) -> dict[int, int]:
     for page in (a, b):
         own = defaultdict(list)
         for node, parent in enumerate(page.parent):
-            if len(own[parent]) < CHILDREN:
-                own[parent].append(node)
+            own[parent].append(node)
         children.append(own)
 
     def table(x: int, y: int, depth: int) -> tuple[int, list]:
@@ -240,7 +243,7 @@ def aligned(a: Page, b: Page) -> dict[int, int]:
 
 
 def induce(htmls: list[str]) -> dict:
-    """The wrapper of pages of one host: the path of the content element and the template texts in it.
+    """The wrapper of a few pages by aligning all of them: the path of the content element and the template texts in it.
 
     Pages with the same text are one example. With a single example nothing is known to vary.
     """
@@ -285,68 +288,211 @@ def induce(htmls: list[str]) -> dict:
     return {"root": base.path(node), "template": template}
 
 
-def extract(html: str | None, wrapper: dict | None) -> str:
-    """The main text of a page; empty if it has none."""
+def _fold(up: int, name: str) -> int:
+    """The key of a path one step longer, or of a text at a path."""
+    return int.from_bytes(blake2b(up.to_bytes(8, "little", signed=True) + name.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def _keys(page: Page) -> list[int]:
+    keys: list[int] = []
+    for label, parent in zip(page.label, page.parent, strict=True):
+        keys.append(_fold(keys[parent] if parent >= 0 else 0, label))
+    return keys
+
+
+def _key(path: str | int) -> int:
+    if isinstance(path, int):
+        return path
+    key = 0
+    for label in path.split("/"):
+        key = _fold(key, label)
+    return key
+
+
+def observed(page: Page) -> tuple[int, int, list[tuple], list[tuple]] | None:
+    """(layout, hash of the text, frames, slots) of a page; None without a frame.
+
+    Frames are the unskipped block elements outside leaves, each path once: (key, key of the frame
+    around it or 0, tag). Slots are the distinct texts at paths: (frame, path, text's key, characters,
+    1 for the first text of its path).
+    """
+    keys = _keys(page)
+    frames: dict[int, tuple] = {}
+    around, leaf = [], []
+    for k, parent in enumerate(page.parent):
+        up, inside = (around[parent], leaf[parent]) if parent >= 0 else (0, False)
+        leaf.append(inside or page.tag[k] in _LEAVES)
+        if not leaf[k] and not page.skip[k] and page.tag[k] in _FRAMES:
+            frames.setdefault(keys[k], (keys[k], up, page.tag[k]))
+            up = keys[k]
+        around.append(up)
+    if not frames:
+        return None
+    layout = 0
+    for key in sorted(frames):
+        layout = _fold(layout, str(key))
+    slots, paths = {}, set()
+    for k, own in enumerate(_own_texts(page)):
+        if own and not page.skip[k]:
+            key = _fold(keys[k], own)
+            slots.setdefault(key, (around[k], keys[k], key, len(own), int(keys[k] not in paths)))
+            paths.add(keys[k])
+    whole = _clean([t for k, t in page.texts if k < 0 or not page.skip[k]])
+    return layout, _fold(0, whole), list(frames.values()), sorted(slots.values())
+
+
+def content_frame(frames: list[tuple], mass: dict[int, int]) -> int | None:
+    """The key of the innermost frame that holds most of the slots' text, given that right inside each."""
+    whole, inner = defaultdict(int), defaultdict(list)
+    for key, up, _ in frames:
+        inner[up].append(key)
+    for key, up, _ in reversed(frames):  # a frame stands behind the one around it
+        whole[key] += mass.get(key, 0)
+        whole[up] += whole[key]
+    tags = {key: tag for key, _, tag in frames}
+    node = max(inner[0], key=lambda k: whole[k], default=0)
+    while best := max(inner[node], key=lambda k: whole[k], default=0):
+        if not whole[best] or whole[best] < SHARE * whole[node]:
+            break
+        node = best
+    return node if whole[node] and tags[node] not in ("html", "body") else None
+
+
+def _as_page(frames: list[tuple]) -> Page:
+    number = {key: k for k, (key, _, _) in enumerate(frames)}
+    return Page(tag=[f[2] for f in frames], parent=[number.get(f[1], -1) for f in frames])
+
+
+def matched_frame(frames: list[tuple], root: int, other: list[tuple]) -> int | None:
+    """The frame of `other` that a largest simple tree matching pairs with `root`, one of `frames`."""
+    pairs = aligned(_as_page(frames), _as_page(other))
+    at = pairs.get([f[0] for f in frames].index(root))
+    return None if at is None else other[at][0]
+
+
+def extract(html: str | None, wrapper: dict | None, several: bool = False) -> str:
+    """The main text of a page; empty if it has none.
+
+    Of a page that no wrapper fits the longest article is taken, or all of them if `several`.
+    """
     if not html:
         return ""
     page = parse(html)
     size = _sizes(page)
     options = lambda test: [k for k in range(len(page.tag)) if not page.skip[k] and size[k] and test(k)]
-    largest = lambda found: max(found, key=lambda k: (size[k], -k), default=-1)
-    root, template = largest(options(lambda k: page.tag[k] == "article")), set()
-    if root < 0 and wrapper and wrapper["root"]:
-        root = largest(options(lambda k: page.label[k] == wrapper["root"].rpartition("/")[2] and page.path(k) == wrapper["root"]))
-        template = {tuple(t) for t in wrapper["template"]} if root >= 0 else set()
-    if root < 0:
-        root = largest(options(lambda k: page.content[k]))
-    if root < 0:
-        root = largest(options(lambda k: page.tag[k] == "body"))
-    dropped = set()
-    if template:
-        own = _own_texts(page)
-        dropped = {k for k in range(root, page.end[root]) if own[k] and (page.path(k), own[k]) in template}
-    if root < 0:
+    largest = lambda found: [max(found, key=lambda k: (size[k], -k))] if found else []
+    roots, dropped = [], set()
+    if wrapper and wrapper["root"] is not None:
+        keys, root = _keys(page), _key(wrapper["root"])
+        roots = options(lambda k: keys[k] == root)
+        template = {t if isinstance(t, int) else _fold(_key(t[0]), t[1]) for t in wrapper["template"]} if roots else set()
+        if template:
+            dropped = {k for k, own in enumerate(_own_texts(page)) if own and _fold(keys[k], own) in template}
+    if not roots:
+        roots = options(lambda k: page.tag[k] == "article")
+        roots = roots if several else largest(roots)
+    if not roots:
+        roots = largest(options(lambda k: page.content[k])) or largest(options(lambda k: page.tag[k] == "body"))
+    if not roots:
         return _clean([t for k, t in page.texts if k < 0 or not page.skip[k]])
-    end = page.end[root]
-    return _clean([t for k, t in page.texts if root <= k < end and not page.skip[k] and k not in dropped])
+    inside, end = [-1] * len(page.tag), 0
+    for root in roots:
+        inside[max(root, end) : page.end[root]] = [root] * (page.end[root] - max(root, end))
+        end = max(end, page.end[root])
+    parts, last = [], -1
+    for k, t in page.texts:
+        if k >= 0 and inside[k] >= 0 and not page.skip[k] and k not in dropped:
+            parts += [t] if inside[k] == last else [" ", t]
+            last = inside[k]
+    return _clean(parts)
+
+
+_FRAME = pa.struct([("key", pa.int64()), ("up", pa.int64()), ("tag", pa.string())])
+_SLOT = pa.struct([("frame", pa.int64()), ("path", pa.int64()), ("slot", pa.int64()), ("chars", pa.int64()), ("first", pa.int64())])
+_OBSERVED = (
+    "host string, layout long, example long, frames array<struct<key:long,up:long,tag:string>>, "
+    "slots array<struct<frame:long,path:long,slot:long,chars:long,first:long>>"
+)
+
+
+def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 256):
+        rows = []
+        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if html and (found := observed(parse(html))):
+                rows.append((host, *found))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+        struct = lambda kind, own: pa.array([[dict(zip(kind.names, x, strict=True)) for x in r] for r in own], pa.list_(kind))
+        arrays = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), struct(_FRAME, columns[3]), struct(_SLOT, columns[4])]
+        yield pa.RecordBatch.from_arrays(arrays, ["host", "layout", "example", "frames", "slots"])
+
+
+def _tuples(frames) -> list[tuple]:
+    return [(f["key"], f["up"], f["tag"]) for f in frames]
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): the wrapper of each host as JSON, from a bounded sample of its pages."""
-    host, _ = host_and_path(F.col("url"))
-    ids = pages.where("page_id is not null and html is not null").select(host.alias("host"), F.col("page_id").cast("long").alias("page_id"))
-    order = Window.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id")
-    chosen = stored(ids.distinct().withColumn("rank", F.row_number().over(order)).where(f"rank <= {SAMPLE}").drop("rank"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "html", host.alias("host")).where("html is not null")
-    examples = rows.join(chosen, ["page_id", "host"], "left_semi")
+    """(host, layout, root, template): keys of the content element and of the template texts, from all pages.
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        best = group.sort_values(["page_id", "html"]).drop_duplicates("page_id")
-        return pd.DataFrame({"host": [group.host.iloc[0]], "wrapper": [json.dumps(induce(best.html.tolist()))]})
+    Counts are grouped by text before they are by path and by layout, and a layout's rows are as many
+    as a page has elements, so no task gets a host's pages.
+    """
+    host, _ = host_and_path(F.col("url"))
 
-    return examples.groupBy("host").applyInPandas(one, "host string, wrapper string")
+    @F.udf("long")
+    def own_root(frames, masses):
+        return content_frame(_tuples(frames), {m["frame"]: m["mass"] for m in masses or ()})
+
+    @F.udf("long")
+    def matched_root(frames, root, other):
+        return matched_frame(_tuples(frames), root, _tuples(other))
+
+    rows = pages.select(host.alias("host"), "html").mapInArrow(_observed, _OBSERVED)
+    own = ["host", "layout"]
+    examples = stored(rows.groupBy(*own, "example").agg(F.min("frames").alias("frames"), F.min("slots").alias("slots")))
+    each = examples.select(*own, F.explode("slots").alias("s")).select(*own, "s.*")
+    texts = each.groupBy(*own, "frame", "path", "slot").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("first").alias("first"))
+    texts = stored(texts)
+    paths = texts.groupBy(*own, "path").agg(F.sum("first").alias("of"))
+    constant = texts.where("n >= 2").join(paths, [*own, "path"]).where(F.col("n") >= CONSTANT * F.col("of"))
+    parts = texts.select(*own, "frame", "chars", F.lit(None).cast("long").alias("slot")).union(
+        constant.select(*own, "frame", -F.col("chars"), F.when(F.col("n") >= AGREE, F.col("slot"))))
+    frames = parts.groupBy(*own, "frame").agg(F.sum("chars").alias("mass"), F.collect_list("slot").alias("template"))
+    masses = frames.groupBy(*own).agg(F.collect_list(F.struct("frame", "mass")).alias("masses"), F.flatten(F.collect_list("template")).alias("template"))
+    seen = examples.groupBy(*own).agg(F.count("*").alias("n"), F.min("frames").alias("frames"))
+    layouts = seen.join(masses, own, "left")
+    layouts = stored(layouts.withColumn("root", F.when(F.col("n") >= 2, own_root("frames", "masses"))).drop("masses"))
+    known = layouts.where("root is not null")
+    first = known.groupBy("host").agg(F.max_by(F.struct("frames", "root", "template"), F.struct("n", "layout")).alias("first"))
+    others = layouts.where("root is null").select(*own, "frames").join(first, "host")
+    others = others.select(*own, matched_root("first.frames", "first.root", "frames").alias("root"), "first.template")
+    return known.select(*own, "root", "template").union(others.where("root is not null"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of `pages`.
 
     Reads `page_id`, `url` and `html`; other columns may have any name. Null and empty html give an
-    empty text. Null ids are kept, but are no examples of their host; pages without a host share
-    one wrapper. Repeated rows are extracted again. An empty table gives an empty result.
+    empty text. Null ids are kept; pages without a host are one host's. Repeated rows are extracted
+    again, but count as one example. An empty table gives an empty result.
     """
     host, _ = host_and_path(F.col("url"))
     known = stored(wrappers(pages))
 
+    # keys go to and come from pandas as text, as integers with nulls among them would be rounded
+    @F.pandas_udf("string")
+    def layout(html: pd.Series) -> pd.Series:
+        found = [observed(parse(h)) if h else None for h in html]
+        return pd.Series([f and str(f[0]) for f in found], dtype=object)
+
     @F.pandas_udf("string")
-    def texts(html: pd.Series, given: pd.Series) -> pd.Series:
-        parsed: dict = {None: None}
+    def texts(html: pd.Series, root: pd.Series, template: pd.Series) -> pd.Series:
         out = []
-        for h, w in zip(html, given, strict=True):
-            if w not in parsed:
-                parsed[w] = json.loads(w)
-            out.append(extract(h, parsed[w]))
+        for h, r, t in zip(html, root, template, strict=True):
+            out.append(extract(h, None if t is None else {"root": int(r), "template": [int(x) for x in t]}, several=True))
         return pd.Series(out, dtype=object)
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host")).join(known, "host", "left")
-    out = rows.select("page_id", "url", texts("html", "wrapper").alias("text"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"), layout("html").cast("long").alias("layout"))
+    rows = rows.join(known, ["host", "layout"], "left")
+    out = rows.select("page_id", "url", texts("html", F.col("root").cast("string"), "template").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

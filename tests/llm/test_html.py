@@ -82,3 +82,27 @@ def test_long_odd_markup_is_quick():
     assert text("<article>a</p>" * 20_000).startswith("a")
     assert text('<article><a "' * 20_000 + ">z") in ("z", "")
     assert time.process_time() - began < 20
+
+
+def test_wrapper_decides_on_all_pages(pages):
+    """Template inside articles goes on every page, several articles stay, a single odd page follows its host's layout."""
+    body = lambda k: f"<h1>T{k}</h1><p>body {k} of its own</p><p>Read our terms of use</p>"
+    frame = lambda inner: f"<html><body><nav>n</nav><div class=x>{inner}</div><div class=legal>Imprint</div></body></html>"
+    rows = [(k, f"http://a.test/{k}", frame(f"<article>{body(k)}</article>")) for k in range(12)]
+    rows += [(100 + k, f"http://a.test/m{k}", frame(f"<article>{body(100 + k)}</article><article><p>second {k}</p></article>")) for k in range(8)]
+    rows += [(200, "http://b.test/", "<article>one</article><article>and two</article>")]
+    plain = lambda k, more="": f"<html><body><div class=intro><p>Welcome to us, all of you who came here</p></div><div class=u><p>words {k}</p>{more}</div></body></html>"
+    rows += [(300 + k, f"http://c.test/{k}", plain(k)) for k in range(6)] + [(310, "http://c.test/odd", plain(10, "<ul><li>item</ul>"))]
+    rows += [(400 + k, f"http://d.test/{k}", "<html><body><div class=v><p>the same page</p></div></body></html>") for k in range(9)]
+    got = {r.page_id: r.text for r in H.main_texts(pages(*rows)).collect()}
+    assert all(got[k] == f"T{k} body {k} of its own" for k in range(12))
+    assert all(got[100 + k] == f"T{100 + k} body {100 + k} of its own second {k}" for k in range(8))
+    assert got[200] == "one and two"
+    assert all(got[300 + k] == f"words {k}" for k in range(6)) and got[310] == "words 10 item"
+    assert all(got[400 + k] == "the same page" for k in range(9)), "copies are one example"
+
+
+def test_children_behind_300():
+    many = "".join(f"<i>{k}</i>" for k in range(400))
+    a, b = (H.parse(f"<div>{many}<p>{x}</p></div>") for x in "xy")
+    assert len(H.aligned(a, b)) == 402
