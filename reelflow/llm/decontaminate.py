@@ -48,7 +48,7 @@ INDEX_CHARS = 16_000_000
 
 _SENTENCE = re.compile(rb"[.!?][\"')\]]*\s+")
 _FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-_TERMS = "shard int, item_id long, segment int, term binary, tf int, size int"
+_TERMS = "shard int, item long, segment int, term binary, tf int, size int"
 
 
 def question_and_answer(text: bytes | None) -> tuple[list[bytes], list[bytes]]:
@@ -73,7 +73,7 @@ def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(found), SEGMENT):
                 part = found[at : at + SEGMENT]
                 rows += [(shard, item, at // SEGMENT, w, part.count(w), len(part)) for w in dict.fromkeys(part)]
-        names = ["shard", "item_id", "segment", "term", "tf", "size"]
+        names = ["shard", "item", "segment", "term", "tf", "size"]
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
         columns = zip(*rows, strict=True) if rows else [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -96,8 +96,11 @@ class Index:
     tails: np.ndarray  # what a block's other terms can add
 
     @classmethod
-    def build(cls, rows: list, texts: list) -> Index:
-        """`rows`: (item_id, segment, term, score), `texts`: (item_id, text), both of one shard."""
+    def build(cls, rows: list, texts: list, ids: dict | None = None) -> Index:
+        """`rows`: (item, segment, term, score), `texts`: (item, text), both of one shard.
+
+        An item is any number of its own; `ids` has the item_id of each, the number itself if not given.
+        """
         order = sorted({(r[0] is None, r[0] or 0, r[1]) for r in rows})
         entry = {k: n for n, k in enumerate(order)}
         terms = {word: n for n, word in enumerate(sorted({bytes(r[2]) for r in rows}))}
@@ -124,7 +127,7 @@ class Index:
         by_id = {(i is None, i or 0): question_and_answer(x) for i, x in sorted(texts, key=lambda r: (r[0] is None, r[0] or 0, r[1]))}
         runs = [tuple(_runs([terms[w] for w in part]) for part in by_id[k]) for k in numbers]
         bounds = lambda x: np.searchsorted(x, np.arange(len(terms) + 1))
-        ids = [None if k[0] else k[1] for k in numbers]
+        ids = [None if k[0] else ids[k[1]] if ids else k[1] for k in numbers]
         return cls(terms, items, ids, runs, bounds(t), e, s, bounds(bt), bb, peak, tails)
 
 
@@ -239,23 +242,25 @@ def _scan(index: Index, texts: list[bytes | None]) -> Iterator[tuple[int, int, f
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes of bounded size over all items; document frequencies and lengths are global."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    # item_ids may be null or repeat with other texts; each distinct pair is an item
+    items = items.withColumn("item", F.xxhash64("item_id", "text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = math.ceil(chars / INDEX_CHARS)
     if not shards:
         return
-    sharded = items.select(F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int").alias("shard"), "item_id", "text")
-    terms = sharded.mapInArrow(_item_terms, _TERMS).distinct()
-    totals = terms.groupBy("shard", "item_id", "segment").agg(F.first("size").alias("size")).agg(F.count("*"), F.avg("size")).first()
+    sharded = items.select(F.pmod("item", F.lit(shards)).cast("int").alias("shard"), "item", "text", "item_id")
+    terms = sharded.select("shard", "item", "text").mapInArrow(_item_terms, _TERMS).distinct()
+    totals = terms.groupBy("shard", "item", "segment").agg(F.first("size").alias("size")).agg(F.count("*"), F.avg("size")).first()
     if not totals[0]:
         return
     idf = F.log(1 + (F.lit(float(totals[0])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / float(totals[1])))
     scored = terms.join(terms.groupBy("term").agg(F.count("*").alias("df")), "term").withColumn("score", score)
     for shard in range(shards):
-        rows = scored.where(F.col("shard") == shard).select("item_id", "segment", "term", "score").collect()
-        texts = sharded.where(F.col("shard") == shard).select("item_id", F.col("text").cast("binary")).collect()
+        rows = scored.where(F.col("shard") == shard).select("item", "segment", "term", "score").collect()
+        texts = sharded.where(F.col("shard") == shard).select("item", F.col("text").cast("binary"), "item_id").collect()
         if rows:
-            yield Index.build([tuple(r) for r in rows], [(r[0], bytes(r[1])) for r in texts])
+            yield Index.build([tuple(r) for r in rows], [(r[0], bytes(r[1])) for r in texts], {r[0]: r[2] for r in texts})
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -263,8 +268,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Reads `doc_id`, `text` of `docs` and `item_id`, `text` of `benchmark`; other columns may have
     any name. Null and blank texts and items without a word match nothing. Null ids are reported as
-    null. Repeated rows report again; items of equal text are all reported. If an item_id repeats
-    with different texts, the text that sorts last is the one verified. An empty table on either
+    null. Repeated rows report again; items of equal text are all reported. If an item_id, or
+    null, repeats with different texts, each of them is an item and reported under that id. An empty table on either
     side gives an empty result.
     """
     spark = docs.sparkSession

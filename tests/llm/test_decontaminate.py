@@ -98,3 +98,14 @@ def test_retrieve_skips_nothing():
         for _, block in likely.tolist():
             got |= set(D.retrieve(index, np.unique(numbers).tolist(), block))
         assert got == want
+
+
+def test_null_and_repeated_ids(spark, docs, prose):
+    """Items that share an id, or have none, are found each by its own text."""
+    texts = [prose(20 + k, 40) + ". " + prose(40 + k, 12) + "." for k in range(5)]
+    items = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[4]), (1, texts[0])], ITEMS)
+    noise = prose(9, 300)
+    table = docs(*[noise + " " + t + " " + noise for t in texts], texts[0] + " " + texts[1], noise)
+    got = sorted((r.doc_id, str(r.item_id)) for r in D.contaminated(table, items).collect())
+    assert got == [(0, "1"), (1, "1"), (2, "None"), (3, "None"), (4, "None"), (5, "1"), (5, "1")]
+    assert [r.doc_id for r in D.clean(table, items).collect()] == [6]
