@@ -6,6 +6,9 @@ of all pages, but for the names that the page's own host is made of, and the hyp
 hosts. A multinomial naive Bayes
 model of the words is trained on hosts, each counted once: a host is an example to block if its
 words hold one of the seed words, else an example to allow. Words of no example say nothing.
+
+The vocabulary and the log-odds are tables without a bound. Of both only what distinct hosts and
+paths contain is joined to these; texts are joined by their 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,20 +24,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelflow.llm.common import slices, utf8
+from reelflow.llm.common import slices, stored, utf8
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 SEEDS = frozenset("adult ads bet bets casino malware pills poker porn spam track tracker warez xxx".split())
 #: Names that stand in many hosts and are no concatenations.
 HOST_WORDS = "www blog mail shop news com net org edu gov info example test".split()
-#: Words of the unigram model and tokens of the classifier, the most frequent ones.
-UNIGRAMS, TOKENS = 50_000, 100_000
 WORD_CHARS = 20
 SMOOTHING = 0.1
 
 _TAG = re.compile(rb"<script.*?</script>|<style.*?</style>|<[^>]*>", re.S | re.I)
 _LETTERS = re.compile(rb"[a-z]+")
-_VERDICT = "rule string, verdict string, p_block double, words string"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -88,18 +88,6 @@ class Words:
         return [w for run in re.findall("[a-z]+", text.lower()) for w in self.split(run)]
 
 
-@dataclass
-class Bayes:
-    """Token log-odds of blocking and the prior log-odds."""
-
-    prior: float
-    odds: dict[str, float]
-
-    def p_block(self, found: list[str]) -> float:
-        total = self.prior + sum(self.odds.get(t, 0.0) for t in found)
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, total))))
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 256):
         found: Counter = Counter()
@@ -113,48 +101,63 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit_words(pages: DataFrame) -> Words:
-    """The unigram model of the runs of a-z in page texts and hyphenated hosts, and of usual host names."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """(word, n): the runs of a-z in page texts and hyphenated hosts."""
     host, _ = host_and_path(F.col("url"))
-    counts = pages.select(host.alias("host"), "html").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "word").limit(UNIGRAMS).collect()
-    total = sum(r.n for r in rows) or 1
+    return pages.select(host.alias("host"), "html").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        found = [(k, at, r) for k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for at, r in enumerate(re.findall("[a-z]+", t.lower()))]
+        columns = zip(*found, strict=True) if found else ((), (), ())
+        kinds = (pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "at", "run"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct substrings of each run that can be words; a long run makes several batches."""
+    for batch in slices(batches, 64):
+        for k, run in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = sorted({run[a:b] for a in range(len(run)) for b in range(a + 1, min(len(run), a + WORD_CHARS) + 1)})
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int64()), pa.array(found, pa.string())], ["run_key", "word"])
+
+
+def text_words(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(key, words) of every row (key, text) of `texts` that holds a letter; `counts` are those of `word_counts`."""
+    total = float(counts.agg(F.sum("n")).first()[0] or 1)
     fixed = dict.fromkeys(HOST_WORDS, math.log(0.01))
-    return Words({r.word: math.log(r.n / total) for r in rows} | fixed, math.log(10 / total))
 
+    @F.udf("array<string>")
+    def split(run, known):
+        return Words({k.word: math.log(k.n / total) for k in known or ()} | fixed, math.log(10 / total)).split(run)
 
-def fit_bayes(pages: DataFrame, words: Words, seeds: frozenset[str] = SEEDS) -> Bayes:
-    """The classifier of host and path words; a host that many pages have counts once."""
-    host, path = host_and_path(F.col("url"))
-    log, unknown = words.log, words.unknown
-
-    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = Words(log, unknown), {}
-        for batch in slices(batches, 1024):
-            found = set()
-            for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if h not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[h] = model.tokens(h)
-                block = not seeds.isdisjoint(known[h])
-                found.update((h, t, block) for t in [*known[h], *model.tokens(p), ""])
-            columns = zip(*found, strict=True) if found else ((), (), ())
-            kinds = (pa.string(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "token", "block"])
-
-    rows = pages.where(host != "").select(host.alias("host"), path.alias("path")).distinct()
-    pairs = rows.mapInArrow(examples, "host string, token string, block boolean").distinct()
-    counted = pairs.groupBy("token").agg(F.count_if("block").alias("b"), F.count_if(~F.col("block")).alias("a"))
-    top = counted.orderBy(F.desc(F.col("a") + F.col("b")), "token").limit(TOKENS).collect()
-    hosts = next(((r.a, r.b) for r in top if r.token == ""), (0, 0))
-    tokens = sorted((r.token, r.a, r.b) for r in top if r.token)
-    all_a, all_b = sum(t[1] for t in tokens), sum(t[2] for t in tokens)
-    odds = {
-        t: math.log((b + SMOOTHING) / (all_b + SMOOTHING * len(tokens))) - math.log((a + SMOOTHING) / (all_a + SMOOTHING * len(tokens)))
-        for t, a, b in tokens
-    }
-    return Bayes(math.log((hosts[1] + SMOOTHING) / (hosts[0] + 1)), odds)
+    runs = stored(texts.select("key", "text").mapInArrow(_runs, "key long, at long, run string"))
+    distinct = runs.select("run").distinct().select(F.xxhash64("run").alias("run_key"), "run")
+    known = distinct.mapInArrow(_pieces, "run_key long, word string").join(counts, "word").groupBy("run_key").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    words = stored(distinct.join(known, "run_key", "left").select("run", split("run", "known").alias("words")))
+    listed = runs.join(words, "run").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("l"))
+    return listed.select("key", F.flatten(F.transform("l", lambda x: x["words"])).alias("words"))
+
+
+def fit_bayes(pairs: DataFrame, words: DataFrame, seeds: frozenset[str] = SEEDS) -> tuple[float, DataFrame]:
+    """Prior log-odds of blocking, and (token, odds) of all host and path words.
+
+    `pairs` are the distinct (host_key, path_key) of urls with a host, `words` has the words of each
+    key. A host that many pages have counts once.
+    """
+    hosts = pairs.select(F.col("host_key").alias("key")).distinct().join(words, "key", "left")
+    hosts = stored(hosts.select(F.col("key").alias("host_key"), F.coalesce("words", F.array().cast("array<string>")).alias("words")))
+    block = F.exists("words", lambda w: w.isin(*sorted(seeds)))
+    own = hosts.select("host_key", F.explode(F.concat("words", F.array(F.lit("")))).alias("token"))
+    there = pairs.join(words.withColumnRenamed("key", "path_key"), "path_key").select("host_key", F.explode("words").alias("token"))
+    found = own.union(there).distinct().join(hosts.select("host_key", block.alias("block")), "host_key")
+    counted = stored(found.groupBy("token").agg(F.count_if("block").alias("b"), F.count_if(~F.col("block")).alias("a")))
+    n, all_a, all_b = counted.where("token != ''").agg(F.count("*"), F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    none = counted.where("token = ''").first()
+    share = lambda c, whole: F.log((F.col(c) + SMOOTHING) / F.lit(whole + SMOOTHING * n))
+    odds = counted.where("token != ''").select("token", (share("b", all_b) - share("a", all_a)).alias("odds"))
+    return math.log(((none.b if none else 0) + SMOOTHING) / ((none.a if none else 0) + 1)), odds
 
 
 def verdicts(pages: DataFrame, rules: tuple = RULES, seeds: frozenset[str] = SEEDS) -> DataFrame:
@@ -165,24 +168,26 @@ def verdicts(pages: DataFrame, rules: tuple = RULES, seeds: frozenset[str] = SEE
     rule fits, the prior's verdict; a null html has no words; null ids are kept; repeated rows are
     judged again. Without any host the prior allows. An empty table gives an empty result.
     """
-    words = fit_words(pages)
-    bayes = fit_bayes(pages, words, seeds)
-    log, unknown, prior, odds = words.log, words.unknown, bayes.prior, bayes.odds
+    host, path = host_and_path(F.col("url"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    rows = rows.select("*", F.xxhash64("host").alias("host_key"), F.xxhash64("path").alias("path_key"))
+    texts = rows.select("host").union(rows.select("path")).distinct().toDF("text").select(F.xxhash64("text").alias("key"), "text")
+    words = stored(text_words(texts, stored(word_counts(pages))))
+    prior, odds = fit_bayes(rows.where("host != ''").select("host_key", "path_key").distinct(), words, seeds)
+    sums = words.select("key", F.explode("words").alias("token")).join(odds, "token").groupBy("key").agg(F.sum("odds").alias("odds"))
+    known = stored(words.join(sums, "key", "left").select("key", F.array_join("words", " ").alias("words"), F.coalesce("odds", F.lit(0.0)).alias("odds")))
     by_host: dict[str, list[tuple[str, str]]] = {}
     for rule_host, start, verdict in rules:
         by_host.setdefault(rule_host, []).append((start, verdict))
 
-    @F.pandas_udf(_VERDICT)
+    @F.pandas_udf("rule string, verdict string")
     def judge(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        model, classifier, known, out = Words(log, unknown), Bayes(prior, odds), {}, []
-        for h, p in zip(hosts, paths, strict=True):
-            if h not in known:
-                known[h] = model.tokens(h)
-            rule, verdict = matching_rule(h, p, by_host)
-            chance = round(classifier.p_block([*known[h], *model.tokens(p)]), 6)
-            out.append((rule, verdict or ("block" if chance >= 0.5 else "allow"), chance, " ".join(known[h])))
-        return pd.DataFrame(out, columns=["rule", "verdict", "p_block", "words"])
-
-    host, path = host_and_path(F.col("url"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    return rows.withColumn("v", judge("host", "path")).select("page_id", "host", "path", "v.*")
+        return pd.DataFrame([matching_rule(h, p, by_host) for h, p in zip(hosts, paths, strict=True)], columns=["rule", "verdict"], dtype=object)
+
+    rows = rows.join(known.toDF("host_key", "words", "host_odds"), "host_key", "left")
+    rows = rows.join(known.select(F.col("key").alias("path_key"), F.col("odds").alias("path_odds")), "path_key", "left")
+    total = F.lit(prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("path_odds", F.lit(0.0))
+    chance = F.round(1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), total)))), 6)
+    rows = rows.select("page_id", "host", "path", judge("host", "path").alias("v"), chance.alias("p_block"), F.coalesce("words", F.lit("")).alias("words"))
+    verdict = F.coalesce("v.verdict", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))
+    return rows.select("page_id", "host", "path", "v.rule", verdict.alias("verdict"), "p_block", "words")

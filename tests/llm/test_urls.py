@@ -55,3 +55,12 @@ def test_cases(pages):
         assert (by[k].host, by[k].path, by[k].rule, by[k].verdict) == ("", "", None, "allow")
     assert (by[None].rule, by[None].verdict) == ("org/fr/", "allow") and (by[206].host, by[206].path, by[206].rule) == ("É.net", "", None)
     assert U.verdicts(pages()).collect() == []
+
+
+def test_rare_words_behind_50000(pages):
+    """A word that 60,000 others outnumber still splits hosts."""
+    filler = ["".join(w) for w in itertools.islice(itertools.product("cdfghjkmnpsv", repeat=5), 60_000)]
+    rows = [(k, f"http://plain{k}.test/", "<p>" + " ".join(filler[k::4] * 2) + "</p>") for k in range(4)]
+    rows += [(10, "http://zebraquilt.test/", "<p>zebra quilt</p>")]
+    out = {r.page_id: r for r in U.verdicts(pages(*rows)).collect()}
+    assert out[10].words == "zebra quilt test"
