@@ -89,6 +89,14 @@ def _domain(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
+def _declared(html: Column) -> Column:
+    """The language of the first html element that has one, comments and raw text left out; else empty."""
+    markup = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--(?:-?>|.*?(?:-->|\z))|<(script|style|textarea|title)\b.*?(?:</\1\b|\z)", " ")
+    tags = F.regexp_extract_all(markup, F.lit(r"(?is)<html\b([^>]*)"), 1)
+    langs = F.transform(tags, lambda t: F.regexp_extract(t, r"""(?is)^.*\blang\s*=\s*["']?([a-z]{2,3})""", 1))
+    return F.lower(F.coalesce(F.get(F.filter(langs, lambda x: x != ""), F.lit(0)), F.lit("")))
+
+
 def evidence(documents: DataFrame, pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """(kind, id, host, declared, suffix, text_log): one row for each document and page.
 
@@ -110,7 +118,7 @@ def evidence(documents: DataFrame, pages: DataFrame, model: tuple[list[str], np.
                 out.append(((mean - mean.max()) * min(len(codes), EVIDENCE)).tolist() if len(mean) else [])
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.list_(pa.float64()))], ["kind", "id", "host", "declared", "suffix", "text_log"])
 
-    declared = F.lower(F.regexp_extract(F.substring(F.coalesce("html", F.lit("")), 1, 4096), r"""(?is)<html\b[^>]*\blang\s*=\s*["']?([a-z]{2,3})""", 1))
+    declared = _declared(F.col("html"))
     host, path = host_and_path(F.col("url"))
     section = F.lower(F.regexp_extract(path, r"^/([a-zA-Z]{2})(?:/|$)", 1))
     texts = documents.select(

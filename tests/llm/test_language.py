@@ -41,3 +41,13 @@ def test_evidence_and_cases(spark, docs, pages):
     none = L.identified(table.withColumn("lang", F.lit(None).cast("string")), pages(*web)).collect()
     assert len(none) == len(rows) and not any(r.lang for r in none)
     assert L.identified(docs(), pages()).collect() == [] and len(L.identified(table, pages()).collect()) == 29
+
+
+def test_declaration_behind_long_start(docs, pages):
+    """The html element counts wherever it stands, but not in comments or scripts."""
+    table = docs("the river and the stone").withColumn("lang", F.lit("en"))
+    long = "x" * 10_000
+    web = [f'<!-- {long} <html lang="de"> --><html class="a" lang="fr-CA">', f'{" " * 10_000}<!DOCTYPE html><HTML LANG=es>', f"<html><script>'<html lang=de>'</script>{long}",
+           f'<!--{long}', '<html xml:lang="de" lang="en">', "<html " * 50_000, '<!--><html lang="it">', "<html><body lang=de>"]
+    out = L.identified(table, pages(*[(k, f"http://h{k}.test/", html) for k, html in enumerate(web)])).collect()
+    assert [r.declared for r in sorted((r for r in out if r.page_id is not None), key=lambda r: r.page_id)] == ["fr", "es", "", "", "en", "", "it", ""]
