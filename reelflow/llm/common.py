@@ -40,3 +40,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+#: CTEs `crc_rows` and `crc_table` with the checksum table, made by its rule, and the checksum of a list of bytes.
+CRC_SQL = """
+    crc_rows(i, c, k) as (
+        select i, i::bigint, 0 from range(256) r(i)
+        union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from crc_rows where k < 8),
+    crc_table as (select list(c order by i) l from crc_rows where k = 8)"""
+
+
+def crc_sql(codes: str) -> str:
+    """crc32 of a list of byte values, where `crc_table` is joined in."""
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {codes}), lambda c, b: xor(c >> 8, l[(xor(c, b) & 255) + 1])))"
