@@ -33,7 +33,9 @@ DOMINANCE = 2
 #: One of so many words of a document, by a checksum, has a letter deleted by the contract's query.
 DELETED = 97
 #: Words of one block of a subtree, words searched at a time, words of a leaf.
-BLOCK, SEARCHED, LEAF = 50_000, 100_000, 16
+BLOCK, SEARCHED, LEAF = 50_000, 100_000, 64
+#: Rows of one comparison in a leaf; words up to this length are compared as arrays, longer ones one by one.
+LEAF_ROWS, LETTERED = 4096, 40
 #: Distinct words that a counting task holds before it passes them on.
 HELD = 200_000
 
@@ -69,37 +71,79 @@ def one_edit(a: bytes, b: bytes) -> bool:
     return a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :]
 
 
+class Words:
+    """Words as arrays: their vectors, those in 60 bits, and their letters from the front and from the back."""
+
+    def __init__(self, words: list[bytes]):
+        self.words = words
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.counts = np.minimum(vectors(words), np.iinfo(np.int16).max).astype(np.int16)
+        fine = self.counts[:, _COARSE:]
+        some = np.concatenate([fine > 0, fine[:, :26] > 1], axis=1)  # counts of a-z up to 2, of other letters up to 1
+        self.bits = (some.astype(np.uint64) << np.arange(some.shape[1], dtype=np.uint64)).sum(1, dtype=np.uint64)
+        short = self.sizes <= LETTERED
+        row = np.repeat(np.arange(len(words)), np.where(short, self.sizes, 0))
+        letters = np.frombuffer(b"".join(w for w, s in zip(words, short.tolist(), strict=True) if s), np.uint8)
+        column = np.arange(len(letters)) - np.repeat(np.cumsum(np.where(short, self.sizes, 0)) - np.where(short, self.sizes, 0), np.where(short, self.sizes, 0))
+        self.front = np.zeros((len(words), LETTERED), np.uint8)
+        self.front[row, column] = letters
+        self.back = np.zeros((len(words), LETTERED), np.uint8)
+        self.back[row, self.sizes[row] - 1 - column] = letters
+
+
+def one_edit_apart(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """`one_edit` for pairs of words: what they share at the front and at the back leaves one letter at most."""
+    size, other = a.sizes[i], b.sizes[j]
+    long = np.maximum(size, other)
+    out = np.abs(size - other) <= 1
+    for k in np.flatnonzero(out & (long > LETTERED)).tolist():
+        out[k] = one_edit(a.words[i[k]], b.words[j[k]])
+    at = np.flatnonzero(out & (long <= LETTERED))
+    if len(at):
+        width = int(long[at].max())
+        short = np.minimum(size, other)[at]
+
+        def shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            differ = x[i[at], :width] != y[j[at], :width]
+            return np.where(differ.any(1), differ.argmax(1), width)
+
+        head, tail = np.minimum(shared(a.front, b.front), short), np.minimum(shared(a.back, b.back), short)
+        out[at] = (head + tail >= long[at] - 1) & ((head < long[at]) | (size[at] != other[at]))
+    return out
+
+
 class Trie:
     """The words of one block, ordered by their vectors."""
 
     def __init__(self, words: list[bytes]):
-        counts = vectors(words)
-        order = np.lexsort(counts.T[::-1])
-        self.counts = np.ascontiguousarray(counts[order])
-        self.words = [words[k] for k in order]
-        self.place = order
+        given = vectors(words)
+        self.place = np.lexsort(given.T[::-1])
+        self.held = Words([words[k] for k in self.place])
 
     def search(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(searched, found) numbers of words whose vectors the budget reaches; all words go down the trie together."""
-        wanted = vectors(words)
+        """(searched, found) numbers of verified pairs; all words go down the trie together."""
+        wanted, held = Words(words), self.held
         none = np.zeros(len(words), bool)
-        todo = [(0, len(self.words), 0, np.arange(len(words)), none, none)]
+        todo = [(0, len(held.words), 0, np.arange(len(words)), none, none)]
         while todo:
             low, high, level, rows, surplus, deficit = todo.pop()
             if level == _LEVELS or high - low <= LEAF:
-                for first in range(0, len(rows), 4096):
-                    some = rows[first : first + 4096]
-                    apart = self.counts[None, low:high, :] - wanted[some][:, None, :]
-                    # coarse and fine counts show the same change once each
-                    s, f = np.nonzero((np.maximum(apart, 0).sum(2) <= 2) & (np.minimum(apart, 0).sum(2) >= -2))
-                    yield some[s], self.place[low + f]
+                for first in range(0, len(rows), LEAF_ROWS):
+                    some = rows[first : first + LEAF_ROWS]
+                    for start in range(low, high, LEAF_ROWS):
+                        stop = min(start + LEAF_ROWS, high)
+                        apart = np.bitwise_count(wanted.bits[some][:, None] ^ held.bits[None, start:stop])
+                        s, f = np.nonzero(apart <= 2)  # at most one surplus and one deficit
+                        s, f = some[s], f + start
+                        near = one_edit_apart(wanted, s, held, f)
+                        yield s[near], self.place[f[near]]
                 continue
             if level == _COARSE:  # the fine counts have a budget of their own
                 surplus, deficit = none[: len(rows)], none[: len(rows)]
-            column = self.counts[low:high, level]
+            column = held.counts[low:high, level]
             cuts = np.flatnonzero(column[1:] != column[:-1]) + 1
-            own = wanted[rows, level]
-            for a, b in zip(np.r_[0, cuts].tolist(), [*cuts.tolist(), high - low], strict=True):
+            own = wanted.counts[rows, level]
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), high - low], strict=True):
                 step = column[a] - own
                 ok = (step == 0) | ((step == 1) & ~surplus) | ((step == -1) & ~deficit)
                 if ok.any():
@@ -206,25 +250,26 @@ def near_words(words: DataFrame) -> DataFrame:
     return spread.mapInArrow(_searched, _NEAR)
 
 
-def _pairs(trie: Trie, held: list[int], searched: list[tuple[bytes, int, bool]]) -> pa.RecordBatch:
-    words = [w for w, _, _ in searched]
-    counts = [n for _, n, _ in searched]
-    above = [x for _, _, x in searched]
-    stored_words = trie.words
-    at = np.argsort(trie.place)  # place of each held word in the trie's order
+def _pairs(trie: Trie, held: list[tuple[bytes, int]], searched: list[tuple[bytes, int, bool]]) -> Iterator[pa.RecordBatch]:
     a, an, b, bn = [], [], [], []
-    for left, right in trie.search(words):
+
+    def passed_on() -> pa.RecordBatch:
+        columns = [pa.array(a + b, pa.string()), pa.array(an + bn, pa.int64()), pa.array(b + a, pa.string()), pa.array(bn + an, pa.int64())]
+        for x in (a, an, b, bn):
+            x.clear()
+        return pa.RecordBatch.from_arrays(columns, ["word", "n", "near", "near_n"])
+
+    for left, right in trie.search([w for w, _, _ in searched]):
         for i, j in zip(left.tolist(), right.tolist(), strict=True):
-            w, v = words[i], stored_words[at[j]]
-            # a pair within one subtree is met from both sides
-            if (above[i] or w < v) and one_edit(w, v):
+            (w, n, above), (v, m) = searched[i], held[j]
+            if above or w < v:  # a pair within one subtree is met from both sides
                 a.append(w.decode("latin-1"))
-                an.append(counts[i])
+                an.append(n)
                 b.append(v.decode("latin-1"))
-                bn.append(held[j])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(a + b, pa.string()), pa.array(an + bn, pa.int64()), pa.array(b + a, pa.string()), pa.array(bn + an, pa.int64())], ["word", "n", "near", "near_n"]
-    )
+                bn.append(m)
+        if len(a) >= SEARCHED:
+            yield passed_on()
+    yield passed_on()
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +283,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if waiting and held:
             if trie is None:
                 trie = Trie([w for w, _ in held])
-            yield _pairs(trie, [n for _, n in held], waiting)
+            yield from _pairs(trie, held, waiting)
         waiting.clear()
 
     for batch in batches:
