@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelflow.llm import chat, decontaminate, html, language, minhash, mixing, periodic, secrets, spelling, spotsigs, toxicity, urls
+from reelflow.llm import chat, decontaminate, html, language, minhash, mixing, periodic, quality, secrets, spelling, spotsigs, toxicity, urls
 from reelflow.llm.common import read
 
 
@@ -63,8 +63,12 @@ def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.spelling_variants(read(spark, sf, "documents"), spelling.DELETED)
 
 
+def op13_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judged(read(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_secret_scans, op4_html_extraction, op5_url_filters, op6_document_fingerprints, op7_chat_formatting, op8_minhash_near_dedup, op9_mixing_to_targets, op10_benchmark_decontamination, op11_periodic_runs, op12_spelling_variants)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_secret_scans, op4_html_extraction, op5_url_filters, op6_document_fingerprints, op7_chat_formatting, op8_minhash_near_dedup, op9_mixing_to_targets, op10_benchmark_decontamination, op11_periodic_runs, op12_spelling_variants, op13_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -33,13 +33,15 @@ DOMINANCE = 2
 #: One of so many words of a document, by a checksum, has a letter deleted by the contract's query.
 DELETED = 97
 #: Words of one block of a subtree, words searched at a time, words of a leaf.
-BLOCK, SEARCHED, LEAF = 50_000, 100_000, 64
+BLOCK, SEARCHED, LEAF = 4096, 100_000, 64
 #: Rows of one comparison in a leaf; words up to this length are compared as arrays, longer ones one by one.
 LEAF_ROWS, LETTERED = 4096, 40
 #: Distinct words that a counting task holds before it passes them on.
 HELD = 200_000
 
 _COARSE = 8
+#: Codes modulo 8 in the order of their levels: groups of frequent letters first, so that the first levels divide well.
+_FIRST = (1, 5, 4, 6, 7, 2, 3, 0)
 _LEVELS = 2 * _COARSE + 26
 
 _PLACED = "subtree binary, block int, search boolean, above boolean, word binary, n long"
@@ -49,8 +51,9 @@ _NEAR = "word string, n long, near string, near_n long"
 def _groups() -> tuple[np.ndarray, np.ndarray]:
     """The coarse and the fine level of each Latin-1 letter: by its code, then one for each of a-z."""
     codes = np.arange(256)
+    coarse = np.argsort(_FIRST)[codes % _COARSE]
     fine = np.where((codes >= 97) & (codes <= 122), _COARSE + codes - 97, _COARSE + 26 + codes % _COARSE)
-    return codes % _COARSE, fine
+    return coarse, fine
 
 
 def vectors(words: list[bytes]) -> np.ndarray:
@@ -217,7 +220,7 @@ def near_words(words: DataFrame) -> DataFrame:
     """
     words = words.select("word", "n")
     total = words.count()
-    depth = min(_COARSE, max(3, math.ceil(math.log(max(total / BLOCK, 1), 3))))
+    depth = min(_COARSE, max(5, math.ceil(math.log(max(total / BLOCK, 1), 2.5))))
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
