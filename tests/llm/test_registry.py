@@ -16,7 +16,7 @@ from tests.llm.test_secrets import plain
 
 def test_one_query_for_each_operator():
     names = [n for n in registry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(names) <= set(entry.queries()) and "pipeline" in entry.queries()
 
 
