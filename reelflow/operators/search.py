@@ -201,7 +201,8 @@ def _term_positions(cols: Sequence[str], min_len: int, stopwords: Sequence[str])
 
 def term_positions(docs: DataFrame, cols: Sequence[str], min_len: int = 1, stopwords: Sequence[str] = ()) -> DataFrame:
     """(film_id, term, positions): every word of every document with its 1-based positions."""
-    return docs.select("film_id", F.inline(_term_positions(cols, min_len, stopwords)))
+    entries = docs.select("film_id", F.explode_outer(_term_positions(cols, min_len, stopwords)).alias("e"))
+    return entries.where("e is not null").select("film_id", "e.*")
 
 
 def build_term_vectors(docs: DataFrame, cols: Sequence[str] = ("title", "description")) -> DataFrame:
@@ -222,11 +223,24 @@ def build_term_index(
     every row so that a lookup needs nothing else. All of it is made inside the document's row, so
     the text is read once and never shuffled.
     """
-    terms = docs.select("film_id", _term_positions(cols, min_len, stopwords).alias("_terms"))
-    counted = terms.select("film_id", F.transform("_terms", lambda t: F.struct(t["term"].alias("term"), F.size(t["positions"]).cast("long").alias("dtf"))).alias("_terms"))
-    norm = F.aggregate("_terms", F.lit(0.0), lambda total, t: total + F.log(t["dtf"]) + 1)
-    return counted.select("film_id", F.size("_terms").cast("long").alias("u"), norm.alias("norm"), F.inline("_terms")).select(
-        F.pmod(F.hash("term"), F.lit(buckets)).alias("bucket"), "term", "film_id", "dtf", "u", "norm"
+
+    def entries(terms: Column) -> Column:
+        """The document's rows; its length terms are bound once, so the work is linear in its terms."""
+        lengths = F.struct(
+            F.size(terms).cast("long").alias("u"),
+            F.aggregate(terms, F.lit(0.0), lambda total, t: total + F.log(F.size(t["positions"])) + 1).alias("norm"),
+        )
+
+        def rows(bound: Column) -> Column:
+            return F.transform(terms, lambda t: F.struct(
+                t["term"].alias("term"), F.size(t["positions"]).cast("long").alias("dtf"), bound["u"].alias("u"), bound["norm"].alias("norm")))
+
+        return F.get(F.transform(F.array(lengths), rows), F.lit(0))
+
+    found = F.get(F.transform(F.array(_term_positions(cols, min_len, stopwords)), entries), F.lit(0))
+    # an inner explode would have the optimizer repeat the whole expression in a filter below it
+    return docs.select("film_id", F.explode_outer(found).alias("e")).where("e is not null").select(
+        F.pmod(F.hash("e.term"), F.lit(buckets)).alias("bucket"), "e.term", "film_id", "e.dtf", "e.u", "e.norm"
     )
 
 
