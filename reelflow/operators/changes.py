@@ -103,6 +103,16 @@ def replace_range(target: DataFrame, new_rows: DataFrame, column: str, first: da
     return delete_where(target, inside).unionByName(new_rows.select(*target.columns))
 
 
+def effective_changes(changes: DataFrame, null_safe: bool = False) -> DataFrame:
+    """The changes of `sync_film_text` that take effect: inserts, deletes, and updates that change a text."""
+
+    def differs(name: str) -> Column:
+        old, new = F.col(f"old_{name}"), F.col(f"new_{name}")
+        return ~old.eqNullSafe(new) if null_safe else F.coalesce(old != new, F.lit(False))
+
+    return changes.filter(F.col("op").isin("insert", "delete") | ((F.col("op") == "update") & (differs("title") | differs("description"))))
+
+
 def sync_film_text(film_text: DataFrame, changes: DataFrame, null_safe: bool = False) -> DataFrame:
     """Apply film inserts, updates and deletes to the text copy.
 
@@ -111,14 +121,8 @@ def sync_film_text(film_text: DataFrame, changes: DataFrame, null_safe: bool = F
     only if title or description differ by a three-valued `!=`: a change from or to NULL alone is
     missed unless `null_safe` is set. An update may change the key.
     """
-
-    def differs(name: str) -> Column:
-        old, new = F.col(f"old_{name}"), F.col(f"new_{name}")
-        return ~old.eqNullSafe(new) if null_safe else F.coalesce(old != new, F.lit(False))
-
-    touched = (
-        changes.filter((F.col("op") == "delete") | ((F.col("op") == "update") & (differs("title") | differs("description"))))
-        .select(F.col("old_film_id").alias("film_id"), "op", "new_film_id", "new_title", "new_description")
+    touched = effective_changes(changes, null_safe).filter("op <> 'insert'").select(
+        F.col("old_film_id").alias("film_id"), "op", "new_film_id", "new_title", "new_description"
     )
     updated = F.col("op").isNotNull()
     kept = (
@@ -143,6 +147,7 @@ def audit_changes(
     as_of: datetime | str,
     actor_user: str | None = None,
     log: DataFrame | None = None,
+    microseconds: bool = False,
 ) -> DataFrame:
     """Change log between two versions of a table: one row per inserted, updated or deleted key.
 
@@ -150,6 +155,9 @@ def audit_changes(
     `audit_id` is made of it: one integer key counts from the largest `audit_id` of `log`, the log
     so far, upwards; a key of several columns, as that of a bridge table, is written as JSON text.
     Either way a repeated run gives the same ids. Integer keys must be positive.
+
+    Times in the JSON text have three digits after the second; with `microseconds` they have six, so
+    that `replay` and `rewind` give times back exactly.
     """
     keys = [key] if isinstance(key, str) else list(key)
     columns = before.columns
@@ -161,6 +169,7 @@ def audit_changes(
         .when(~F.col("_old").eqNullSafe(F.col("_new")), F.lit("UPDATE"))
     )
     changed_at = ntz(as_of).cast("timestamp")
+    exact = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"} if microseconds else None
     if len(keys) > 1:
         audit_id = F.to_json(F.struct(*keys))
     else:
@@ -177,7 +186,44 @@ def audit_changes(
             "action",
             changed_at.alias("changed_at"),
             F.lit(actor_user).cast("string").alias("actor_user"),
-            F.to_json("_old").alias("before_json"),
-            F.to_json("_new").alias("after_json"),
+            F.to_json("_old", exact).alias("before_json"),
+            F.to_json("_new", exact).alias("after_json"),
         )
     )
+
+
+def net_changes(log: DataFrame, key: Sequence[str] | str, like: DataFrame, order: Sequence[str] = ("changed_at",)) -> DataFrame:
+    """(key, before, after): one row for each key of a change log, the row as it was before its first change and after its last.
+
+    `before` and `after` are structs with the columns of `like`, read from the JSON text, or NULL where the
+    row was not there. Several changes of a key are ordered by the columns `order`.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    when = F.struct(*order)
+    # structs, since a NULL text is a value here: the row was not there
+    first = F.min(F.struct(when.alias("w"), F.col("before_json").alias("j")))["j"]
+    last = F.max(F.struct(when.alias("w"), F.col("after_json").alias("j")))["j"]
+    ends = log.groupBy(*keys).agg(first.alias("before"), last.alias("after"))
+    return ends.select(*keys, *[F.from_json(c, like.schema).alias(c) for c in ("before", "after")])
+
+
+def _patched(table: DataFrame, net: DataFrame, keys: list[str], side: str) -> DataFrame:
+    images = net.where(F.col(side).isNotNull()).select(f"{side}.*").select(*table.columns)
+    return table.join(net.select(*keys), keys, "left_anti").unionByName(images)
+
+
+def replay(table: DataFrame, log: DataFrame, key: Sequence[str] | str, until: datetime | str | None = None, order: Sequence[str] = ("changed_at",)) -> DataFrame:
+    """A later version of `table`, as the change log of `audit_changes` tells it: changes up to `until`, or all, are applied."""
+    keys = [key] if isinstance(key, str) else list(key)
+    wanted = log if until is None else log.where(F.col("changed_at") <= ntz(until).cast("timestamp"))
+    return _patched(table, net_changes(wanted, keys, table, order), keys, "after")
+
+
+def rewind(table: DataFrame, log: DataFrame, key: Sequence[str] | str, to: datetime | str | None = None, order: Sequence[str] = ("changed_at",)) -> DataFrame:
+    """An earlier version of `table`: changes after `to`, or all of the log, are taken back.
+
+    Only keys of the log are rebuilt, from the JSON text of their first change after `to`; all other rows are as they are.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    wanted = log if to is None else log.where(F.col("changed_at") > ntz(to).cast("timestamp"))
+    return _patched(table, net_changes(wanted, keys, table, order), keys, "before")

@@ -10,7 +10,10 @@ from reelflow.plans import finance, refresh
 from tests.conftest import SF
 from verification.queries import queries as verification_queries
 
-WRITING = {"load_table", "write_payments_by_month", "overwrite_full", "overwrite_range", "populate_extended_tables", "indexed_search"}
+WRITING = {
+    "load_table", "write_payments_by_month", "overwrite_full", "overwrite_range", "populate_extended_tables", "indexed_search",
+    "phrase_search", "segmented_search", "merged_search", "delete_cascading", "orphans_after_delete",
+}
 
 
 def plan(df) -> str:

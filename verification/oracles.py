@@ -7,7 +7,7 @@ the meaning is a join. Constraints are stated here once more, apart from the lib
 
 from __future__ import annotations
 
-from verification.queries import AS_OF, FIRST_DAY, LAST_DAY, MATCH_TEXT, SEARCH_TEXT
+from verification.queries import AS_OF, FILM_SEARCH, FIRST_DAY, LAST_DAY, MATCH_TEXT, NEW_PAYMENT, NEW_RENTAL, PHRASE, SEARCH_TEXT
 from verification.roles_sql import with_roles
 
 _STOP = (
@@ -76,6 +76,46 @@ RAISED = f"""
 OUT = "exists (select 1 from x_rental r where r.inventory_id = i.inventory_id and r.return_date is null)"
 
 
+# the tables after many kinds of changes
+CHANGED = {
+    "new_rental": f"""
+    select rental_id, rental_date, case when rental_id % 13 = 5 then (select max(inventory_id) from x_inventory) else inventory_id end inventory_id,
+           case when rental_id % 13 = 2 then greatest(customer_id - 1, 1) else customer_id end customer_id,
+           case when rental_id % 7 = 1 and return_date is null then rental_date + interval 3 day else return_date end return_date, staff_id
+    from x_rental where rental_id % 11 <> 0
+    union all
+    select rental_id + {NEW_RENTAL}, rental_date + interval 10 day, inventory_id, customer_id, null, staff_id from x_rental where rental_id % 17 = 3""",
+    "new_payment": f"""
+    select payment_id, customer_id, staff_id, case when rental_id % 11 <> 0 then rental_id end rental_id,
+           case when day(payment_date) = 5 then amount + 1 else amount end::decimal(12,2) amount, payment_date
+    from x_payment where day(payment_date) <> 9
+    union all
+    select payment_id + {NEW_PAYMENT}::hugeint, customer_id, staff_id, rental_id + {NEW_RENTAL}, amount, payment_date + interval 10 day
+    from x_payment where rental_id % 17 = 3""",
+}
+
+# what goes with some staff or stores: stores with their managers, staff with their stores, then all that refers to them
+GONE = {
+    "gone_store1": "select store_id from x_store where {store} or manager_staff_id in (select staff_id from x_staff where {staff})",
+    "gone_staff": "select staff_id from x_staff where ({staff}) or store_id in (select store_id from gone_store1)",
+    "gone_store": "select store_id from x_store where store_id in (select store_id from gone_store1) or manager_staff_id in (select staff_id from gone_staff)",
+    "left_staff": "select * from x_staff where staff_id not in (from gone_staff) and store_id not in (from gone_store)",
+    "left_store": "select * from x_store where store_id not in (from gone_store)",
+    "left_customer": "select * from x_customer where store_id not in (from gone_store)",
+    "left_inventory": "select * from x_inventory where store_id not in (from gone_store)",
+    "left_rental": """select * from x_rental where staff_id not in (from gone_staff)
+        and customer_id not in (select customer_id from x_customer where store_id in (from gone_store))
+        and inventory_id not in (select inventory_id from x_inventory where store_id in (from gone_store))""",
+    "left_payment": """select p.* exclude (rental_id), case when r.rental_id is null or l.rental_id is not null then p.rental_id end rental_id
+        from x_payment p left join x_rental r on r.rental_id = p.rental_id left join left_rental l on l.rental_id = p.rental_id
+        where p.staff_id not in (from gone_staff) and p.customer_id not in (select customer_id from x_customer where store_id in (from gone_store))""",
+}
+
+
+def _gone(staff: str = "false", store: str = "false") -> dict[str, str]:
+    return {k: v.format(staff=staff, store=store) for k, v in GONE.items()}
+
+
 def _kpi_columns(src: str) -> str:
     return f"""
     select customer_id, rentals_count, active_rentals, total_spent::double total_spent, last_payment::varchar last_payment,
@@ -146,14 +186,17 @@ FILM_CHANGES = """
     from x_film"""
 
 
-def _sync(changed: str) -> str:
-    return with_roles(f"""
+SYNCED = """
     select case when rating = 'PG' then film_id + 1000000000 else film_id end film_id,
            case when {changed} then new_title else title end title,
            case when {changed} then new_description else description end description
     from film_changes where rating is distinct from 'G'
     union all
-    select film_id + 1000000000, title, description from film_changes where rating is null""", film_changes=FILM_CHANGES)
+    select film_id + 1000000000, title, description from film_changes where rating is null"""
+
+
+def _sync(changed: str) -> str:
+    return with_roles(SYNCED.format(changed=changed), film_changes=FILM_CHANGES)
 
 
 # Declared keys, once more: child.column > parent.key.
@@ -211,6 +254,20 @@ def _foreign_keys() -> str:
     return " union all ".join(parts)
 
 
+def _orphans_after_delete() -> str:
+    """The report over what is left; there are no derived tables in it."""
+    parts = []
+    for row in _foreign_keys().split(" union all "):
+        child = row.split("'")[1]
+        if child in ("sales_rollup_daily", "customer_kpis", "inventory_status"):
+            names = row.split("'")
+            row = f"select '{child}' table_name, '{names[3]}' constraint_columns, '{names[5]}' parent_table, false checked, null::bigint bad_keys, null::bigint bad_rows"
+        for name in ("staff", "store", "customer", "inventory", "rental", "payment"):
+            row = row.replace(f"x_{name} ", f"left_{name} ")
+        parts.append(row)
+    return with_roles(" union all ".join(parts), **_gone(store="store_id % 3 = 1"))
+
+
 def _unique_keys() -> str:
     parts = []
     for pair in UNIQUE_KEYS.split(";"):
@@ -594,6 +651,44 @@ def oracle_sql() -> dict[str, str]:
         where b.payment_id is null or a.payment_id is null or a.last_update is not null""", raised=RAISED))
     add("audit_bridge", with_roles("""
         select film_id, count(*) n, count(*) n_ids, 'DELETE' as action from x_film_actor where film_id % 2 = 0 group by film_id"""))
+    # --- upkeep by changes: always the full answer over the changed tables
+    add("balances_at", with_roles("""
+        select p.customer_id, p.as_of::varchar as as_of, coalesce(sum(c.rent), 0)::double rent_fees, coalesce(sum(c.late), 0)::double late_fees,
+               coalesce(sum(c.paid), 0)::double payments, coalesce(sum(c.rent + c.late - c.paid), 0)::double balance
+        from (select distinct customer_id, rental_date as_of from x_rental) p
+             left join charges c on c.customer_id = p.customer_id and c.due <= p.as_of
+        group by p.customer_id, p.as_of""", charges="""
+        select r.customer_id, r.rental_date due, f.rental_rate rent,
+               greatest(coalesce(datediff('day', r.rental_date, r.return_date) - f.rental_duration, 0), 0)::decimal(12,2) late, 0::decimal(12,2) paid
+        from x_rental r join x_inventory i on i.inventory_id = r.inventory_id join x_film f on f.film_id = i.film_id
+        union all select customer_id, payment_date, 0, 0, amount from x_payment"""))
+    add("upkeep_kpis", with_roles(_kpi_columns("fresh_kpis"), **CHANGED, fresh_kpis=KPIS.format(rental="new_rental", payment="new_payment")))
+    add("upkeep_status", with_roles("""
+        select inventory_id, film_id, store_id, is_in_stock, total_rentals, last_rental::varchar last_rental from fresh_status""",
+        **CHANGED, fresh_status=STATUS.format(rental="new_rental")))
+    add("upkeep_rollup", with_roles("""
+        select sales_date::varchar sales_date, store_id, category_id, total_sales::double total_sales, tx_count from fresh""",
+        **CHANGED, fresh=ROLLUP.format(payment="new_payment", rental="new_rental", first=FIRST_DAY, last=LAST_DAY)))
+    add("log_read_back", with_roles("""
+        select version, payment_id::varchar payment_id, customer_id, staff_id, rental_id, amount::double amount, payment_date::varchar payment_date
+        from (select 'after' as version, payment_id, customer_id, staff_id, rental_id, amount, payment_date from new_payment
+              union all select 'before', payment_id, customer_id, staff_id, rental_id, amount, payment_date from x_payment)""", **CHANGED))
+    add("delete_cascading", with_roles(" union all ".join(
+        [f"select '{n}' table_name, count(*) n from left_{n}" for n in ("staff", "store", "customer", "inventory", "rental", "payment")]
+        + [f"select '{n}', count(*) from x_{n}" for n in ("address", "film", "film_actor")]
+        + ["select 'payment without rental', count(*) from left_payment where rental_id is null"]), **_gone(staff="staff_id % 4 = 3")))
+    add("orphans_after_delete", _orphans_after_delete())
+    add("phrase_search", with_roles(f"""
+        select film_id, len(hits)::bigint n_hits, hits[1]::integer first_position
+        from (select film_id, list_filter(range(1, len(w) + 1), lambda k: w[k] = '{PHRASE.split()[0]}' and w[k + 1] = '{PHRASE.split()[1]}') hits
+              from (select film_id, {WORDS % 1} w from x_film_text))
+        where len(hits) > 0"""))
+    renamed = "select * from synced where title not like 'NEW %'"
+    for key, table in (("segmented_search", "select * from synced"), ("merged_search", renamed)):
+        add(key, with_roles("select film_id, round(score, 6) score from scores", film_changes=FILM_CHANGES,
+            synced=SYNCED.format(changed=f"coalesce({same}, false)"),
+            kept_films=table, doc_terms=DOC_TERMS.replace("x_film_text", "kept_films"), query_terms=_search_terms(FILM_SEARCH),
+            scores=SCORES.replace("x_film_text", "kept_films")))
     add("check_unique", "select l_orderkey, l_linenumber, count(*) n from lineitem group by all having count(*) > 1")
     add("check_unique_report", with_roles(_unique_keys(), **DERIVED))
     add("check_foreign_key", with_roles(_foreign_keys(), **DERIVED))

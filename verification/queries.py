@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from reelflow.functions import scalars as S
 from reelflow.functions.aggregates import group_concat
-from reelflow.operators import changes, checks, inflate, keys, search
-from reelflow.plans import analytics, finance, refresh, seed, sql_api, stock, views, workload
+from reelflow.operators import cascade, changes, checks, inflate, keys, search, text_index
+from reelflow.plans import analytics, finance, refresh, seed, sql_api, stock, upkeep, views, workload
 from reelflow.sources import roles, schemas, sinks
 from reelflow.sources.tables import RentalTables, load_table
 
@@ -24,6 +24,7 @@ AS_OF = "2001-06-15 12:00:00"
 FIRST_DAY, LAST_DAY = "1995-01-01", "2001-12-31"
 SEARCH_TEXT = "action adventure drama love war robot license from data ther data"
 MATCH_TEXT = "action love license data"
+FILM_SEARCH = "widget gizmo again economy bolt"
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -421,6 +422,113 @@ def stamp_tables_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
+# --- upkeep by changes -----------------------------------------------------------------------
+
+
+def balances_at_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    """Every rental's balance of its customer at its own date."""
+    return finance.balances_at(t, t.rental.select("customer_id", F.col("rental_date").alias("as_of")))
+
+
+NEW_RENTAL, NEW_PAYMENT = 5_000_000_000, "1000000000000000000000000000000"
+
+
+def changed_facts(t: RentalTables) -> RentalTables:
+    """The tables after many kinds of changes: rentals deleted, returned, given to another customer, moved to one
+    copy, added; payments raised, deleted, cut off from deleted rentals, added for the new rentals."""
+    k = F.col("rental_id")
+    later = lambda c: F.col(c) + F.expr("interval '10' day")
+    last_copy = t.inventory.agg(F.max("inventory_id")).scalar()
+    rental = t.rental.where(k % 11 != 0)
+    rental = rental.withColumn("return_date", F.when((k % 7 == 1) & F.col("return_date").isNull(), F.col("rental_date") + F.expr("interval '3' day")).otherwise(F.col("return_date")))
+    rental = rental.withColumn("customer_id", F.when(k % 13 == 2, F.greatest(F.col("customer_id") - 1, F.lit(1))).otherwise(F.col("customer_id")))
+    rental = rental.withColumn("inventory_id", F.when(k % 13 == 5, last_copy).otherwise(F.col("inventory_id")))
+    more = t.rental.where(k % 17 == 3).withColumn("rental_id", k + NEW_RENTAL).withColumn("rental_date", later("rental_date")).withColumn("return_date", F.lit(None).cast("timestamp_ntz"))
+    day = F.dayofmonth("payment_date")
+    payment = t.payment.where(day != 9).withColumn("rental_id", F.when(k % 11 != 0, k))
+    payment = payment.withColumn("amount", F.when(day == 5, F.col("amount") + 1).otherwise(F.col("amount")).cast(t.payment.schema["amount"].dataType))
+    paid = t.payment.where(k % 17 == 3).withColumn("payment_id", (F.col("payment_id") + F.lit(NEW_PAYMENT).cast("decimal(38,0)")).cast("decimal(38,0)"))
+    paid = paid.withColumn("rental_id", k + NEW_RENTAL).withColumn("payment_date", later("payment_date"))
+    return t.replacing(rental=rental.unionByName(more), payment=payment.unionByName(paid))
+
+
+def _logs(t: RentalTables, after: RentalTables) -> tuple[DataFrame, DataFrame]:
+    return tuple(changes.audit_changes(t[n], after[n], f"{n}_id", AS_OF, microseconds=True) for n in ("rental", "payment"))
+
+
+def upkeep_kpis_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    """Customer indicators kept up by the changes of `changed_facts`; equal to a full refresh."""
+    after = changed_facts(t)
+    stored = refresh.refresh_customer_kpis(t)
+    changed = upkeep.changed_kpis(stored, after, *_logs(t, after))
+    return upkeep.merged(stored, changed, "customer_id").drop("last_update")
+
+
+def upkeep_status_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    after = changed_facts(t)
+    changed = upkeep.changed_status(after, _logs(t, after)[0])
+    return upkeep.merged(refresh.refresh_inventory_status(t), changed, "inventory_id").drop("last_update")
+
+
+def upkeep_rollup_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    after = changed_facts(t)
+    stored = refresh.refresh_sales_rollup(t, FIRST_DAY, LAST_DAY)
+    changed = upkeep.changed_rollup(stored, after, *_logs(t, after), FIRST_DAY, LAST_DAY)
+    return upkeep.merged(stored, changed, ["sales_date", "store_id", "category_id"]).drop("last_update")
+
+
+def log_read_back_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    """Payments before and after the changes, each rebuilt from the other one and the change log."""
+    after = changed_facts(t)
+    log = _logs(t, after)[1]
+    there = changes.replay(t.payment, log, "payment_id").withColumn("version", F.lit("after"))
+    back = changes.rewind(after.payment, log, "payment_id").withColumn("version", F.lit("before"))
+    return there.unionByName(back).select("version", "payment_id", "customer_id", "staff_id", "rental_id", "amount", "payment_date")
+
+
+def delete_cascading_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    """Rows left in each table after some staff went, and payments that lost their rental."""
+    left = cascade.delete_cascading(t, "staff", F.col("staff_id") % 4 == 3)
+    names = ("staff", "store", "customer", "inventory", "rental", "payment", "address", "film", "film_actor")
+    parts = [left[n].agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n")) for n in names]
+    cut = left.payment.where("rental_id is null").agg(F.lit("payment without rental").alias("table_name"), F.count(F.lit(1)).alias("n"))
+    return reduce(DataFrame.unionByName, [*parts, cut])
+
+
+def orphans_after_delete(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    """Foreign-key report after deleting stores and all that refers to them."""
+    return checks.foreign_key_report(cascade.delete_cascading(t, "store", F.col("store_id") % 3 == 1))
+
+
+PHRASE = "of the"
+
+
+def phrase_search_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    path = sinks.shared_dir(spark)
+    search.write_term_index(text_index.positional_postings(t.film_text), path)
+    return text_index.find_phrase(spark.read.parquet(path), PHRASE)
+
+
+def segmented_search_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    """Ranking over an index with one segment of changes on top; equal to the ranking over the changed films."""
+    path = sinks.shared_dir(spark)
+    text_index.create_index(t.film.select("film_id", "title", "description"), path)
+    text_index.apply_changes(film_changes(t), path, 1)
+    return text_index.search_index(spark, path, FILM_SEARCH).select("film_id", F.round("score", 6).alias("score"))
+
+
+def merged_search_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    """The same after two segments and a merge; the second segment deletes what the first one renamed."""
+    path, target = sinks.shared_dir(spark), sinks.shared_dir(spark)
+    text_index.create_index(t.film.select("film_id", "title", "description"), path)
+    first = film_changes(t)
+    text_index.apply_changes(first, path, 1)
+    gone = first.where("op = 'update' and new_title like 'NEW %'").withColumn("op", F.lit("delete"))
+    text_index.apply_changes(gone.withColumn("old_film_id", F.col("new_film_id")), path, 2)
+    text_index.merge_segments(spark, path, target)
+    return text_index.search_index(spark, target, FILM_SEARCH).select("film_id", F.round("score", 6).alias("score"))
+
+
 Query = Callable[[SparkSession, str, RentalTables], DataFrame]
 
 
@@ -514,6 +622,16 @@ REGISTRY: dict[str, Query] = {
     "build_term_vectors": term_vectors,
     "build_term_index": term_index,
     "indexed_search": indexed_search,
+    "balances_at": balances_at_query,
+    "upkeep_kpis": upkeep_kpis_query,
+    "upkeep_status": upkeep_status_query,
+    "upkeep_rollup": upkeep_rollup_query,
+    "log_read_back": log_read_back_query,
+    "delete_cascading": delete_cascading_query,
+    "orphans_after_delete": orphans_after_delete,
+    "phrase_search": phrase_search_query,
+    "segmented_search": segmented_search_query,
+    "merged_search": merged_search_query,
     "check_unique": check_unique_query,
     "check_unique_report": lambda spark, sf, t: checks.unique_report(_with_rollup(t)),
     "check_foreign_key": lambda spark, sf, t: checks.foreign_key_report(_with_rollup(t)),
