@@ -99,15 +99,20 @@ def foreign_key_report(tables: RentalTables) -> DataFrame:
 
 
 def domain_report(tables: RentalTables) -> DataFrame:
-    """Values outside every declared domain: (table_name, column_name, value, n)."""
-    known = set(tables.names())
-    parts = [
-        check_domain(tables[t], c, allowed, between).select(
-            F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"), "n"
-        )
-        for t, c, allowed, between in schemas.DOMAINS
-        if t in known
-    ]
+    """Values outside every declared domain: (table_name, column_name, checked, value, n).
+
+    A domain whose table or column is not there has one row with `checked` false and no value.
+    """
+    parts, absent = [], []
+    for t, c, allowed, between in schemas.DOMAINS:
+        if _missing(tables, [(t, [c])]):
+            absent.append((t, c, False, None, None))
+            continue
+        bad = check_domain(tables[t], c, allowed, between)
+        parts.append(bad.select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.lit(True).alias("checked"), F.col(c).cast("string").alias("value"), "n"))
+    if absent:
+        spark = tables[tables.names()[0]].sparkSession
+        parts.append(spark.createDataFrame(absent, "table_name string, column_name string, checked boolean, value string, n long"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -10,6 +10,7 @@ version of a film wins and a deleted film has none. `merge_segments` writes what
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,16 +47,14 @@ def find_phrase(postings: DataFrame, phrase: str, buckets: int = BUCKETS) -> Dat
     """
     words = phrase_words(phrase)
     distinct = list(dict.fromkeys(words))
+    if not words:
+        return postings.select("film_id", F.lit(0).cast("long").alias("n_hits"), F.lit(0).alias("first_position")).where(F.lit(False))
     wanted = F.col("bucket").isin([F.pmod(F.hash(F.lit(w)), F.lit(buckets)) for w in distinct])
     hits = postings.where(wanted & F.col("term").isin(distinct))
     by_word = [F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"w{k}") for k, w in enumerate(distinct)]
     rows = hits.groupBy("film_id").agg(*by_word)
-    begins: Column | None = None
-    for place, word in enumerate(words):
-        shifted = _less(F.col(f"w{distinct.index(word)}"), place)
-        begins = shifted if begins is None else F.array_intersect(begins, shifted)
-    if begins is None:
-        return rows.select("film_id", F.lit(0).cast("long").alias("n_hits"), F.lit(None).cast("int").alias("first_position")).where(F.lit(False))
+    lists = [_less(F.col(f"w{distinct.index(word)}"), place) for place, word in enumerate(words)]
+    begins = reduce(F.array_intersect, lists)
     # a word that is missing makes the list NULL
     found = rows.select("film_id", begins.alias("b")).where("size(b) > 0")
     return found.select("film_id", F.size("b").cast("long").alias("n_hits"), F.array_min("b").alias("first_position"))

@@ -85,13 +85,16 @@ def balances_at(t: RentalTables, probes: DataFrame, charge_replacement: bool = F
     events = charges.unionByName(paid).where("customer_id is not null and at is not null").withColumn("probe", F.lit(False))
     stream = events.unionByName(asked.select("*", *[nothing.alias(c) for c in kinds], F.lit(True).alias("probe")))
     stream = stream.withColumn("slot", F.date_trunc(slot, "at"))
-    within = Window.partitionBy("customer_id", "slot").orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("customer_id", "slot").orderBy("at", "probe")
+    within = order.rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("customer_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    running = stream.select("customer_id", "slot", "at", "probe", *[F.sum(c).over(within).alias(c) for c in kinds]).where("probe")
-    totals = stream.groupBy("customer_id", "slot").agg(*[F.sum(c).alias(c) for c in kinds])
+    running = stream.select("customer_id", "slot", "at", "probe", *[F.sum(c).over(within).alias(c) for c in kinds], F.lead(F.lit(True)).over(order).isNull().alias("ends"))
+    # the running sums at a slot's end are its totals, taken from the same exchange as the probes' sums
+    totals = running.where("ends")
     carried = totals.select("customer_id", "slot", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"carried_{c}") for c in kinds])
     sums = {c: money(F.col(c) + F.col(f"carried_{c}")) for c in kinds}
-    return running.join(carried, ["customer_id", "slot"]).select(
+    # a left join, as an inner one would push a filter into one side only and so part the exchanges
+    return running.where("probe").join(carried, ["customer_id", "slot"], "left").select(
         "customer_id", F.col("at").alias("as_of"), *[v.alias(c) for c, v in sums.items()],
         money(sums["rent_fees"] + sums["late_fees"] - sums["payments"]).alias("balance"))
 

@@ -1,16 +1,17 @@
 """Sinks: month-partitioned payments, full and range overwrite.
 
 A parquet folder is never overwritten while it is read. A full overwrite goes to a new version
-folder whose path is returned; a range overwrite replaces whole day partitions of a target that
+folder whose path is returned; a range overwrite replaces whole month folders of a target that
 the new rows do not depend on.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Collection
 from datetime import date
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelflow.functions.scalars import as_date, month_start, within_days
@@ -22,10 +23,14 @@ MONTH_FOLDER = "month"
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the cluster's shared `spark.checkpoint.dir`.
 
-    Where that setting is absent the session's warehouse, which all executors share as well,
-    holds the folder. No machine-local temporary folder is ever used.
+    A session of one machine may leave it unset; its warehouse holds the folder then. On a cluster an
+    unset folder is an error, as the warehouse may be one of the driver's machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -74,42 +79,51 @@ def overwrite_range(
 ) -> None:
     """Replace `column BETWEEN first AND last` of a stored daily table by `new_rows`.
 
-    The table is stored in month and day folders. Days with new rows are replaced by dynamic
-    partition overwrite, days outside the range are not touched. Days in the range without new
-    rows are dropped afterwards, since a dynamic overwrite leaves them behind. `new_rows` must not
-    read from `target` and must lie inside the range.
+    The table is stored in month folders. The months of the range are replaced by dynamic partition
+    overwrite; the days of the first and last one that lie outside the range are carried over. Months outside
+    are not touched. `new_rows` must not read from `target` and must lie inside the range.
 
-    By default adaptive execution sizes the write tasks by bytes and splits a day that holds much
-    of the data. A table of few bytes over many days is better written by a fixed number of
-    `tasks`, because opening its files is most of the work.
+    By default adaptive execution sizes the write tasks by bytes and splits a month that holds much
+    of the data; `tasks` fixes their number instead.
     """
-    spark = new_rows.sparkSession
     lo, hi = as_date(first), as_date(last)
     inside = F.col(column).between(F.lit(lo), F.lit(hi))
+    months = {m for m in _stored_months(new_rows.sparkSession, target) if lo.replace(day=1) <= m <= hi}
+    _replace_days(target, new_rows, inside, column, months, {lo.replace(day=1), hi.replace(day=1)}, tasks)
+
+
+def overwrite_days(target: str, new_rows: DataFrame, days: Collection[date], column: str = "sales_date", tasks: int | None = None) -> None:
+    """Replace single days, as `overwrite_range` does for a range, in one write whatever their number."""
+    if days:
+        inside = F.col(column).isin(sorted(days))
+        months = {d.replace(day=1) for d in days} & set(_stored_months(new_rows.sparkSession, target))
+        _replace_days(target, new_rows, inside, column, months, months, tasks)
+
+
+def _replace_days(target: str, new_rows: DataFrame, inside: Column, column: str, stored: set[date], mixed: set[date], tasks: int | None) -> None:
+    """Replace the days `inside` holds for, which lie in the `stored` months and new ones; only `mixed` months hold other days as well."""
+    spark = new_rows.sparkSession
     outside = F.raise_error(F.lit("row outside the overwritten range")).cast("boolean")
-    before = _stored_days(spark, target, column, lo, hi)
-    seen = Observation()
-    rows = (
-        new_rows.filter(F.when(inside, F.lit(True)).otherwise(outside))
-        .observe(seen, F.collect_set(column).alias("days"))  # at most one value per calendar day
-        .withColumn(MONTH_FOLDER, month_start(column))
-    )
-    spread = rows.hint("rebalance", F.col(column)) if tasks is None else rows.repartition(tasks, column)
-    (
-        spread.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(MONTH_FOLDER, column)
-        .parquet(target)
-    )
-    written = set(seen.get["days"])
+    rows = new_rows.filter(F.when(inside, F.lit(True)).otherwise(outside))
+    mixed = mixed & stored
+    if mixed:
+        # a copy of its own, since the folders it is read from are about to be replaced
+        carried = spark.read.parquet(target).filter(F.col(MONTH_FOLDER).isin(sorted(mixed)) & ~F.coalesce(inside, F.lit(False)))
+        copy = shared_dir(spark)
+        carried.select(*new_rows.columns).write.parquet(copy)
+        rows = rows.unionByName(spark.read.schema(new_rows.schema).parquet(copy))
+    rows = rows.withColumn(MONTH_FOLDER, month_start(column))
+    before = {m: _files(spark, target, m) for m in stored}
+    spread = rows.hint("rebalance", F.col(MONTH_FOLDER)) if tasks is None else rows.repartition(tasks, MONTH_FOLDER)
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH_FOLDER).parquet(target)
     fs, path = _hadoop(spark, target)
-    for day, folder in before.items():
-        if day not in written:
-            fs.delete(path(folder), True)
+    for month, files in before.items():
+        if _files(spark, target, month) == files:  # a dynamic overwrite leaves months without rows behind
+            fs.delete(path(_month_folder(target, month)), True)
 
 
 def read_daily(spark: SparkSession, target: str, first: date | str, last: date | str, column: str = "sales_date") -> DataFrame:
-    """Rows of `first..last` of a stored daily table; only the folders of those days are read."""
+    """Rows of `first..last` of a stored daily table; only the folders of their months are read."""
     lo, hi = as_date(first), as_date(last)
     months = F.col(MONTH_FOLDER).between(F.lit(lo.replace(day=1)), F.lit(hi))
     days = F.col(column).between(F.lit(lo), F.lit(hi))
@@ -123,19 +137,20 @@ def _hadoop(spark: SparkSession, target: str):
     return path(target).getFileSystem(conf), path
 
 
-def _stored_days(spark: SparkSession, target: str, column: str, lo: date, hi: date) -> dict[date, str]:
-    """Day folders present under `target` within `lo..hi`."""
+def _month_folder(target: str, month: date) -> str:
+    return f"{target.rstrip('/')}/{MONTH_FOLDER}={month.isoformat()}"
+
+
+def _files(spark: SparkSession, target: str, month: date) -> set[str]:
     fs, path = _hadoop(spark, target)
+    return {s.getPath().getName() for s in fs.listStatus(path(_month_folder(target, month)))}
 
-    def folders(parent: str, name: str) -> dict[date, str]:
-        if not fs.exists(path(parent)):
-            return {}
-        names = [s.getPath().getName() for s in fs.listStatus(path(parent))]
-        prefix = f"{name}="
-        return {date.fromisoformat(n[len(prefix):]): f"{parent}/{n}" for n in names if n.startswith(prefix)}
-
-    found: dict[date, str] = {}
-    for month, folder in folders(target.rstrip("/"), MONTH_FOLDER).items():
-        if lo.replace(day=1) <= month <= hi:
-            found.update({d: f for d, f in folders(folder, column).items() if lo <= d <= hi})
-    return found
+
+def _stored_months(spark: SparkSession, target: str) -> list[date]:
+    """Month folders present under `target`."""
+    fs, path = _hadoop(spark, target)
+    if not fs.exists(path(target)):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path(target))]
+    prefix = f"{MONTH_FOLDER}="
+    return [date.fromisoformat(n[len(prefix):]) for n in names if n.startswith(prefix)]

@@ -8,7 +8,6 @@ partitions instead of adding to them.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from reelflow.operators.changes import sync_film_text
 from reelflow.plans.refresh import refresh_sales_rollup
-from reelflow.sources.sinks import overwrite_range, write_payments_by_month
+from reelflow.sources.sinks import overwrite_days, write_payments_by_month
 from reelflow.sources.tables import RentalTables
 
 Reaction = Callable[[DataFrame, int], None]
@@ -59,19 +58,16 @@ def keep_film_text(spark: SparkSession, folder: str, null_safe: bool = False) ->
 def keep_sales_rollup(t: Callable[[], RentalTables], target: str) -> Reaction:
     """Recompute the days that a batch of payments touches, in the stored daily table.
 
-    `t` gives the tables with all payments so far, the batch included. Days are replaced run by run of
-    neighbouring days, so one late payment recomputes its own day, not the years since.
+    `t` gives the tables with all payments so far, the batch included. The days are those of the batch
+    alone, so one late payment recomputes its own day, not the years since; all of them are one write.
     """
 
     def react(batch: DataFrame, batch_id: int) -> None:
-        days = [r[0] for r in batch.select(F.to_date("payment_date").alias("day")).where("day is not null").distinct().orderBy("day").collect()]
-        runs: list[list[date]] = []
-        for day in days:
-            if runs and day - runs[-1][-1] == timedelta(days=1):
-                runs[-1].append(day)
-            else:
-                runs.append([day])
-        for run in runs:
-            overwrite_range(target, refresh_sales_rollup(t(), run[0], run[-1]), run[0], run[-1])
+        # at most one value per calendar day
+        days = [r[0] for r in batch.select(F.to_date("payment_date").alias("day")).where("day is not null").distinct().collect()]
+        if days:
+            now = t()
+            own = now.replacing(payment=now.payment.where(F.to_date("payment_date").isin(sorted(days))))
+            overwrite_days(target, refresh_sales_rollup(own, min(days), max(days)), days)
 
     return react

@@ -11,7 +11,7 @@ from tests.conftest import SF
 from verification.queries import queries as verification_queries
 
 WRITING = {
-    "load_table", "write_payments_by_month", "overwrite_full", "overwrite_range", "populate_extended_tables", "indexed_search",
+    "load_table", "load_tables", "write_payments_by_month", "overwrite_full", "overwrite_range", "populate_extended_tables", "indexed_search",
     "phrase_search", "segmented_search", "merged_search", "delete_cascading", "orphans_after_delete",
 }
 

@@ -7,6 +7,9 @@ the meaning is a join. Constraints are stated here once more, apart from the lib
 
 from __future__ import annotations
 
+import re
+
+from reelflow.sources.schemas import DDL
 from verification.queries import AS_OF, FILM_SEARCH, FIRST_DAY, LAST_DAY, MATCH_TEXT, NEW_PAYMENT, NEW_RENTAL, PHRASE, SEARCH_TEXT
 from verification.roles_sql import with_roles
 
@@ -298,6 +301,25 @@ DERIVED = {
 }
 
 
+# the columns of the role views
+ROLE_COLUMNS = {
+    "country": "country_id country", "city": "city_id city country_id", "address": "address_id address district city_id postal_code phone",
+    "store": "store_id manager_staff_id address_id", "staff": "staff_id first_name last_name address_id store_id active username",
+    "actor": "actor_id first_name last_name", "customer": "customer_id store_id first_name last_name email address_id active",
+    "category": "category_id name",
+    "film": "film_id title description release_year language_id rental_duration rental_rate length replacement_cost rating",
+    "film_category": "film_id category_id", "film_actor": "actor_id film_id", "inventory": "inventory_id film_id store_id",
+    "rental": "rental_id rental_date inventory_id customer_id return_date staff_id",
+    "payment": "payment_id customer_id staff_id rental_id amount payment_date last_update",
+    "film_text": "film_id title description", "language": "language_id name",
+}
+DERIVED_COLUMNS = {
+    "sales_rollup_daily": "sales_date store_id category_id total_sales tx_count",
+    "customer_kpis": "customer_id rentals_count active_rentals total_spent last_payment last_rental balance_cached",
+    "inventory_status": "inventory_id film_id store_id is_in_stock total_rentals last_rental",
+}
+
+
 def _nulls(table: str, columns: str) -> str:
     return " union all ".join(
         f"select '{table}' table_name, '{c}' column_name, count(*) - count({c}) n_null from x_{table}"
@@ -693,17 +715,21 @@ def oracle_sql() -> dict[str, str]:
     add("check_unique_report", with_roles(_unique_keys(), **DERIVED))
     add("check_foreign_key", with_roles(_foreign_keys(), **DERIVED))
     add("check_domain", with_roles("""
-        select 'film' table_name, 'rating' column_name, rating as value, count(*) n from x_film
+        select 'audit_rental' table_name, 'action' column_name, false checked, null as value, null::bigint n
+        union all select 'film', 'rating', true, rating, count(*) from x_film
         where rating not in ('G', 'PG', 'PG-13', 'R', 'NC-17') group by rating
-        union all select 'film', 'release_year', release_year::varchar, count(*) from x_film
+        union all select 'film', 'release_year', true, release_year::varchar, count(*) from x_film
         where release_year < 1901 or release_year > 2155 group by release_year
-        union all select 'audit_payment', 'action', 'update', count(*) from raised where last_update is not null having count(*) > 0""",
+        union all select 'audit_payment', 'action', true, 'update', count(*) from raised where last_update is not null having count(*) > 0""",
         raised=RAISED))
     add("check_required", with_roles(_required(ABSENT), **DERIVED))
-    add("check_not_null", with_roles(" union all ".join([
-        _nulls("customer", "customer_id store_id first_name last_name email address_id active"),
-        _nulls("film", "film_id title description release_year language_id rental_duration rental_rate length replacement_cost rating"),
-        _nulls("rental", "rental_id rental_date inventory_id customer_id return_date staff_id"),
-        _nulls("payment", "payment_id customer_id staff_id rental_id amount payment_date last_update"),
-    ])))
+    add("check_not_null", with_roles(" union all ".join(_nulls(table, columns) for table, columns in ROLE_COLUMNS.items())))
+    kinds = {"LONG": "bigint", "STRING": "varchar", "INT": "integer", "TIMESTAMP_NTZ": "timestamp"}
+    parts = []
+    for table, columns in {**ROLE_COLUMNS, **DERIVED_COLUMNS}.items():
+        for part in re.findall(r"([a-z_0-9]+) ([A-Z_]+(?:\(\d+,\d+\)|<[A-Z]+>)?)", DDL[table]):
+            known = f"count(try_cast({part[0]} as {kinds.get(part[1], part[1])}))" if part[0] in columns.split() and part[0] != "last_update" else "0"
+            known = "count(*)" if table in DERIVED_COLUMNS and part[0] == "last_update" else known
+            parts.append(f"select '{table}' table_name, '{part[0]}' column_name, count(*) n, {known} n_known from x_{table}")
+    add("load_tables", with_roles(" union all ".join(parts), **DERIVED))
     return sql

@@ -53,6 +53,21 @@ def load_table_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame
     return load_table(spark, folder, "rental").drop("last_update")
 
 
+def load_tables_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    """Every table stored, read back with its declared schema, and counted by column; values that do not fit their type are NULL."""
+    t, folder = _with_rollup(t), sinks.shared_dir(spark)
+    parts = []
+    for name in t.names():
+        given = t[name]
+        columns = [f.try_cast(kind).alias(c) if f is not None else F.lit(None).cast(kind).alias(c) for c, kind, f in [(x.name, x.dataType, F.col(x.name) if x.name in given.columns else None) for x in schemas.schema(name)]]
+        given.select(*columns).write.parquet(f"{folder}/{name}.parquet")
+        back = load_table(spark, folder, name)
+        known = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"k_{c}").alias("n_known")) for c in back.columns]))
+        counted = back.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"k_{c}") for c in back.columns]).select("n", known.alias("k"))
+        parts.append(counted.select(F.lit(name).alias("table_name"), "k.column_name", "n", "k.n_known"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def write_payments_by_month_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
     """Rows and amount per stored month; months outside 1996-01..2000-12 sit in the default partition."""
     path = sinks.shared_dir(spark)
@@ -280,8 +295,7 @@ def check_domain_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFra
 
 
 def check_not_null_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
-    facts = RentalTables({name: t[name] for name in ("customer", "film", "rental", "payment")})
-    return checks.not_null_report(facts, required_only=False)
+    return checks.not_null_report(t, required_only=False)
 
 
 # --- inflation, seeding, upkeep --------------------------------------------------------------
@@ -538,6 +552,7 @@ def _of(fn: Callable[..., DataFrame], *args, **kwargs) -> Query:
 
 REGISTRY: dict[str, Query] = {
     "load_table": load_table_query,
+    "load_tables": load_tables_query,
     "write_payments_by_month": write_payments_by_month_query,
     "overwrite_full": overwrite_full_query,
     "overwrite_range": overwrite_range_query,
