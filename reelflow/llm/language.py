@@ -32,6 +32,9 @@ EVIDENCE = 30.0
 #: Rows that the prior of the level above is worth, and the share of any declaration in any language.
 HOST_ROWS, DOMAIN_ROWS, SMOOTHING = 5.0, 20.0, 1.0
 
+#: Numbers of a table of counts that may be broadcast: 8 MB.
+CELLS = 1_000_000
+
 _TAG = re.compile(rb"<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>", re.S | re.I)
 _SPACE = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -93,7 +96,7 @@ def _declared(html: Column) -> Column:
     """The language of the first html element that has one, comments and raw text left out; else empty."""
     markup = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--(?:-?>|.*?(?:-->|\z))|<(script|style|textarea|title)\b.*?(?:</\1\b|\z)", " ")
     tags = F.regexp_extract_all(markup, F.lit(r"(?is)<html\b([^>]*)"), 1)
-    langs = F.transform(tags, lambda t: F.regexp_extract(t, r"""(?is)^.*\blang\s*=\s*["']?([a-z]{2,3})""", 1))
+    langs = F.transform(tags, lambda t: F.regexp_extract(t, r"""(?i)(?<=\s)lang\s*=\s*["']?([a-z]{2,3})""", 1))
     return F.lower(F.coalesce(F.get(F.filter(langs, lambda x: x != ""), F.lit(0)), F.lit("")))
 
 
@@ -135,6 +138,20 @@ def _added(columns: list[str], by: str) -> list[Column]:
     return [F.sum(c).alias(f"{by}{k}") for k, c in enumerate(columns)]
 
 
+def _with_counts(rows: DataFrame, counts: DataFrame, key: str, languages: int) -> DataFrame:
+    """Rows with the counts of their `kind` and `key`; rows with an empty key have none.
+
+    A small table is broadcast, `CELLS` numbers at most. Beyond that both sides are shuffled; rows with an empty key, which may be
+    most rows, then go to places of their own that match nothing.
+    """
+    counts = counts.where(F.col(key) != "")
+    if counts.limit(CELLS // languages + 1).count() <= CELLS // languages:
+        return rows.join(F.broadcast(counts), ["kind", key], "left")
+    place = F.when(F.col(key) == "", -1 - F.pmod(F.xxhash64("id", "host", "declared", "suffix", "text_log"), F.lit(1 << 30))).otherwise(F.lit(0).cast("long"))
+    placed = counts.withColumn("place", F.lit(0).cast("long"))
+    return rows.withColumn("place", place).join(placed, ["kind", key, "place"], "left").drop("place")
+
+
 def identified(documents: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page_id, lang, probability, text_lang, declared, host) for every document and page.
 
@@ -160,12 +177,12 @@ def identified(documents: DataFrame, pages: DataFrame) -> DataFrame:
     prior = [((overall[k] or 0.0) + SMOOTHING) / (sum(x or 0.0 for x in overall) + SMOOTHING * len(langs)) for k in number]
     hosts = stored(rows.groupBy("kind", "host", "domain").agg(*_added(votes, "h")))
     domains = hosts.groupBy("kind", "domain").agg(*_added([f"h{k}" for k in number], "d"))
-    hosts = hosts.join(domains, ["kind", "domain"]).drop("domain")
+    hosts = stored(hosts.join(domains, ["kind", "domain"]).drop("domain"))
     tables = {c: rows.groupBy("kind", c).agg(*_added(votes, c[0] + "_")) for c in ("declared", "suffix")}
     totals = {c: t.groupBy("kind").agg(*_added([f"{c[0]}_{k}" for k in number], f"{c[0]}t_")) for c, t in tables.items()}
-    out = rows.join(hosts, ["kind", "host"])
+    out = _with_counts(rows, hosts, "host", len(langs))
     for c, t in tables.items():
-        out = out.join(t.join(totals[c], "kind"), ["kind", c])
+        out = _with_counts(out, stored(t.join(totals[c], "kind")), c, len(langs))
 
     def log_posterior(k: int) -> Column:
         own = F.col(f"p{k}")

@@ -3,18 +3,24 @@
 Base spans are matches of three fixed patterns. Their values are labelled credentials: for each kind
 an automaton is inferred by state merging (ALERGIA). It starts as the prefix tree of the values;
 a state is merged into an earlier one if no observed frequency of theirs, nor of the states behind
-them, differs by more than the Hoeffding bound. Every other candidate in a text, a run of at
-least `CANDIDATE` credential characters with a letter and a digit, is a span of kind `format`
-if an automaton gives it the likelihood of a labelled credential: at least that of the least
-likely ones it was trained on, less a margin.
+them, differs by more than the Hoeffding bound.
+
+Every other run of credential characters is a candidate, whole and by its parts, what base spans leave of it
+included, from the shortest labelled value on. It is a span of kind `format` if an automaton gives it the
+likelihood of a labelled credential, at least that of the least likely ones it was trained on less a
+margin, and if that is `ODDS` bits more than what plain text gives it: the character pairs of all texts
+outside base spans. A format that looks like words, such as five small letters, is never more likely than they are.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,7 +31,8 @@ from reelflow.llm.common import slices, stored
 KINDS = ("assign", "access", "hex", "format")
 #: Labelled values an automaton is trained on, those with the smallest hashes, and their length at most.
 VALUES, VALUE_CHARS = 1000, 200
-CANDIDATE = 20
+#: Bits by which a format must be more likely than plain text.
+ODDS = 12.0
 ALPHA = 0.01
 #: Bits a character that a candidate may be less likely than the least likely twentieth of the labelled values.
 MARGIN = 0.25
@@ -36,8 +43,10 @@ ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
-_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{CANDIDATE},}}")
-_LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+_MARKS = "+/_.=-"
+#: Characters by class in plain text: 0 for all that is no credential character.
+_CLASSES = "9azAZ" + _MARKS
 
 _RESULT = "base array<struct<kind string, start int, end int>>, added array<struct<kind string, start int, end int>>"
 
@@ -161,7 +170,7 @@ def infer(values: list[str]) -> dict | None:
         for s in red
     ]
     own = sorted(likelihood(states, w) for w in words)
-    return {"states": states, "least": own[len(own) // 20] - MARGIN}
+    return {"states": states, "least": own[len(own) // 20] - MARGIN, "shortest": min(map(len, words))}
 
 
 def likelihood(states: list, word: str) -> float:
@@ -175,36 +184,133 @@ def likelihood(states: list, word: str) -> float:
     return (total + states[at][1]) / (len(word) + 1)
 
 
-def added_spans(text: str, base: list, automata: list[dict]) -> list[tuple[int, int]]:
-    """(start, end) of candidates with a learned format that no base span overlaps."""
-    found = []
-    for m in _RUN.finditer(text):
-        if not _LETTER.search(m[0]) or not _DIGIT.search(m[0]) or any(s < m.end() and m.start() < e for s, _, e, _ in base):
+def _class_codes() -> bytes:
+    return bytes(_CLASSES.index(symbols(chr(c))) + 1 if chr(c).isascii() and _RUN.fullmatch(chr(c)) else 0 for c in range(256))
+
+
+def pair_counts(text: str, base: list, codes: bytes) -> np.ndarray:
+    """Pairs of neighbouring character classes of a text without its base spans."""
+    parts, at = [], 0
+    for s, _, e, _ in base:
+        if e > at:
+            parts += [text[at : max(s, at)], " "]
+            at = e
+    rest = text if not base else "".join([*parts, text[at:]])
+    found = np.frombuffer(f" {rest} ".encode().translate(codes), np.uint8).astype(np.int64)
+    size = len(_CLASSES) + 1
+    return np.bincount(found[:-1] * size + found[1:], minlength=size * size)
+
+
+def background(counts: np.ndarray) -> dict[tuple[str, str], float]:
+    """log2-probability of each class after another in plain text; the empty string stands for both ends."""
+    size = len(_CLASSES) + 1
+    table = counts.reshape(size, size) + 0.5
+    logs = np.log2(table / table.sum(1, keepdims=True))
+    names = ["", *_CLASSES]
+    return {(names[i], names[j]): float(logs[i, j]) for i in range(size) for j in range(size)}
+
+
+def fits(word: str, model: dict) -> bool:
+    """True if an automaton takes a candidate's symbols for a labelled value rather than plain text."""
+    plain = None
+    for a in model["automata"]:
+        if len(word) < a["shortest"]:
+            continue
+        own = likelihood(a["states"], word)
+        if own < a["least"]:
             continue
-        word = symbols(m[0])
-        if any(likelihood(a["states"], word) >= a["least"] for a in automata):
-            found.append((m.start(), m.end()))
+        if plain is None:
+            plain = sum(map(model["background"].__getitem__, zip(["", *word], [*word, ""], strict=True)))
+        if own * (len(word) + 1) - plain >= ODDS:
+            return True
+    return False
+
+
+@cache
+def _runs(shortest: int) -> re.Pattern:
+    return re.compile(f"[A-Za-z0-9+/_.=-]{{{shortest},}}")
+
+
+def parts(start: int, end: int, text: str) -> list[list[tuple[int, int]]]:
+    """A run as a whole, without marks at its ends, and cut at each kind of mark; a later way counts if none before it fits."""
+    ways = [[(start, end)]]
+    s, e = start, end
+    while s < e and text[s] in _MARKS:
+        s += 1
+    while e > s and text[e - 1] in _MARKS:
+        e -= 1
+    ways.append([(s, e)])
+    for mark in "=/.":
+        if mark in text[s:e]:
+            cuts = [k for k in range(s, e) if text[k] == mark]
+            ways.append(list(zip([s, *(k + 1 for k in cuts)], [*cuts, e], strict=True)))
+    return ways
+
+
+def added_spans(text: str, base: list, model: dict) -> list[tuple[int, int]]:
+    """(start, end) of candidates with a learned format outside the base spans."""
+    if not model["automata"]:
+        return []
+    shortest = min(a["shortest"] for a in model["automata"])
+    taken: list[list[int]] = []  # base spans, overlapping ones as one
+    for s, _, e, _ in base:
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    found = []
+    for m in _runs(shortest).finditer(text):
+        free, at = [], m.start()
+        for s, e in taken[max(0, bisect_left(taken, [at, 0]) - 1) :]:
+            if s >= m.end():
+                break
+            if s > at:
+                free.append((at, s))
+            at = max(at, e)
+        if at < m.end():
+            free.append((at, m.end()))
+        for s, e in free:
+            for way in parts(s, e, text):
+                own = [(x, y) for x, y in way if y - x >= shortest and fits(symbols(text[x:y]), model)]
+                if own:
+                    found += own
+                    break
     return found
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled values, and pairs of character classes as rows of their own kind."""
+    codes = _class_codes()
+    size = (len(_CLASSES) + 1) ** 2
     for batch in slices(batches):
-        found = [(KINDS[k], v) for t in batch.column(0).to_pylist() if t for _, k, _, v in base_spans(t) if len(v) <= VALUE_CHARS]
-        kinds, values = zip(*found, strict=True) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"])
-
-
-def fit(docs: DataFrame) -> list[dict]:
-    """An automaton for each kind of base span in `docs`, from a bounded sample of distinct values."""
-    values = stored(docs.select("text").mapInArrow(_values, "kind string, value string").distinct())
+        found: list[tuple[str, str, int]] = []
+        pairs = np.zeros(size, np.int64)
+        for t in batch.column(0).to_pylist():
+            if not t:
+                continue
+            base = base_spans(t)
+            found += [(KINDS[k], v, 1) for _, k, _, v in base if len(v) <= VALUE_CHARS]
+            pairs += pair_counts(t, base, codes)
+        found += [("pair", str(k), int(pairs[k])) for k in np.flatnonzero(pairs)]
+        kinds, values, n = zip(*found, strict=True) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(n, pa.int64())], ["kind", "value", "n"])
+
+
+def fit(docs: DataFrame) -> dict:
+    """Automata for the kinds of base spans in `docs`, each from a bounded sample of distinct values, and the pairs of all texts."""
+    counted = docs.select("text").mapInArrow(_values, "kind string, value string, n long")
+    values = stored(counted.groupBy("kind", "value").agg(F.sum("n").alias("n")))
     automata = []
     for kind in KINDS[:3]:
         own = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(VALUES)
         automata.append(infer([r.value for r in own.collect()]))
-    return [a for a in automata if a]
+    counts = np.zeros((len(_CLASSES) + 1) ** 2)
+    for r in values.where("kind = 'pair'").collect():  # one row for each pair of classes
+        counts[int(r.value)] = r.n
+    return {"automata": [a for a in automata if a], "background": background(counts)}
 
 
-def find(text: Column, automata: list[dict]) -> Column:
+def find(text: Column, model: dict) -> Column:
     """A struct of the base and the added spans of a text column; null is empty."""
 
     @F.pandas_udf(_RESULT)
@@ -213,13 +319,13 @@ def find(text: Column, automata: list[dict]) -> Column:
         for t in texts:
             own = base_spans(t or "")
             base.append([(KINDS[k], s, e) for s, k, e, _ in own])
-            added.append([(KINDS[3], s, e) for s, e in added_spans(t or "", own, automata)])
+            added.append([(KINDS[3], s, e) for s, e in added_spans(t or "", own, model)])
         return pd.DataFrame({"base": base, "added": added})
 
     return spans(F.coalesce(text, F.lit("")))
 
 
-def redact(text: Column, automata: list[dict], mark: str = "[SECRET]") -> Column:
+def redact(text: Column, model: dict, mark: str = "[SECRET]") -> Column:
     """The text with every span, or run of overlapping ones, replaced by `mark`; null stays null."""
 
     @F.pandas_udf("string")
@@ -230,7 +336,7 @@ def redact(text: Column, automata: list[dict], mark: str = "[SECRET]") -> Column
                 out.append(None)
                 continue
             own = base_spans(t)
-            spans = sorted([(s, e) for s, _, e, _ in own] + added_spans(t, own, automata))
+            spans = sorted([(s, e) for s, _, e, _ in own] + added_spans(t, own, model))
             parts, at = [], 0
             for k, (s, e) in enumerate(spans):
                 if k and s < at:
@@ -270,9 +376,7 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """`docs` with every span replaced in `text`, and `n_chars`, if there, counted again for these texts."""
-    automata = fit(docs)
-    text = redact(F.col("text"), automata)
-    out = docs.withColumn("text", text)
+    out = docs.withColumn("text", redact(F.col("text"), fit(docs)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out.select(*docs.columns)

@@ -64,6 +64,69 @@ def test_learned_formats(docs):
     assert S.redacted(docs(None, (None, "password: abcdefg"))).orderBy(F.col("doc_id").isNull()).select("text").collect() == [(None,), ("[SECRET]",)]
 
 
+def scan(text, base, model):
+    """Every run of credential characters outside base spans, letter by letter, whole and by parts."""
+    covered = [any(s <= k < e for s, _, e, _ in base) for k in range(len(text))]
+    free = lambda k: k < len(text) and not covered[k] and re.fullmatch(r"[A-Za-z0-9+/_.=-]", text[k])
+    shortest, found, k = min(a["shortest"] for a in model["automata"]), [], 0
+    while k < len(text):
+        if not free(k):
+            k += 1
+            continue
+        end = k
+        while free(end):
+            end += 1
+        run, tries = text[k:end], [[(k, end)]]
+        a, b = k + len(run) - len(run.lstrip("+/_.=-")), end - (len(run) - len(run.rstrip("+/_.=-")))
+        tries.append([(a, max(a, b))])
+        for mark in "=/.":
+            if mark in text[a:b]:
+                pieces, at = [], a
+                for piece in text[a:b].split(mark):
+                    pieces.append((at, at + len(piece)))
+                    at += len(piece) + 1
+                tries.append(pieces)
+        for way in tries:
+            own = [(x, y) for x, y in way if y - x >= shortest and S.fits(S.symbols(text[x:y]), model)]
+            if own:
+                found += own
+                break
+        k = end
+    return found
+
+
+def test_all_candidates_are_scored(spark, docs, prose):
+    """Dotted, short and letter-only formats are found without their keyword, also beside base spans; words are not."""
+    r = random.Random(6)
+    pick = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    small, large, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    dotted = lambda: f"{pick(small, 2)}.{pick(small, 2)}{pick(large, 3)}.{pick(small, 3)}{pick(digits, 1)}.{pick(large, 1)}{pick(small, 1)}{pick(large, 1)}{pick(small, 1)}{pick(large, 1)}{pick(small, 1)}"
+    short = lambda: pick(large, 1) + pick(digits, 2) + pick(small, 1) + pick(digits, 2) + pick(large, 1)
+    letters = lambda: "".join(pick(large, 1) + pick(small, 1) for _ in range(9))
+    words = [prose(k, 60).capitalize() + "." for k in range(150)]
+    for make in (dotted, short, letters):
+        labelled = [f"{prose(k, 5)} token={make()} {prose(k + 1, 5)}" for k in range(60)]
+        planted = [make() for _ in range(20)]
+        other = [f"{prose(200 + k, 6)} {v}, see key={v} or /a/{v}. {'0a' * 13}/{v} {prose(300 + k, 6)}" for k, v in enumerate(planted)]
+        table = docs(*labelled, *other, *words)
+        by = check(table)
+        assert sum(by[60 + k].n_format == 4 for k in range(20)) >= 18, make
+        assert not any(by[80 + k].n_format for k in range(150)), make
+        model = S.fit(table)
+        for row in table.collect():
+            base = S.base_spans(row.text)
+            assert S.added_spans(row.text, base, model) == scan(row.text, base, model)
+
+
+def test_background_counts_leave_base_spans_out():
+    codes = S._class_codes()
+    text = "ab token=abcdef9999 c"
+    assert S.pair_counts(text, S.base_spans(text), codes).sum() == S.pair_counts("ab   c", [], codes).sum()
+    assert S.pair_counts("", [], codes).sum() == 1
+    logs = S.background(S.pair_counts("aaaa 9", [], codes).astype(float))
+    assert abs(sum(2**logs["a", x] for x in ["", *S._CLASSES]) - 1) < 1e-9
+
+
 def test_state_merging_keeps_probabilities():
     automaton = S.infer(["ab" * n for n in (1, 2, 3, 4) for _ in range(50)])
     for moves, end in automaton["states"]:
