@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 from reelflow.llm.common import slices, stored
 from reelflow.llm.urls import host_and_path
 
-#: Trees are aligned down to this depth.
-DEPTH = 60
 #: Share of the pages of a layout with a path that must have the same text there for it to be constant.
 CONSTANT = 0.9
 #: An element is the wrapper's if it holds this share of the slots' text of the element around it.
@@ -44,6 +42,7 @@ _BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote caption figcaption".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _FRAMES = (_BLOCKS | {"html"}) - _LEAVES
 _BOILERPLATE = frozenset("nav footer aside menu form fieldset button select input label dialog head".split())
 _NAMES = frozenset(
@@ -51,6 +50,12 @@ _NAMES = frozenset(
     "disqus footer masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related "
     "replies respond share sharebar sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget widgets alert gdpr".split()
 )
+#: Words that say nothing about an element: inside content a class is boilerplate only if all its words are such or of `_NAMES`.
+_PLAIN_NAMES = frozenset(
+    "area article articles bar block body bottom box button buttons card container content cta end footer form group header icon icons inline inner item items label left "
+    "link links list main mid middle module outer page panel placeholder post posts primary right row secondary section short signup site slot stories sub tags "
+    "text thread title top unit wrap wrapper".split()
+)
 _HEADERS = frozenset("header topbar".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 _CONTENT = frozenset("article articlebody content entry main maincontent post story".split())
@@ -77,6 +82,7 @@ class Page:
     label: list[str] = field(default_factory=list)
     skip: list[bool] = field(default_factory=list)
     content: list[bool] = field(default_factory=list)
+    within: list[bool] = field(default_factory=list)
     texts: list[tuple[int, str]] = field(default_factory=list)
 
     def path(self, node: int) -> str:
@@ -87,9 +93,9 @@ class Page:
         return "/".join(reversed(out))
 
 
-def _named(attributes: str) -> tuple[set[str], str, bool]:
-    """Words of class, id and role names, the first class, and whether the element is hidden."""
-    words, first, hidden = set(), "", False
+def _named(attributes: str) -> tuple[set[str], set[str], str, bool]:
+    """Words of class, id and role names, the classes, the first one, and whether the element is hidden."""
+    words, classes, first, hidden = set(), set(), "", False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "itemprop", "data-component"):
@@ -97,13 +103,22 @@ def _named(attributes: str) -> tuple[set[str], str, bool]:
             words.update(w.lower() for w in value.split())
             if name == "class" and value.split():
                 first = value.split()[0].lower()
+                classes.update(value.split())
+            elif name == "id" and value.lower() in _NAMES:
+                classes.add(value)
         elif name == "role":
             words.update("role=" + w.lower() for w in value.split())
         elif name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             hidden = True
         elif name == "aria-hidden" and value.lower() == "true":
             hidden = True
-    return words, first, hidden
+    return words, classes, first, hidden
+
+
+def _says_boilerplate(name: str) -> bool:
+    """True if all words of a class or id of an element inside content are of boilerplate, and one is more than a plain name."""
+    words = {w.lower() for w in _WORD.findall(name)} or {name.lower()}
+    return not words.isdisjoint(_NAMES) and words <= _NAMES | _PLAIN_NAMES
 
 
 def parse(html: str) -> Page:
@@ -152,12 +167,15 @@ def parse(html: str) -> Page:
                 break
             if page.tag[stack[k]] in unless:
                 break
-        words, first, hidden = _named(attributes) if attributes else (set(), "", False)
+        words, classes, first, hidden = _named(attributes) if attributes else (set(), set(), "", False)
         inside = still_open["article"] > 0
+        within = bool(stack) and page.within[stack[-1]]
         whole = name in ("html", "body", "article", "main")
         skip = bool(stack) and page.skip[stack[-1]] or hidden or name in _BOILERPLATE
         if not whole or (name == "article" and not words.isdisjoint(("comment", "comments", "related", "promo"))):
-            skip = skip or not words.isdisjoint(_NAMES) or any("role=" + r in words for r in _ROLES)
+            # inside content a name must be boilerplate as a whole: what a page's own sections are called is not
+            named = any(map(_says_boilerplate, classes)) and name not in _HEADINGS if within else not words.isdisjoint(_NAMES)
+            skip = skip or named or any("role=" + r in words for r in _ROLES)
         if not inside and not whole:
             skip = skip or name == "header" or not words.isdisjoint(_HEADERS)
         page.tag.append(name)
@@ -166,6 +184,7 @@ def parse(html: str) -> Page:
         page.label.append(f"{name}.{first}".replace("/", "|") if first else name)
         page.skip.append(skip)
         page.content.append("role=main" in words or name == "main" or not words.isdisjoint(_CONTENT))
+        page.within.append(within or inside or name == "article" or page.content[-1])
         if not (attributes.endswith("/") and name not in _BLOCKS):
             stack.append(len(page.tag) - 1)
             still_open[name] += 1
@@ -212,17 +231,16 @@ def aligned(a: Page, b: Page) -> dict[int, int]:
             own[parent].append(node)
         children.append(own)
 
-    def table(x: int, y: int, depth: int) -> tuple[int, list]:
+    def table(x: int, y: int):
+        """Gives the pairs of children whose own tables it needs, and in the end the size and the pairs of the matching."""
         left, right = children[0][x], children[1][y]
-        if depth >= DEPTH or not left or not right:
-            return 0, []
         size = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
         pairs = {}
         for i, p in enumerate(left):
             for j, q in enumerate(right):
                 w = 0
                 if a.tag[p] == b.tag[q]:
-                    inner, below = table(p, q, depth + 1) if children[0].get(p) and children[1].get(q) else (0, [])
+                    inner, below = (yield p, q) if children[0].get(p) and children[1].get(q) else (0, [])
                     w = 1 + inner
                     pairs[i, j] = w, below
                 size[i + 1][j + 1] = max(size[i][j + 1], size[i + 1][j], size[i][j] + w)
@@ -239,7 +257,17 @@ def aligned(a: Page, b: Page) -> dict[int, int]:
                 j -= 1
         return size[-1][-1], out
 
-    return dict(table(-1, -1, 0)[1])
+    # tables wait on a stack of their own, so trees may be of any depth
+    waiting, value = [table(-1, -1)], None
+    while waiting:
+        try:
+            x, y = waiting[-1].send(value)
+            waiting.append(table(x, y))
+            value = None
+        except StopIteration as done:
+            waiting.pop()
+            value = done.value
+    return dict(value[1])
 
 
 def induce(htmls: list[str]) -> dict:

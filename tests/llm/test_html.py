@@ -106,3 +106,78 @@ def test_children_behind_300():
     many = "".join(f"<i>{k}</i>" for k in range(400))
     a, b = (H.parse(f"<div>{many}<p>{x}</p></div>") for x in "xy")
     assert len(H.aligned(a, b)) == 402
+
+
+def test_an_articles_own_sections_stay(pages):
+    """Names that merely hold a boilerplate word are no boilerplate inside content; whole boilerplate names are, with and without a wrapper."""
+
+    def page(k):
+        own = (f'<h2 id="related-work">Related {k}</h2><section class="social-history"><p>history {k}</p></section><p class="notice-period">Notice of {k} weeks</p>'
+               f'<h3 class="comment">remark {k}</h3><p id="ads">ends {k}</p>')
+        noise = (f'<div class="ad-slot">buy {k}</div><div class="share-buttons">s{k}</div><ul class="related_posts"><li>r{k}</ul><section id="comments"><p>c{k}</p></section>'
+                 f'<div role="complementary">x{k}</div><div class="newsletter">n{k}</div>')
+        return f'<html><body><div class="social-history">menu {k}</div><article><p>text {k}</p>{own}{noise}</article></body></html>'
+
+    want = lambda k: f"text {k} Related {k} history {k} Notice of {k} weeks remark {k}"
+    assert text(page(1)) == want(1)
+    got = {r.page_id: r.text for r in H.main_texts(pages(*[(k, f"http://w.test/{k}", page(k)) for k in range(12)])).collect()}
+    assert all(got[k] == want(k) for k in range(12))
+    main = "<main><div class=entry><p>a</p><section class=market-share><p>b</p></section></div></main>"
+    assert text(main) == "a b"
+
+
+def test_trees_of_any_depth_are_aligned():
+    deep = lambda x: "<div>" * 3000 + f"<p>{x}</p>"
+    a, b = H.parse(deep("x")), H.parse(deep("y"))
+    assert len(H.aligned(a, b)) == 3001
+
+
+def brute(rows):
+    """page number -> text: layouts, constants and the content frame from all pages of a host, by their definitions."""
+    groups = {}
+    for k, (host, html) in enumerate(rows):
+        page = H.parse(html)
+        frames = []
+        for node in range(len(page.tag)):
+            up, leaf = node, False
+            while up >= 0:
+                leaf = leaf or page.tag[up] in H._LEAVES
+                up = page.parent[up]
+            if not leaf and not page.skip[node] and page.tag[node] in H._FRAMES and page.path(node) not in frames:
+                frames.append(page.path(node))
+        groups.setdefault((host, tuple(sorted(frames))), []).append((k, page, frames))
+    out = {}
+    for own in groups.values():
+        distinct = {H._clean([t for n, t in p.texts if n < 0 or not p.skip[n]]): p for _, p, _ in own}
+        texts, paths = {}, {}
+        for page in distinct.values():
+            at = {(page.path(n), t) for n, t in enumerate(H._own_texts(page)) if t and not page.skip[n]}
+            for x in at:
+                texts[x] = texts.get(x, 0) + 1
+            for x in {p for p, _ in at}:
+                paths[x] = paths.get(x, 0) + 1
+        constant = {x for x, n in texts.items() if n >= 2 and n >= H.CONSTANT * paths[x[0]]}
+        template = {x for x in constant if texts[x] >= H.AGREE}
+        mass = {f: sum(len(t) * n for (p, t), n in texts.items() if (p, t) not in constant and (p + "/").startswith(f + "/")) for f in own[0][2]}
+        node = max((f for f in mass if "/" not in f), key=lambda f: mass[f])
+        while True:
+            inner = [f for f in mass if f.startswith(node + "/") and not any(g != f and f.startswith(g + "/") and g.startswith(node + "/") for g in mass)]
+            best = max(inner, key=lambda f: mass[f], default=None)
+            if best is None or not mass[best] or mass[best] < H.SHARE * mass[node]:
+                break
+            node = best
+        for k, page, _ in own:
+            keep = [(n, t) for n, t in page.texts if n >= 0 and (page.path(n) + "/").startswith(node + "/") and not page.skip[n] and (page.path(n), H._own_texts(page)[n]) not in template]
+            out[k] = H._clean([t for _, t in keep])
+    return out
+
+
+def test_whole_site_equals_brute_force(pages, prose):
+    rows = []
+    for k in range(40):
+        shape = k % 3
+        extra = ["", "<div class=fact><p>Facts and figures</p></div>", f"<ul><li>{prose(900 + k, 3)}</li><li>Read more here</li></ul>"][shape]
+        body = f"<div class=shell><div class=core><h1>{prose(k, 3)}</h1><p>{prose(100 + k, 20)}</p>{extra}<p>{prose(200 + k, 9)}</p><p class=end>Written by us</p></div><div class=rail><p>About this place</p></div></div>"
+        rows.append((f"h{k % 2}.test", f"<html><body><div class=top><p>The name of the site</p></div>{body}<div class=low><p>{prose(300 + k % 4, 2)}</p></div></body></html>"))
+    got = {r.page_id: r.text for r in H.main_texts(pages(*[(k, f"http://{h}/{k}", html) for k, (h, html) in enumerate(rows)])).collect()}
+    assert got == brute(rows) and all(prose(100 + k, 20) in got[k] for k in range(40)) and not any("Written by us" in t for t in got.values())
