@@ -103,25 +103,28 @@ def replace_range(target: DataFrame, new_rows: DataFrame, column: str, first: da
     return delete_where(target, inside).unionByName(new_rows.select(*target.columns))
 
 
-def effective_changes(changes: DataFrame, null_safe: bool = False) -> DataFrame:
+def effective_changes(changes: DataFrame, null_safe: bool = False, collation: str | None = None) -> DataFrame:
     """The changes of `sync_film_text` that take effect: inserts, deletes, and updates that change a text."""
 
     def differs(name: str) -> Column:
         old, new = F.col(f"old_{name}"), F.col(f"new_{name}")
+        if collation is not None:
+            old, new = F.collate(old, collation), F.collate(new, collation)
         return ~old.eqNullSafe(new) if null_safe else F.coalesce(old != new, F.lit(False))
 
     return changes.filter(F.col("op").isin("insert", "delete") | ((F.col("op") == "update") & (differs("title") | differs("description"))))
 
 
-def sync_film_text(film_text: DataFrame, changes: DataFrame, null_safe: bool = False) -> DataFrame:
+def sync_film_text(film_text: DataFrame, changes: DataFrame, null_safe: bool = False, collation: str | None = None) -> DataFrame:
     """Apply film inserts, updates and deletes to the text copy.
 
     `changes` has one row per changed film: `op` in insert / update / delete, `old_film_id,
     old_title, old_description` and `new_film_id, new_title, new_description`. An update counts
     only if title or description differ by a three-valued `!=`: a change from or to NULL alone is
-    missed unless `null_safe` is set. An update may change the key.
+    missed unless `null_safe` is set. An update may change the key. With a `collation`, texts that it takes
+    for equal are no change.
     """
-    touched = effective_changes(changes, null_safe).filter("op <> 'insert'").select(
+    touched = effective_changes(changes, null_safe, collation).filter("op <> 'insert'").select(
         F.col("old_film_id").alias("film_id"), "op", "new_film_id", "new_title", "new_description"
     )
     updated = F.col("op").isNotNull()

@@ -13,6 +13,7 @@ from verification.queries import queries as verification_queries
 WRITING = {
     "load_table", "load_tables", "write_payments_by_month", "overwrite_full", "overwrite_range", "populate_extended_tables", "indexed_search",
     "phrase_search", "segmented_search", "merged_search", "delete_cascading", "orphans_after_delete",
+    "distinct_over_months", "streamed_status",
 }
 
 

@@ -711,6 +711,24 @@ def oracle_sql() -> dict[str, str]:
             synced=SYNCED.format(changed=f"coalesce({same}, false)"),
             kept_films=table, doc_terms=DOC_TERMS.replace("x_film_text", "kept_films"), query_terms=_search_terms(FILM_SEARCH),
             scores=SCORES.replace("x_film_text", "kept_films")))
+    paid = """
+        select {by}, count(distinct r.rental_id) rentals, count(distinct r.customer_id) customers
+        from x_payment p join x_rental r on r.rental_id = p.rental_id join x_inventory i on i.inventory_id = r.inventory_id
+             join x_film_category fc on fc.film_id = i.film_id
+        where cast(p.payment_date as date) between date '{first}' and date '{last}' group by {by}"""
+    add("distinct_over_months", with_roles(paid.format(by="i.store_id, fc.category_id", first="1996-03-01", last="1998-09-30")))
+    add("distinct_by_store", with_roles(paid.format(by="i.store_id", first=FIRST_DAY, last=LAST_DAY)))
+    spelt = lambda k, x: f"case when {k} % 3 = 0 then upper({x}) when {k} % 3 = 1 then lower({x}) || '  ' else {x} end"
+    add("group_by_text", with_roles(f"""
+        select min(x) first_name, count(*) n, sum(customer_id)::bigint ids
+        from (select customer_id, {spelt("customer_id", "first_name")} x from x_customer) group by lower(rtrim(x))"""))
+    add("join_by_text", with_roles(f"""
+        select {spelt("film_id", "title")} title, film_id, min(film_id) over (partition by lower(rtrim(title))) first_film from x_film"""))
+    folded = "(lower(rtrim(title)) <> lower(rtrim(new_title)) or lower(rtrim(description)) <> lower(rtrim(new_description)))"
+    add("sync_film_text_collated", with_roles(SYNCED.format(changed=f"coalesce({folded}, false)").replace("from film_changes", "from spelt_changes"),
+        film_changes=FILM_CHANGES, spelt_changes=f"select * replace ({spelt('film_id', 'new_title')} as new_title) from film_changes"))
+    add("streamed_status", with_roles("""
+        select inventory_id, film_id, store_id, is_in_stock, total_rentals, last_rental::varchar last_rental from now""", now=STATUS.format(rental="x_rental")))
     add("check_unique", "select l_orderkey, l_linenumber, count(*) n from lineitem group by all having count(*) > 1")
     add("check_unique_report", with_roles(_unique_keys(), **DERIVED))
     add("check_foreign_key", with_roles(_foreign_keys(), **DERIVED))

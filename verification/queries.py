@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reelflow.functions import collation
 from reelflow.functions import scalars as S
 from reelflow.functions.aggregates import group_concat
 from reelflow.operators import cascade, changes, checks, inflate, keys, search, text_index
-from reelflow.plans import analytics, finance, refresh, seed, sql_api, stock, upkeep, views, workload
+from reelflow.plans import analytics, distinct, finance, refresh, seed, sql_api, stock, upkeep, views, workload
 from reelflow.sources import roles, schemas, sinks
 from reelflow.sources.tables import RentalTables, load_table
+from reelflow.streaming import status
 
 AS_OF = "2001-06-15 12:00:00"
 FIRST_DAY, LAST_DAY = "1995-01-01", "2001-12-31"
@@ -543,6 +545,49 @@ def merged_search_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFr
     return text_index.search_index(spark, target, FILM_SEARCH).select("film_id", F.round("score", 6).alias("score"))
 
 
+def distinct_over_months(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    """Distinct rentals and customers over 31 months, from a stored rollup of monthly sets."""
+    path = sinks.shared_dir(spark)
+    distinct.distinct_rollup(t, FIRST_DAY, LAST_DAY).write.partitionBy("sales_month").parquet(path)
+    return distinct.distinct_counts(spark.read.parquet(path), "1996-03-01", "1998-09-01")
+
+
+def distinct_by_store(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    return distinct.distinct_counts(distinct.distinct_rollup(t, FIRST_DAY, LAST_DAY), "1995-01-01", "2001-12-01", ["store_id"])
+
+
+def _spelt(key: str, text: str) -> Column:
+    """A text in one of three spellings that count as equal."""
+    return F.when(F.col(key) % 3 == 0, F.upper(text)).when(F.col(key) % 3 == 1, F.concat(F.lower(text), F.lit("  "))).otherwise(F.col(text))
+
+
+def group_by_text_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    people = t.customer.select("customer_id", _spelt("customer_id", "first_name").alias("first_name"), "store_id")
+    return collation.group_by_text(people, ["first_name"], F.count(F.lit(1)).alias("n"), F.sum("customer_id").alias("ids"))
+
+
+def join_by_text_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    """Films met by the spelling of their titles that another film of the same title has."""
+    a = t.film.select("film_id", _spelt("film_id", "title").alias("title"))
+    b = t.film.groupBy(F.upper("title").alias("title")).agg(F.min("film_id").alias("first_film"))
+    return collation.join_by_text(a, b, ["title"])
+
+
+def sync_film_text_collated(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    """Changes of case and trailing blanks alone are none."""
+    changed = film_changes(t).withColumn("new_title", _spelt("old_film_id", "new_title"))
+    return changes.sync_film_text(t.film.select("film_id", "title", "description"), changed, collation=collation.IGNORE_CASE_AND_BLANKS)
+
+
+def streamed_status_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    """Stock after all rentals and returns arrived as a stream of files, several batches."""
+    base = sinks.shared_dir(spark)
+    status.rental_events(t.rental).repartition(4).write.parquet(f"{base}/events")
+    stream = spark.readStream.schema(status.EVENTS).option("maxFilesPerTrigger", 2).parquet(f"{base}/events")
+    status.keep_status(stream, f"{base}/status", f"{base}/checkpoint").awaitTermination()
+    return status.read_status(spark, f"{base}/status", t)
+
+
 Query = Callable[[SparkSession, str, RentalTables], DataFrame]
 
 
@@ -647,6 +692,12 @@ REGISTRY: dict[str, Query] = {
     "phrase_search": phrase_search_query,
     "segmented_search": segmented_search_query,
     "merged_search": merged_search_query,
+    "distinct_over_months": distinct_over_months,
+    "distinct_by_store": distinct_by_store,
+    "group_by_text": group_by_text_query,
+    "join_by_text": join_by_text_query,
+    "sync_film_text_collated": sync_film_text_collated,
+    "streamed_status": streamed_status_query,
     "check_unique": check_unique_query,
     "check_unique_report": lambda spark, sf, t: checks.unique_report(_with_rollup(t)),
     "check_foreign_key": lambda spark, sf, t: checks.foreign_key_report(_with_rollup(t)),
