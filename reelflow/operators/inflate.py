@@ -7,7 +7,7 @@ step mask, and all copies come from one `explode` instead of `k` dependent passe
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,12 +18,21 @@ from reelflow.operators.keys import copied_key
 STEP_YEARS = (1, 2, 3, 4, 5)
 
 
-def _shift(column: str, years: Sequence[int]) -> Column:
-    """Apply the steps of the mask in order; month ends clamp at every step."""
-    shifted = F.col(column)
-    for bit, step in enumerate(years):
-        shifted = F.when(F.col("_mask").bitwiseAND(F.lit(1 << bit)) != 0, add_years(shifted, step)).otherwise(shifted)
-    return shifted
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once in each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _shifted(column: str, years: Sequence[int]) -> Column:
+    """All shifted dates of a row, by mask: each step appends what there is, moved by its years; month ends clamp at every step."""
+    dates = F.array(F.col(column))
+    for step in years:
+        dates = _bound(dates, _with_step(step))
+    return dates
+
+
+def _with_step(step: int) -> Callable[[Column], Column]:
+    return lambda dates: F.concat(dates, F.transform(dates, lambda d: add_years(d, step)))
 
 
 def _masks(years: Sequence[int]) -> list[int]:
@@ -38,8 +47,15 @@ def _first_masks(years: Sequence[int]) -> list[int]:
     return sorted(first.values())
 
 
-def _copies(df: DataFrame, masks: Column) -> DataFrame:
-    return df.withColumn("_mask", F.explode(masks))
+def _copies(df: DataFrame, masks: Column, dates: Sequence[str], years: Sequence[int]) -> DataFrame:
+    """A row for each mask, with the `dates` moved by its steps. The dates of a row are made before it is copied."""
+
+    def copy(all_dates: Column) -> Column:
+        return F.transform(masks, lambda m: F.struct(m.alias("_mask"), *[F.get(all_dates[c], m).alias(c) for c in dates]))
+
+    copies = _bound(F.struct(*[_shifted(c, years).alias(c) for c in dates]), copy)
+    # an inner explode would have the optimizer repeat the whole expression in a filter below it; there always is a mask
+    return df.select("*", F.explode_outer(copies).alias("_copy")).drop(*dates).select("*", "_copy.*").drop("_copy")
 
 
 def _array(values: Sequence[int]) -> Column:
@@ -58,11 +74,10 @@ def inflate_payment(payment: DataFrame, years: Sequence[int] = STEP_YEARS, as_of
     Source rows keep their keys, so other tables still meet them; copies get keys above.
     """
     copy = F.col("_mask") != 0
-    grown = _copies(payment, _array(_masks(years)))
+    grown = _copies(payment, _array(_masks(years)), ["payment_date"], years)
     for name, value in {
         "payment_id": _key(payment, "payment_id", years),
         "rental_id": F.when(~copy, F.col("rental_id")),
-        "payment_date": _shift("payment_date", years),
         "last_update": F.when(copy, F.lit(as_of).cast("timestamp")).otherwise(F.col("last_update")),
     }.items():
         if name in payment.columns:
@@ -97,11 +112,9 @@ def inflate_rental(
     group = ["inventory_id", "customer_id", "_day"]
     source = rental.withColumn("_day", day).repartition(*group)
     copy = F.col("_mask") != 0
-    grown = _copies(source, masks).withColumn("_source", F.col("rental_id"))
+    grown = _copies(source, masks, ["rental_date", "return_date"], years).withColumn("_source", F.col("rental_id"))
     for name, value in {
         "rental_id": _key(rental, "rental_id", years),
-        "rental_date": _shift("rental_date", years),
-        "return_date": _shift("return_date", years),
         "last_update": F.when(copy, F.lit(as_of).cast("timestamp")).otherwise(F.col("last_update")),
     }.items():
         if name in rental.columns:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dense_index(df: DataFrame, key: str, name: str = "idx", slices: int = 8191) -> DataFrame:
@@ -31,12 +32,20 @@ def copied_key(source: DataFrame, key: str, copies: int, copy: Column, above: Da
 
     `above` is the table the copies are appended to, `source` itself by default. The smallest and
     largest key are scalar subqueries, so the expression is narrow and gives the same keys whenever
-    it is computed; as keys of `source` are unique, so are the new ones, and none meets an old one.
+    it is computed; as keys of `source` are unique, so are the new ones, and none meets an old one. New
+    keys span `copies` times the span of the old ones; where that does not fit the key's type, as with
+    hashed ids, the job fails and says so (number the rows with `dense_index` first).
     """
     kind = source.schema[key].dataType
-    top = (source if above is None else above).agg(F.max(key)).scalar()
-    low = source.agg(F.min(key)).scalar()
-    return (F.coalesce(top, low - 1) + 1 + (F.col(key) - low) * copies + copy).cast(kind)
+    wide = "decimal(38,0)"
+    top = (source if above is None else above).agg(F.max(key)).scalar().cast(wide)
+    low = source.agg(F.min(key)).scalar().cast(wide)
+    new = (F.coalesce(top, low - 1) + 1 + (F.col(key).cast(wide) - low) * F.lit(copies).cast("decimal(10,0)") + copy.cast("decimal(10,0)")).cast(wide)
+    if isinstance(kind, T.DecimalType):
+        return new.cast(kind)
+    fits = new.try_cast(kind)
+    too_wide = F.raise_error(F.lit(f"new keys of {key} do not fit its type; give the rows dense keys first")).cast(kind)
+    return F.when(new.isNull() | fits.isNotNull(), fits).otherwise(too_wide)
 
 
 def append_with_keys(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
