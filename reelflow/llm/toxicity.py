@@ -103,7 +103,8 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = stored(texts.join(chosen, "doc_id").select("doc_id", "toxic", "text").mapInArrow(
+    # at most LABELLED ids, whatever the input's size: the texts are not shuffled to find theirs
+    sample = stored(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(
         _families, "doc_id long, toxic int, family long, words array<binary>"))
     first = sample.groupBy("family").agg(F.min("doc_id").alias("doc_id"))
     return stored(sample.join(first, ["family", "doc_id"], "left_semi").select("doc_id", "toxic", "words"))

@@ -30,7 +30,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 SEEDS = frozenset("adult ads bet bets casino malware pills poker porn spam track tracker warez xxx".split())
 #: Names that stand in many hosts and are no concatenations.
 HOST_WORDS = "www blog mail shop news com net org edu gov info example test".split()
-WORD_CHARS = 20
+#: Longest word that the vocabulary knows, and starts of words in one batch of a run's pieces.
+WORD_CHARS, RANGE = 20, 4096
 SMOOTHING = 0.1
 
 _TAG = re.compile(rb"<script.*?</script>|<style.*?</style>|<[^>]*>", re.S | re.I)
@@ -116,11 +117,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct substrings of each run that can be words; a long run makes several batches."""
+    """Substrings of each run that can be words, distinct within `RANGE` starts; a longer run makes several batches."""
     for batch in slices(batches, 64):
         for k, run in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found = sorted({run[a:b] for a in range(len(run)) for b in range(a + 1, min(len(run), a + WORD_CHARS) + 1)})
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int64()), pa.array(found, pa.string())], ["run_key", "word"])
+            for first in range(0, len(run), RANGE):
+                starts = range(first, min(first + RANGE, len(run)))
+                found = sorted({run[a:b] for a in starts for b in range(a + 1, min(len(run), a + WORD_CHARS) + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int64()), pa.array(found, pa.string())], ["run_key", "word"])
 
 
 def text_words(texts: DataFrame, counts: DataFrame) -> DataFrame:
@@ -134,7 +137,7 @@ def text_words(texts: DataFrame, counts: DataFrame) -> DataFrame:
 
     runs = stored(texts.select("key", "text").mapInArrow(_runs, "key long, at long, run string"))
     distinct = runs.select("run").distinct().select(F.xxhash64("run").alias("run_key"), "run")
-    known = distinct.mapInArrow(_pieces, "run_key long, word string").join(counts, "word").groupBy("run_key").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    known = distinct.mapInArrow(_pieces, "run_key long, word string").join(counts, "word").groupBy("run_key").agg(F.collect_set(F.struct("word", "n")).alias("known"))
     words = stored(distinct.join(known, "run_key", "left").select("run", split("run", "known").alias("words")))
     listed = runs.join(words, "run").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("l"))
     return listed.select("key", F.flatten(F.transform("l", lambda x: x["words"])).alias("words"))

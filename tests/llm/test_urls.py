@@ -64,3 +64,29 @@ def test_rare_words_behind_50000(pages):
     rows += [(10, "http://zebraquilt.test/", "<p>zebra quilt</p>")]
     out = {r.page_id: r for r in U.verdicts(pages(*rows)).collect()}
     assert out[10].words == "zebra quilt test"
+
+
+def test_pieces_of_a_long_run_come_in_small_batches():
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(1)
+    run = "".join(r.choices("abcdefghij", k=30_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([7], pa.int64()), pa.array([run])], ["k", "run"])
+    sizes, found = [], set()
+    for b in U._pieces(iter([batch])):
+        sizes.append(b.num_rows)
+        found.update(b.column(1).to_pylist())
+    assert max(sizes) <= U.RANGE * U.WORD_CHARS and len(sizes) == -(-len(run) // U.RANGE)
+    assert found == {run[a : a + n] for a in range(len(run)) for n in range(1, U.WORD_CHARS + 1)}
+
+
+def test_long_path_of_known_words(pages, prose):
+    """A path of a hundred thousand letters is split at the words of the pages' texts."""
+    vocabulary = sorted(set(prose(5, 40).split()))
+    path = "".join(vocabulary[k % len(vocabulary)] for k in range(20_000))
+    rows = [(1, f"http://h.test/{path}", "<p>" + " ".join(vocabulary * 50) + "</p>")]
+    out = U.verdicts(pages(*rows)).collect()
+    assert len(path) > 90_000 and out[0].path == "/" + path and out[0].words == "h test"
+    assert U.verdicts(pages(*rows, (2, None, None))).count() == 2
