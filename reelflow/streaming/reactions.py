@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reelflow.operators.changes import sync_film_text
+from reelflow.operators.text_index import apply_changes
 from reelflow.plans.refresh import refresh_sales_rollup
 from reelflow.sources.sinks import overwrite_days, write_payments_by_month
 from reelflow.sources.tables import RentalTables
@@ -55,6 +56,19 @@ def keep_film_text(spark: SparkSession, folder: str, null_safe: bool = False) ->
     return react
 
 
+def keep_text_index(path: str, null_safe: bool = False, **words) -> Reaction:
+    """Apply film changes to a stored text index, one segment for each batch.
+
+    Batch n writes segment n + 1 from its own rows alone; nothing stored is read or rewritten, and a replayed batch
+    writes the same segment again. The index must have been created; `words` are its stopwords and shortest word.
+    """
+
+    def react(batch: DataFrame, batch_id: int) -> None:
+        apply_changes(batch, path, batch_id + 1, null_safe, **words)
+
+    return react
+
+
 def keep_sales_rollup(t: Callable[[], RentalTables], target: str) -> Reaction:
     """Recompute the days that a batch of payments touches, in the stored daily table.
 

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from reelflow.operators import changes, search, text_index as T
+from reelflow.streaming import reactions
 from tests.conftest import make
 
 WORDS = "alpha beta gamma delta alphabet".split()
@@ -74,6 +75,23 @@ def test_segments_equal_a_rebuild(spark, tmp_path):
     assert rounded(T.search_index(spark, merged, "alpha delta", min_len=1, max_doc_share=0.9)) == rounded(T.search_index(spark, path, "alpha delta", min_len=1, max_doc_share=0.9))
 
 
+def test_stream_of_changes_keeps_the_index(spark, tmp_path):
+    path, arrivals = str(tmp_path / "index"), tmp_path / "in"
+    arrivals.mkdir()
+    now = films(spark, {1: ("alpha", None), 2: ("beta beta", "gamma")})
+    T.create_index(now, path, min_len=1)
+    stream = spark.readStream.schema(CHANGES).parquet(str(arrivals))
+    for row in (("insert", None, None, None, 3, "gamma delta", None), ("delete", 1, "alpha", None, None, None, None), ("update", 2, "beta beta", "gamma", 9, "beta", "gamma")):
+        batch = spark.createDataFrame([row], CHANGES)
+        batch.write.mode("append").parquet(str(arrivals))
+        reactions.start(stream, reactions.keep_text_index(path, min_len=1), str(tmp_path / "cp")).awaitTermination(120)
+        now = changes.sync_film_text(now, batch)
+        for query in ("gamma", "alpha", "beta delta"):
+            want = search.score_documents(now, T.COLUMNS, query, min_len=1, max_doc_share=1.0)
+            assert rounded(T.search_index(spark, path, query, min_len=1, max_doc_share=1.0)) == rounded(want)
+    assert sorted(r.film_id for r in now.collect()) == [3, 9]
+
+
 def test_search_reads_the_words_buckets_only(spark, tmp_path):
     path = str(tmp_path / "index")
     T.create_index(films(spark, texts(3)), path, min_len=1)
