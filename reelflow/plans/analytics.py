@@ -39,17 +39,22 @@ def financial_performance(t: RentalTables, min_rentals: int = 5, ordered: bool =
     Sums, mean and population deviation weigh a payment by the number of the film's actors, as the
     twelve-way join does. Payments are reduced to exact moments per rental first; each rental then
     meets its copy once per category name, so counting rows counts distinct rentals. Rentals are
-    combined per customer, and the number of those rows is the distinct customer count.
+    combined per customer, and the number of those rows is the distinct customer count. Facts stored by
+    `sources.colocated.store_facts` are joined by slice where they lie; there the leading slice of a rental counts.
     """
+    sliced = "slice" in t.payment.columns and "slice" in t.rental.columns
+    meeting = ["rental_id", "slice"] if sliced else ["rental_id"]
+    leads = [F.max("leads").alias("leads")] if sliced else []
+    counted = F.count_if("leads") if sliced else F.count(F.lit(1))
     cents = (F.col("amount") * 100).cast("decimal(18,0)")
     paid = (
         t.payment.filter(F.col("rental_id").isNotNull())
-        .select("rental_id", cents.alias("c"))
-        .groupBy("rental_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("s1"), F.sum(F.col("c") * F.col("c")).alias("s2"))
+        .select(*meeting, cents.alias("c"), *(["leads"] if sliced else []))
+        .groupBy(*meeting)
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("s1"), F.sum(F.col("c") * F.col("c")).alias("s2"), *leads)
     )
     rentals = t.rental.select(
-        "rental_id", "inventory_id", "customer_id", F.year("rental_date").alias("year"), F.month("rental_date").alias("month")
+        *meeting, "inventory_id", "customer_id", F.year("rental_date").alias("year"), F.month("rental_date").alias("month")
     )
     keys = ["store_id", "category", "year", "month"]
     w = F.col("weight")
@@ -58,11 +63,11 @@ def financial_performance(t: RentalTables, min_rentals: int = 5, ordered: bool =
         return F.sum(F.col(c).cast("decimal(28,0)") * w.cast("decimal(9,0)")).cast("decimal(38,0)")
 
     per_customer = (
-        paid.join(rentals, "rental_id")
+        paid.join(rentals, meeting)
         .join(_copy_weights(t), "inventory_id")
         .groupBy(*keys, "customer_id")
         .agg(
-            F.count(F.lit(1)).alias("rentals"),
+            counted.alias("rentals"),
             F.sum(F.col("n") * w).alias("w"),
             weighted("s1").alias("s1"),
             weighted("s2").alias("s2"),

@@ -18,7 +18,7 @@ from reelflow.functions import scalars as S
 from reelflow.functions.aggregates import group_concat
 from reelflow.operators import cascade, changes, checks, inflate, keys, search, text_index
 from reelflow.plans import analytics, distinct, finance, refresh, seed, sql_api, stock, upkeep, views, workload
-from reelflow.sources import roles, schemas, sinks
+from reelflow.sources import colocated, roles, schemas, sinks
 from reelflow.sources.tables import RentalTables, load_table
 from reelflow.streaming import status
 
@@ -618,6 +618,9 @@ REGISTRY: dict[str, Query] = {
     "financial_performance": lambda spark, sf, t: analytics.financial_performance(t).withColumn(
         "payment_volatility", F.round("payment_volatility", 4)
     ),
+    "performance_of_stored_facts": lambda spark, sf, t: analytics.financial_performance(colocated.store_facts(t, 16)).withColumn(
+        "payment_volatility", F.round("payment_volatility", 4)
+    ),
     "customer_profile": _of(analytics.customer_profile),
     "customer_activity_top": _of(analytics.customer_activity_top),
     "fulltext_search": _of(workload.fulltext_search, SEARCH_TEXT),
