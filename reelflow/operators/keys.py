@@ -71,19 +71,14 @@ def left_join_spread_nulls(left: DataFrame, right: DataFrame, key: str, spread_b
     return joined.select("l.*", *[F.col(f"r.{c}") for c in right.columns if c != key]).drop("_place")
 
 
-def salted_join(
-    left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "inner", slices: int = 8
-) -> DataFrame:
-    """Join in which the rows of one `left` key go to `slices` tasks.
+def fresh_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join in which both sides are exchanged anew, so that adaptive execution can split a hot `left` key.
 
     For a right side that is itself the result of joins on the same key: its partitioning would be
-    reused as it is, and adaptive execution splits a hot key only between two fresh exchanges. The
-    salted key makes both sides exchange, so a hot key is first cut into `slices` and then split
-    further where it is still too large. The right side is repeated `slices` times, so it should be
-    the much smaller one. `spread_by` is a column of `left` that varies within a key.
+    reused as it is, and adaptive execution splits a hot key only between two fresh exchanges. A second
+    key, made of the first one, asks for a partitioning that neither side has; no row is repeated.
     """
     if how not in ("inner", "left"):
-        raise ValueError("salted_join supports inner and left joins")
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(slices)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+        raise ValueError("fresh_join supports inner and left joins")
+    place = F.xxhash64(key)
+    return left.withColumn("_place", place).join(right.withColumn("_place", place), [key, "_place"], how).drop("_place")

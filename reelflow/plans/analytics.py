@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelflow.functions.aggregates import exact_mean, population_stddev
 from reelflow.functions.scalars import byte_length, days_between
-from reelflow.operators.keys import salted_join
+from reelflow.operators.keys import fresh_join
 from reelflow.plans._facts import category_names, place
 from reelflow.sources.tables import RentalTables
 
@@ -30,7 +30,7 @@ def _copy_weights(t: RentalTables) -> DataFrame:
         .select("film_id", "category", (F.col("n_actors") * F.col("times")).alias("weight"))
     )
     copies = t.inventory.select("inventory_id", "film_id", "store_id")
-    return salted_join(copies, films, "film_id", "inventory_id").drop("film_id")
+    return fresh_join(copies, films, "film_id").drop("film_id")
 
 
 def financial_performance(t: RentalTables, min_rentals: int = 5, ordered: bool = True) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reelflow.functions.scalars import as_date, as_datetime, ntz, strict_greatest, within_days
 from reelflow.operators.changes import delete_where, deleted_keys, replace_range, update_join
-from reelflow.operators.keys import left_join_spread_nulls, salted_join
+from reelflow.operators.keys import fresh_join, left_join_spread_nulls
 from reelflow.sources.tables import RentalTables
 
 
@@ -31,7 +31,8 @@ def refresh_sales_rollup(
     """
     categories = t.film_category.select("film_id", "category_id").join(t.film.select("film_id"), "film_id", "left_semi")
     stocked = t.inventory.select("inventory_id", "film_id", "store_id").join(t.store.select("store_id"), "store_id", "left_semi")
-    copies = salted_join(stocked, categories, "film_id", "inventory_id", "left").select(
+    # categories grow with the films, and their size is estimated from compressed files: never built on the driver
+    copies = fresh_join(stocked, categories.hint("merge"), "film_id", "left").select(
         "inventory_id", "store_id", F.coalesce("category_id", F.lit(0)).cast("long").alias("category_id")
     )
     sold = t.payment.filter(within_days("payment_date", start, end) & F.col("rental_id").isNotNull()).select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelflow.functions.aggregates import group_concat
 from reelflow.functions.scalars import capitalise, full_name
-from reelflow.operators.keys import salted_join
+from reelflow.operators.keys import fresh_join
 from reelflow.plans._facts import category_names, paid_per_copy, place
 from reelflow.sources.tables import RentalTables
 
@@ -141,7 +141,7 @@ def actor_info(t: RentalTables) -> DataFrame:
     categories = t.film_category.join(t.category.select("category_id", F.col("name").alias("category")), "category_id")
     films = t.film.select("film_id", "title").join(categories.select("film_id", "category_id", "category"), "film_id")
     per_category = (
-        salted_join(t.film_actor.select("actor_id", "film_id"), films, "film_id", "actor_id")
+        fresh_join(t.film_actor.select("actor_id", "film_id"), films, "film_id")
         .groupBy("actor_id", "category_id", "category")
         .agg(group_concat("title").alias("titles"))
     )
