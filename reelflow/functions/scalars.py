@@ -51,7 +51,7 @@ def month_start(c: ColumnLike) -> Column:
     return F.trunc(_col(c), "MM")
 
 
-def add_years(c: ColumnLike, years: int) -> Column:
+def add_years(c: ColumnLike, years: int | Column) -> Column:
     """Shift by whole years; 29 February becomes 28 February outside leap years."""
     return _col(c) + F.make_ym_interval(F.lit(years), F.lit(0))
 

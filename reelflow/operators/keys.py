@@ -27,11 +27,11 @@ def dense_index(df: DataFrame, key: str, name: str = "idx", slices: int = 8191)
     )
 
 
-def copied_key(source: DataFrame, key: str, copies: int, copy: Column, above: DataFrame | None = None) -> Column:
-    """The key of copy number `copy` (0..copies-1) of a row of `source`: above every key of `above`.
+def first_copied_key(source: DataFrame, key: str, copies: int, above: DataFrame | None = None) -> Column:
+    """The key of the first one of `copies` copies of a row of `source`; the others follow it without a gap.
 
-    `above` is the table the copies are appended to, `source` itself by default. The smallest and
-    largest key are scalar subqueries, so the expression is narrow and gives the same keys whenever
+    New keys are above every key of `above`, the table the copies are appended to, `source` itself by default. The
+    smallest and largest key are scalar subqueries, so the expression is narrow and gives the same keys whenever
     it is computed; as keys of `source` are unique, so are the new ones, and none meets an old one. New
     keys span `copies` times the span of the old ones; where that does not fit the key's type, as with
     hashed ids, the job fails and says so (number the rows with `dense_index` first).
@@ -40,10 +40,11 @@ def copied_key(source: DataFrame, key: str, copies: int, copy: Column, above: Da
     wide = "decimal(38,0)"
     top = (source if above is None else above).agg(F.max(key)).scalar().cast(wide)
     low = source.agg(F.min(key)).scalar().cast(wide)
-    new = (F.coalesce(top, low - 1) + 1 + (F.col(key).cast(wide) - low) * F.lit(copies).cast("decimal(10,0)") + copy.cast("decimal(10,0)")).cast(wide)
+    new = (F.coalesce(top, low - 1) + 1 + (F.col(key).cast(wide) - low) * F.lit(copies).cast("decimal(10,0)")).cast(wide)
     if isinstance(kind, T.DecimalType):
         return new.cast(kind)
-    fits = new.try_cast(kind)
+    last = (new + F.lit(copies - 1).cast("decimal(10,0)")).cast(wide)
+    fits = F.when(last.try_cast(kind).isNotNull(), new.try_cast(kind))
     too_wide = F.raise_error(F.lit(f"new keys of {key} do not fit its type; give the rows dense keys first")).cast(kind)
     return F.when(new.isNull() | fits.isNotNull(), fits).otherwise(too_wide)
 
@@ -53,7 +54,7 @@ def append_with_keys(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
     Rows that exist keep their keys, so everything that refers to them stays right.
     """
-    new = rows.withColumn(key, copied_key(rows, key, 1, F.lit(0), above=target))
+    new = rows.withColumn(key, first_copied_key(rows, key, 1, above=target))
     return target.unionByName(new.select(*target.columns))
 
 

@@ -2,9 +2,10 @@
 
 import pytest
 
-from reelflow.operators import keys
+import __spark_entry__ as entry
+from reelflow.operators import inflate, keys
 from reelflow.plans import refresh
-from tests.conftest import make
+from tests.conftest import SF, make, ts
 from verification import queries
 
 
@@ -33,3 +34,20 @@ def test_a_fresh_join_repeats_no_row_and_exchanges_both_sides(spark):
 def test_categories_of_copies_never_reach_the_driver(spark, tables):
     text = final_plan(refresh.refresh_sales_rollup(tables, queries.FIRST_DAY, queries.LAST_DAY))
     assert "_place" in text and not any("_place" in line for line in text.splitlines() if "Broadcast" in line)
+
+
+def initial_plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_rentals_that_share_a_day_of_the_year_are_compared(spark):
+    day = {"inventory_id": 1, "customer_id": 1, "rental_date": ts("2001-05-05 00:00:00")}
+    shared = [{"rental_id": 1, **day}, {"rental_id": 2, **day, "rental_date": ts("2003-05-05 00:00:00")}]
+    alone = [{"rental_id": k, **day, "customer_id": k, "return_date": ts("2001-05-09 00:00:00")} for k in range(3, 9)]
+    grown = inflate.inflate_rental(make(spark, "rental", *shared, *alone))
+    text = initial_plan(grown)
+    assert "Union" in text and "lambda" not in text and "REPARTITION_BY_NUM" in text
+    assert text.count("row_number() windowspecdefinition") == 1 and text.count("count(1) windowspecdefinition") == 2
+    rows = grown.collect()
+    assert len(rows) == 16 + 2 + 6 * 16 and len({(r.rental_date, r.customer_id) for r in rows}) == len(rows)
+    assert len({r.rental_id for r in rows}) == len(rows) and {r.rental_id for r in rows} >= set(range(1, 9))
