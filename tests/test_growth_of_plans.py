@@ -51,3 +51,8 @@ def test_only_rentals_that_share_a_day_of_the_year_are_compared(spark):
     rows = grown.collect()
     assert len(rows) == 16 + 2 + 6 * 16 and len({(r.rental_date, r.customer_id) for r in rows}) == len(rows)
     assert len({r.rental_id for r in rows}) == len(rows) and {r.rental_id for r in rows} >= set(range(1, 9))
+
+
+def test_copies_of_payments_are_summed_where_they_are_made(spark):
+    text = initial_plan(entry.queries()["inflate_payment"](spark, SF))
+    assert "lambda" not in text and "Exchange" not in text[: text.index("Generate")] and "REPARTITION_BY_NUM" in text
