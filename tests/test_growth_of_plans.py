@@ -56,3 +56,8 @@ def test_only_rentals_that_share_a_day_of_the_year_are_compared(spark):
 def test_copies_of_payments_are_summed_where_they_are_made(spark):
     text = initial_plan(entry.queries()["inflate_payment"](spark, SF))
     assert "lambda" not in text and "Exchange" not in text[: text.index("Generate")] and "REPARTITION_BY_NUM" in text
+
+
+def test_inflated_keys_are_grouped_before_the_exchange(spark):
+    text = initial_plan(entry.queries()["inflated_keys"](spark, SF))
+    assert text.count("hashpartitioning(block") == 2
