@@ -61,3 +61,8 @@ def test_copies_of_payments_are_summed_where_they_are_made(spark):
 def test_inflated_keys_are_grouped_before_the_exchange(spark):
     text = initial_plan(entry.queries()["inflated_keys"](spark, SF))
     assert text.count("hashpartitioning(block") == 2
+
+
+def test_a_change_log_is_parsed_once(spark):
+    text = initial_plan(entry.queries()["audit_changes"](spark, SF))
+    assert text.count("from_json(") == 2 and "get_json_object" not in text

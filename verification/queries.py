@@ -225,21 +225,26 @@ def audit_changes_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFr
         workload.bulk_price_update(t, 1, 100, AS_OF), F.col("payment_date") < S.ntz("1995-06-01")
     )
     log = changes.audit_changes(before, after, "payment_id", AS_OF, "batch")
-    in_json = ("payment_id", "customer_id", "amount", "payment_date", "last_update")
-    return log.select(
+    ids, times = ("payment_id", "customer_id"), ("payment_date", "last_update")
+    # each text is parsed once for all its fields
+    texts = ", ".join(f"{c} string" for c in (*ids, "amount", *times))
+    read = log.select("audit_id", "payment_id", "action", "changed_at", "actor_user", *[F.from_json(f"{when}_json", texts).alias(when) for when in ("before", "after")])
+    return read.select(
         "audit_id",
         "payment_id",
         "action",
         "changed_at",
         "actor_user",
         *[
-            F.regexp_replace(F.get_json_object(f"{when}_json", f"$.{c}"), r"T|\.000Z?$|Z$", " ").alias(f"{when}_{c}")
+            value.alias(f"{when}_{c}")
             for when in ("before", "after")
-            for c in in_json
-            if c != "amount"
+            for c, value in [
+                *[(c, F.col(f"{when}.{c}")) for c in ids],
+                *[(c, F.regexp_replace(F.col(f"{when}.{c}"), r"T|\.000Z?$|Z$", " ")) for c in times],
+            ]
         ],
-        F.get_json_object("before_json", "$.amount").cast("double").alias("old_amount"),
-        F.get_json_object("after_json", "$.amount").cast("double").alias("new_amount"),
+        F.col("before.amount").cast("double").alias("old_amount"),
+        F.col("after.amount").cast("double").alias("new_amount"),
     )
 
 
