@@ -29,9 +29,9 @@ def refresh_sales_rollup(
     Payments of films without a category go to category 0. The copy side (copy, store, category)
     is prepared on its own, so the facts pass through two joins and one aggregate.
     """
-    categories = t.film_category.select("film_id", "category_id").join(t.film.select("film_id"), "film_id", "left_semi")
+    # films and their categories grow, and their size is estimated from compressed files: never built on the driver
+    categories = t.film_category.select("film_id", "category_id").join(t.film.select("film_id").hint("merge"), "film_id", "left_semi")
     stocked = t.inventory.select("inventory_id", "film_id", "store_id").join(t.store.select("store_id"), "store_id", "left_semi")
-    # categories grow with the films, and their size is estimated from compressed files: never built on the driver
     copies = fresh_join(stocked, categories.hint("merge"), "film_id", "left").select(
         "inventory_id", "store_id", F.coalesce("category_id", F.lit(0)).cast("long").alias("category_id")
     )

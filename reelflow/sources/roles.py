@@ -58,6 +58,10 @@ def role_tables(spark: SparkSession, sf_dir: str) -> RentalTables:
     def src(name: str) -> DataFrame:
         return driver_table(spark, sf_dir, name)
 
+    def orders() -> DataFrame:
+        # orders grow with the lines, and their size is estimated from compressed files: never built on the driver
+        return src("orders").hint("merge")
+
     def country() -> DataFrame:
         return src("region").select(F.col("r_regionkey").cast("long").alias("country_id"), F.col("r_name").alias("country"))
 
@@ -176,7 +180,7 @@ def role_tables(spark: SparkSession, sf_dir: str) -> RentalTables:
         out_days = F.expr(
             "case l_linenumber % 3 when 0 then interval '1' day when 1 then interval '5' day else interval '9' day end"
         )
-        return lines.join(src("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        return lines.join(orders(), F.col("l_orderkey") == F.col("o_orderkey")).select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rental_id"),
             F.col("o_orderdate").alias("rental_date"),
             "inventory_id",
@@ -192,7 +196,7 @@ def role_tables(spark: SparkSession, sf_dir: str) -> RentalTables:
             "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax"
         )
         numbered = src("lineitem").withColumn("rn", F.row_number().over(w).cast("long"))
-        return numbered.join(src("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        return numbered.join(orders(), F.col("l_orderkey") == F.col("o_orderkey")).select(
             (((F.col("rn") - 1) * NUMBERING_SLICES + piece).cast("decimal(20,0)") * F.expr(RENTAL_STRIDE) + order_line)
             .cast("decimal(38,0)")
             .alias("payment_id"),

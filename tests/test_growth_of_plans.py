@@ -36,6 +36,21 @@ def test_categories_of_copies_never_reach_the_driver(spark, tables):
     assert "_place" in text and not any("_place" in line for line in text.splitlines() if "Broadcast" in line)
 
 
+def test_films_of_the_daily_sales_never_reach_the_driver(spark, tables):
+    rollup = refresh.refresh_sales_rollup(tables, queries.FIRST_DAY, queries.LAST_DAY)
+    for text in (initial_plan(rollup), final_plan(rollup)):
+        joins = [line for line in text.splitlines() if "LeftSemi" in line and "[p_partkey" in line]
+        assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+@pytest.mark.parametrize("name", ["rental", "payment"])
+def test_orders_never_reach_the_driver(spark, tables, name):
+    rows = tables[name].drop("payment_id")
+    for text in (initial_plan(rows), final_plan(rows)):
+        joins = [line for line in text.splitlines() if "Join [" in line and "[o_orderkey" in line]
+        assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def initial_plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
