@@ -65,6 +65,17 @@ def test_distinct_counts_over_any_months(spark, sales, by, span):
     assert key(got) == key(want)
 
 
+def test_sets_are_no_larger_than_their_ids(spark):
+    """A bucket of one id takes a few bytes, 2,000 close ones take a bitmap."""
+    close = [{"rental_id": k, "customer_id": k * 40_000, "inventory_id": 1, "rental_date": ts("2001-01-01 00:00:00")} for k in range(1, 2001)]
+    payments = [{"payment_id": k, "rental_id": k, "payment_date": ts("2001-01-05 00:00:00")} for k in range(1, 2001)]
+    t = small(spark, rental=close, payment=payments, inventory=[{"inventory_id": 1, "film_id": 1, "store_id": 1}], film_category=[{"film_id": 1, "category_id": 1}])
+    rollup = distinct.distinct_rollup(t, "2001-01-01", "2001-12-31")
+    size = {r.kind: r.n for r in rollup.groupBy("kind").agg(F.sum(F.coalesce(F.size("few") * 2, F.length("ids"))).alias("n")).collect()}
+    assert size == {"rental": 4096, "customer": 4000}
+    assert list(map(tuple, distinct.distinct_counts(rollup, "2001-01-01", "2001-12-01", []).collect())) == [(2000, 2000)]
+
+
 def test_status_from_a_stream_and_its_replay(spark, tmp_path):
     r = random.Random(9)
     rentals = [{"rental_id": k, "inventory_id": r.randrange(6), "rental_date": ts("2001-01-01 00:00:00") + k * timedelta(hours=5), "return_date": r.choice([None, ts("2001-03-01 00:00:00")])} for k in range(50)]
