@@ -15,20 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelflow.sources import schemas
-from reelflow.sources.sinks import shared_dir
+from reelflow.sources.sinks import stored
 from reelflow.sources.tables import RentalTables
 
 #: Foreign keys (child, column) that become NULL when their parent goes; all others take the child row along.
 SET_NULL = (("payment", "rental_id"), ("film", "original_language_id"))
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _edges(t: RentalTables) -> list[tuple[str, str, str, str]]:
     known = set(t.names())
     return [e for e in schemas.FOREIGN_KEYS if e[0] in known and e[2] in known and e[1] in t[e[0]].columns and e[3] in t[e[2]].columns]
@@ -44,7 +37,7 @@ def removed_keys(t: RentalTables, table: str, predicate: Column, set_null: Seque
     parents = {parent: column for _, _, parent, column in edges}
     if table not in parents:
         return {}
-    fresh = {table: _stored(t[table].where(predicate).select(F.col(parents[table]).alias("key")).where("key is not null").distinct())}
+    fresh = {table: stored(t[table].where(predicate).select(F.col(parents[table]).alias("key")).where("key is not null").distinct())}
     gone: dict[str, DataFrame] = {}
     while fresh:
         for name, keys in fresh.items():
@@ -57,7 +50,7 @@ def removed_keys(t: RentalTables, table: str, predicate: Column, set_null: Seque
         fresh = {}
         for name, parts in reached.items():
             new = reduce(DataFrame.unionByName, parts).distinct()
-            new = _stored(new.join(gone[name], "key", "left_anti") if name in gone else new)
+            new = stored(new.join(gone[name], "key", "left_anti") if name in gone else new)
             if new.limit(1).count():
                 fresh[name] = new
     return gone

@@ -164,8 +164,14 @@ def audit_changes(
     """
     keys = [key] if isinstance(key, str) else list(key)
     columns = before.columns
-    old = before.select(*keys, F.struct(*columns).alias("_old"))
-    new = after.select(*keys, F.struct(*columns).alias("_new"))
+    body = [c for c in columns if c not in keys]
+    # the key is exchanged once, not in the row as well; a row without other columns has a mark
+    old = before.select(*keys, F.struct(*body, F.lit(True).alias("_there")).alias("_old"))
+    new = after.select(*keys, F.struct(*body, F.lit(True).alias("_there")).alias("_new"))
+
+    def row(side: str) -> Column:
+        return F.when(F.col(side).isNotNull(), F.struct(*[F.col(c) if c in keys else F.col(f"{side}.{c}").alias(c) for c in columns]))
+
     action = (
         F.when(F.col("_old").isNull(), F.lit("INSERT"))
         .when(F.col("_new").isNull(), F.lit("DELETE"))
@@ -189,8 +195,8 @@ def audit_changes(
             "action",
             changed_at.alias("changed_at"),
             F.lit(actor_user).cast("string").alias("actor_user"),
-            F.to_json("_old", exact).alias("before_json"),
-            F.to_json("_new", exact).alias("after_json"),
+            F.to_json(row("_old"), exact).alias("before_json"),
+            F.to_json(row("_new"), exact).alias("after_json"),
         )
     )
 

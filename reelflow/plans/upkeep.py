@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from reelflow.functions.scalars import ntz
 from reelflow.operators.changes import net_changes
 from reelflow.plans.refresh import refresh_inventory_status, refresh_sales_rollup
+from reelflow.sources import sinks
 from reelflow.sources.tables import RentalTables
 
 
@@ -39,9 +40,11 @@ def _signed(net: DataFrame) -> DataFrame:
 def merged(stored: DataFrame, changed: DataFrame, keys: Sequence[str] | str) -> DataFrame:
     """The stored table with the changed keys' rows; a changed row without `n_left` (see below) is left out.
 
-    `changed` has the columns of `stored` and may have `n_left`: 0 there means that the key has gone.
+    `changed` has the columns of `stored` and may have `n_left`: 0 there means that the key has gone. It is written once, as it
+    is used for the keys and for the rows.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    changed = sinks.stored(changed)
     alive = changed.where("n_left > 0") if "n_left" in changed.columns else changed
     return stored.join(changed.select(*keys), keys, "left_anti").unionByName(alive.select(*stored.columns))
 
@@ -64,7 +67,7 @@ def changed_kpis(stored: DataFrame, t: RentalTables, rental_log: DataFrame, paym
         F.sum(sign).alias("d_rentals"), F.sum(F.when(F.col("return_date").isNull(), sign).otherwise(F.lit(0))).alias("d_active"), *dates("rental_date", "last_rental"))
     by_payment = payments.groupBy("customer_id").agg(F.sum(F.col("amount") * sign).alias("d_spent"), *dates("payment_date", "last_payment"))
     delta = by_rental.join(by_payment, "customer_id", "full")
-    known = delta.join(stored, "customer_id", "left")
+    known = sinks.stored(delta.join(stored, "customer_id", "left"))  # used for each last date and for the result
 
     def latest(source: DataFrame, c: str, name: str) -> DataFrame:
         """Last dates of the customers who lost theirs."""
@@ -86,7 +89,7 @@ def changed_kpis(stored: DataFrame, t: RentalTables, rental_log: DataFrame, paym
 
 def changed_status(t: RentalTables, rental_log: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
     """New status of the copies whose rentals changed, computed from these copies' rentals alone."""
-    touched = _signed(net_changes(rental_log, "rental_id", t.rental)).select("inventory_id").distinct()
+    touched = sinks.stored(_signed(net_changes(rental_log, "rental_id", t.rental)).select("inventory_id").distinct())
     own = t.replacing(
         inventory=t.inventory.join(touched, "inventory_id", "left_semi"),
         rental=t.rental.select("rental_id", "inventory_id", "rental_date", "return_date").join(touched, "inventory_id", "left_semi"),

@@ -34,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written once to a shared folder and read from there, so that several uses do not compute it again."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_payments_by_month(
     payment: DataFrame, path: str, first_month: date | str | None = None, last_month: date | str | None = None
 ) -> None:

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from reelflow.operators import inflate, keys
+from reelflow.operators import changes, inflate, keys
 from reelflow.plans import refresh
 from tests.conftest import SF, make, ts
 from verification import queries
@@ -81,3 +81,18 @@ def test_inflated_keys_are_grouped_before_the_exchange(spark):
 def test_a_change_log_is_parsed_once(spark):
     text = initial_plan(entry.queries()["audit_changes"](spark, SF))
     assert text.count("from_json(") == 2 and "get_json_object" not in text
+
+
+def test_facts_and_logs_of_the_upkeep_are_computed_once(spark):
+    for name in ("upkeep_kpis", "upkeep_status", "log_read_back"):
+        text = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "to_json(" not in text and "row_number" not in text
+
+
+def test_a_key_is_exchanged_once_in_a_comparison(spark, tables):
+    pairs = tables.film_actor
+    log = changes.audit_changes(pairs, pairs.where("film_id % 2 = 0"), ["actor_id", "film_id"], queries.AS_OF)
+    below = log._jdf.queryExecution().optimizedPlan().toString().split("FullOuter")[1]
+    assert "_old" in below and "struct(actor_id" not in below
+    one = log.orderBy("audit_id").first()
+    assert one.before_json == one.audit_id and one.after_json is None

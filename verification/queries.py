@@ -489,12 +489,23 @@ def changed_facts(t: RentalTables) -> RentalTables:
     return t.replacing(rental=rental.unionByName(more), payment=payment.unionByName(paid))
 
 
+def _stored_facts(t: RentalTables, *names: str) -> RentalTables:
+    """The facts written once: the versions before and after, their logs and the indicators all read them."""
+    return t.replacing(**{n: sinks.stored(t[n]) for n in names})
+
+
+def _log(t: RentalTables, after: RentalTables, name: str) -> DataFrame:
+    """The change log, a stored table: several parts of the upkeep read it."""
+    return sinks.stored(changes.audit_changes(t[name], after[name], f"{name}_id", AS_OF, microseconds=True))
+
+
 def _logs(t: RentalTables, after: RentalTables) -> tuple[DataFrame, DataFrame]:
-    return tuple(changes.audit_changes(t[n], after[n], f"{n}_id", AS_OF, microseconds=True) for n in ("rental", "payment"))
+    return _log(t, after, "rental"), _log(t, after, "payment")
 
 
 def upkeep_kpis_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
     """Customer indicators kept up by the changes of `changed_facts`; equal to a full refresh."""
+    t = _stored_facts(t, "rental", "payment")
     after = changed_facts(t)
     stored = refresh.refresh_customer_kpis(t)
     changed = upkeep.changed_kpis(stored, after, *_logs(t, after))
@@ -502,12 +513,14 @@ def upkeep_kpis_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFram
 
 
 def upkeep_status_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    t = _stored_facts(t, "rental")
     after = changed_facts(t)
-    changed = upkeep.changed_status(after, _logs(t, after)[0])
+    changed = upkeep.changed_status(after, _log(t, after, "rental"))
     return upkeep.merged(refresh.refresh_inventory_status(t), changed, "inventory_id").drop("last_update")
 
 
 def upkeep_rollup_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
+    t = _stored_facts(t, "rental", "payment")
     after = changed_facts(t)
     stored = refresh.refresh_sales_rollup(t, FIRST_DAY, LAST_DAY)
     changed = upkeep.changed_rollup(stored, after, *_logs(t, after), FIRST_DAY, LAST_DAY)
@@ -516,8 +529,9 @@ def upkeep_rollup_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFr
 
 def log_read_back_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
     """Payments before and after the changes, each rebuilt from the other one and the change log."""
+    t = _stored_facts(t, "payment")
     after = changed_facts(t)
-    log = _logs(t, after)[1]
+    log = _log(t, after, "payment")
     there = changes.replay(t.payment, log, "payment_id").withColumn("version", F.lit("after"))
     back = changes.rewind(after.payment, log, "payment_id").withColumn("version", F.lit("before"))
     return there.unionByName(back).select("version", "payment_id", "customer_id", "staff_id", "rental_id", "amount", "payment_date")
