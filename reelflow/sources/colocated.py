@@ -14,7 +14,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelflow.sources.sinks import shared_dir
+from reelflow.operators.keys import fresh_join
+from reelflow.sources.sinks import shared_dir, stored
 from reelflow.sources.tables import RentalTables
 
 #: Payments of one rental that stay together.
@@ -37,13 +38,14 @@ def store_facts(t: RentalTables, buckets: int, slice_rows: int = SLICE_ROWS) ->
     Payments without a rental are left out; they meet none. Reports that join the two on `rental_id` must use `slice` as
     well, as `financial_performance` does where it is there.
     """
-    paid = t.payment.where(F.col("rental_id").isNotNull())
+    paid = stored(t.payment.where(F.col("rental_id").isNotNull()))  # numbered once; counted and dealt from there
     sizes = paid.groupBy("rental_id").agg(F.count(F.lit(1)).alias("n"), F.min("payment_id").alias("first"))
-    hot = sizes.where(F.col("n") > slice_rows).select("rental_id", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices"))
+    sizes = sizes.select("rental_id", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices"), "first")
+    hot = sizes.where(F.col("slices") > 1).select("rental_id", "slices")
     own = F.coalesce("slices", F.lit(1))
-    firsts = sizes.select(F.col("first").alias("payment_id"), F.lit(True).alias("leads"))
-    payments = paid.join(hot, "rental_id", "left").join(firsts, "payment_id", "left")
-    payments = payments.withColumn("slice", F.pmod(F.xxhash64("payment_id"), own).cast("int")).withColumn("leads", F.coalesce("leads", F.lit(False)))
+    # one join gives both the slices and the leading payment: payments are not exchanged by their wide id
+    payments = fresh_join(paid, sizes, "rental_id").withColumn("slice", F.pmod(F.xxhash64("payment_id"), own).cast("int"))
+    payments = payments.withColumn("leads", F.col("payment_id") == F.col("first"))
     rentals = t.rental.join(hot, "rental_id", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), own - 1)))
     return t.replacing(
         payment=_bucketed(payments.select(*t.payment.columns, "slice", "leads"), "payment", buckets),

@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from reelflow.operators import changes, inflate, keys
 from reelflow.plans import refresh
+from reelflow.sources import colocated
 from tests.conftest import SF, make, ts
 from verification import queries
 
@@ -96,3 +97,10 @@ def test_a_key_is_exchanged_once_in_a_comparison(spark, tables):
     assert "_old" in below and "struct(actor_id" not in below
     one = log.orderBy("audit_id").first()
     assert one.before_json == one.audit_id and one.after_json is None
+
+
+def test_stored_payments_are_not_exchanged_by_their_id(spark, tables, monkeypatch):
+    plans = []
+    monkeypatch.setattr(colocated, "_bucketed", lambda df, name, buckets: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    colocated.store_facts(tables, 4)
+    assert "row_number" not in plans[0] and plans[0].count("Join") == 1 and "payment_id = payment_id" not in plans[0]
