@@ -160,6 +160,11 @@ def _few(table: DataFrame) -> bool:
     return table.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
 
 
+def _kept(table: DataFrame, few: bool) -> DataFrame:
+    """A table of groups, stored; one file if they are few, as each executor reads all of it and each step writes one."""
+    return stored(table.repartition(1) if few else table)
+
+
 def _joined(rows: DataFrame, table: DataFrame, keys: list[str], few: bool, how: str = "inner") -> DataFrame:
     """Rows joined to a table of groups, which is broadcast if they are few; hot groups of many are left to adaptive execution."""
     return rows.join(F.broadcast(table) if few else table, keys, how)
@@ -248,21 +253,22 @@ def estimates(rows: DataFrame) -> DataFrame:
     """(place, m, l): centre and Cholesky factor of each place's vectors u0.. by the reweighted MCD."""
     begun = stored(_starts(rows))
     few = _few(begun)
-    now = stored(_concentrated(rows, begun, few))  # the starts are of no half, so the first step always counts
+    now = _kept(_concentrated(rows, begun, few), few)  # the starts are of no half, so the first step always counts
     finished: list[DataFrame] = []
     while True:
         old = now.select("place", "start", F.col("determinant").alias("was"))
         step = _concentrated(rows, now, few).join(old, ["place", "start"])
-        better = stored(step.where(F.col("determinant") < F.col("was") - 1e-9).drop("was"))
+        better = _kept(step.where(F.col("determinant") < F.col("was") - 1e-9).drop("was"), few)
         finished.append(now.join(better.select("place", "start"), ["place", "start"], "left_anti"))
         if better.limit(1).count() == 0:
             break
         now = better
     ended = reduce(DataFrame.unionByName, finished)
     names = [c for c in ended.columns if c not in ("place", "start")]
-    chosen = stored(ended.groupBy("place").agg(F.min_by(F.struct(*names), F.struct("determinant", "start")).alias("e")).select("place", "e.*").drop("determinant"))
+    best = ended.groupBy("place").agg(F.min_by(F.struct(*names), F.struct("determinant", "start")).alias("e"))
+    chosen = _kept(best.select("place", "e.*").drop("determinant"), few)
     inside = _solved(_joined(rows, chosen, ["place"], few)).where(F.col("d2") <= quantile(REWEIGHTED, _P))
-    return _estimate(inside.groupBy("place").agg(*_sums()), ["place"], consistency(REWEIGHTED)).drop("determinant")
+    return _kept(_estimate(inside.groupBy("place").agg(*_sums()), ["place"], consistency(REWEIGHTED)).drop("determinant"), few)
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -278,7 +284,7 @@ def judged(docs: DataFrame) -> DataFrame:
     rows = stored(rows.select("*", *statistics()))
     rows = stored(_grouped(rows))
     judgeable = rows.where("not base_failed and place is not null").select("place", *_U)
-    found = stored(estimates(judgeable))
+    found = estimates(judgeable)
     out = _solved(_joined(rows, found, ["place"], _few(found), "left"))
     distance = F.when(~F.col("base_failed"), F.col("d2"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= quantile(REJECTED, _P), F.lit(True))

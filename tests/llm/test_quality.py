@@ -118,3 +118,27 @@ def test_hot_copies_and_odd_rows(spark, docs, prose):
     assert all(r.kept for r in got if r.n_words) and not any(r.kept for r in got if not r.n_words)
     assert Q.judged(docs()).collect() == []
     assert json.loads(Q.judged(docs("a b")).toJSON().first())["kept"] is False
+
+
+def test_steps_of_few_groups_write_one_file_each(spark, prose, monkeypatch):
+    """A step's table has a row for each group; it was one file for each shuffle partition that held a group."""
+    files, plain = [], Q.stored
+
+    def stored(df):
+        out = plain(df)
+        if "l" in out.columns:
+            files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(Q, "stored", stored)
+    rows = [(k, prose(k, 60), f"l{k % 6}", "s") for k in range(360)]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for c, v in zip(before, ("31", "false"), strict=True):
+            spark.conf.set(c, v)
+        got = Q.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert len(got) == 360 and all(r.distance is not None for r in got)
+    assert len(files) > 4 and max(files[1:]) == 1  # the first are the starts, by which groups are counted
