@@ -171,3 +171,27 @@ def test_deleting_nothing_and_unknown(spark, ring):
     assert left.store.count() == 4 and left.payment.count() == 3
     left = cascade.delete_cascading(ring, "language", F.col("language_id") == 2)
     assert {r.film_id: r.original_language_id for r in left.film.collect()} == {1: None}
+
+
+def test_a_table_outside_the_cycle_is_followed_once(spark, ring, monkeypatch):
+    """Rentals refer to staff, copies and customers, which are found in different rounds; they were read for each."""
+    seen, plain = [], cascade.stored
+
+    def stored(df):
+        seen.append({a for a in ("staff_id", "inventory_id", "customer_id", "rental_id") if f"{a}#" in df._jdf.queryExecution().analyzed().toString()})
+        return plain(df)
+
+    monkeypatch.setattr(cascade, "stored", stored)
+    gone = cascade.removed_keys(ring, "staff", F.col("staff_id") == 11)
+    assert sorted(r.key for r in gone["rental"].collect()) == [1]
+    assert sum("rental_id" in names for names in seen) == 2  # its columns that refer, and its keys
+
+
+def test_rows_without_a_key_go_with_what_they_refer_to(spark, ring):
+    nameless = [{"rental_id": 9, "inventory_id": 4, "customer_id": 4, "staff_id": p} for p in (11, 14)]
+    more = make(spark, "rental", *nameless).withColumn("rental_id", F.lit(None).cast("long"))
+    rental = ring.rental.unionByName(more.select(*ring.rental.columns))
+    left = cascade.delete_cascading(ring.replacing(rental=rental), "staff", F.col("staff_id") == 11)
+    assert sorted((r.rental_id or 0, r.staff_id) for r in left.rental.collect()) == [(0, 14), (2, 14)]
+    left = cascade.delete_cascading(ring.replacing(rental=rental), "rental", F.col("staff_id") == 11)
+    assert sorted((r.rental_id or 0, r.staff_id) for r in left.rental.collect()) == [(0, 14), (2, 14)]
