@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from reelflow.operators import cascade, changes, checks
 from reelflow.plans import finance, refresh, upkeep
+from reelflow.sources.roles import role_tables
 from tests.conftest import make, small, ts
+from verification import queries
 
 DAY = timedelta(days=1)
 
@@ -195,3 +197,16 @@ def test_rows_without_a_key_go_with_what_they_refer_to(spark, ring):
     assert sorted((r.rental_id or 0, r.staff_id) for r in left.rental.collect()) == [(0, 14), (2, 14)]
     left = cascade.delete_cascading(ring.replacing(rental=rental), "rental", F.col("staff_id") == 11)
     assert sorted((r.rental_id or 0, r.staff_id) for r in left.rental.collect()) == [(0, 14), (2, 14)]
+
+
+def test_batches_of_a_stream_do_not_grow_with_the_table(spark, monkeypatch, tmp_path):
+    """A batch held half of all events before, whatever their number."""
+    folder = tmp_path / "stream"
+    monkeypatch.setattr(queries, "EVENTS_PER_FILE", 300)
+    monkeypatch.setattr(queries.sinks, "shared_dir", lambda spark: str(folder))
+    t = role_tables(spark, "/root/testdata/sf0.001")
+    got = queries.streamed_status_query(spark, "/root/testdata/sf0.001", t)
+    events = spark.read.parquet(f"{folder}/events").groupBy(F.input_file_name()).count().agg(F.max("count"), F.sum("count")).first()
+    assert events[0] <= 300 and events[1] > 300 * queries.FILES_PER_BATCH
+    assert len(list((folder / "status").glob("batch=*"))) >= events[1] / (300 * queries.FILES_PER_BATCH)
+    assert got.agg(F.sum("total_rentals")).first()[0] == t.rental.count()

@@ -615,11 +615,16 @@ def sync_film_text_collated(spark: SparkSession, sf: str, t: RentalTables) -> Da
     return changes.sync_film_text(t.film.select("film_id", "title", "description"), changed, collation=collation.IGNORE_CASE_AND_BLANKS)
 
 
+#: Events of one file and files of one batch: what a batch and each of its tasks hold does not grow with the table.
+EVENTS_PER_FILE, FILES_PER_BATCH = 2_000_000, 8
+
+
 def streamed_status_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
     """Stock after all rentals and returns arrived as a stream of files, several batches."""
     base = sinks.shared_dir(spark)
-    status.rental_events(t.rental).repartition(4).write.parquet(f"{base}/events")
-    stream = spark.readStream.schema(status.EVENTS).option("maxFilesPerTrigger", 2).parquet(f"{base}/events")
+    events = status.rental_events(t.rental).repartition(2 * FILES_PER_BATCH, "rental_id")
+    events.write.option("maxRecordsPerFile", EVENTS_PER_FILE).parquet(f"{base}/events")
+    stream = spark.readStream.schema(status.EVENTS).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{base}/events")
     status.keep_status(stream, f"{base}/status", f"{base}/checkpoint").awaitTermination()
     return status.read_status(spark, f"{base}/status", t)
 
