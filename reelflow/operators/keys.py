@@ -15,13 +15,14 @@ def dense_index(df: DataFrame, key: str, name: str = "idx", slices: int = 8191)
     them even for keys built with a stride. Raise `slices` with the table so that one slice fits a task.
     """
     slice_no = F.pmod(F.col(key), F.lit(slices))
-    sliced = df.withColumn("_slice", slice_no)
+    sliced = df.where(F.col(key).isNotNull()).withColumn("_slice", slice_no)
     sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     local = sliced.withColumn("_rn", F.row_number().over(Window.partitionBy("_slice").orderBy(key)))
+    # a left join, as an inner one would push a filter into one side only, and `df` be computed for each side
     return (
-        local.join(offsets, "_slice")
+        local.join(offsets, "_slice", "left")
         .withColumn(name, F.col("_offset") + F.col("_rn") - 1)
         .drop("_slice", "_offset", "_rn")
     )

@@ -104,3 +104,20 @@ def test_stored_payments_are_not_exchanged_by_their_id(spark, tables, monkeypatc
     monkeypatch.setattr(colocated, "_bucketed", lambda df, name, buckets: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
     colocated.store_facts(tables, 4)
     assert "row_number" not in plans[0] and plans[0].count("Join") == 1 and "payment_id = payment_id" not in plans[0]
+
+
+def test_seeded_rows_are_picked_once_and_copies_numbered_once(spark):
+    text = entry.queries()["seed_synthetic_data"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" not in text and "row_number" not in text
+
+
+def test_rows_to_number_are_computed_once(spark, tables):
+    rows = keys.dense_index(tables.inventory.select("inventory_id"), "inventory_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "ReusedExchange" in final_plan(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    numbers = sorted(r.idx for r in rows.collect())
+    assert numbers == list(range(tables.inventory.count()))
+    assert keys.dense_index(spark.sql("select * from values (5L), (null) as v(k)"), "k").count() == 1

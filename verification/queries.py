@@ -359,19 +359,19 @@ def inflated_keys_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFr
     return keys_of(payment, t.payment, "payment_id").union(keys_of(rental, t.rental, "rental_id")).union(met)
 
 
-def _seeded(spark: SparkSession, t: RentalTables) -> dict[str, DataFrame]:
-    """As many rentals over 30 days as there are inventory copies, a tenth as many customers."""
-    per_day = t.inventory.count() // 30 + 1
-    return seed.seed_synthetic_data(t, spark, per_day // 10 + 1, 30, per_day, "s1", AS_OF)
+def _per_day(t: RentalTables) -> int:
+    """As many rentals over 30 days as there are inventory copies; a tenth as many customers as rentals a day."""
+    return t.inventory.count() // 30 + 1
 
 
 def seed_customer_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
-    new = _seeded(spark, t)
+    new = seed.seed_customers(t, spark, _per_day(t) // 10 + 1, "s1", AS_OF)
     return new["customer"].join(new["address"].select("address_id", "address", "phone"), "address_id")
 
 
 def seed_synthetic_data_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
-    new = _seeded(spark, t)
+    per_day = _per_day(t)
+    new = seed.seed_synthetic_data(t, spark, per_day // 10 + 1, 30, per_day, "s1", AS_OF)
     return new["rental"].join(new["payment"].select("rental_id", "payment_id", "amount", "payment_date"), "rental_id")
 
 
