@@ -88,10 +88,15 @@ def balances_at(t: RentalTables, probes: DataFrame, charge_replacement: bool = F
     order = Window.partitionBy("customer_id", "slot").orderBy("at", "probe")
     within = order.rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("customer_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    running = stream.select("customer_id", "slot", "at", "probe", *[F.sum(c).over(within).alias(c) for c in kinds], F.lead(F.lit(True)).over(order).isNull().alias("ends"))
+    # sums are cut to the width of money before they are exchanged, as wider decimals take three times the bytes
+    running = stream.select(
+        "customer_id", "slot", "at", "probe", *[money(F.sum(c).over(within)).alias(c) for c in kinds],
+        F.max("probe").over(within).alias("asked"), F.lead(F.lit(True)).over(order).isNull().alias("ends"))
     # the running sums at a slot's end are its totals, taken from the same exchange as the probes' sums
     totals = running.where("ends")
-    carried = totals.select("customer_id", "slot", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"carried_{c}") for c in kinds])
+    carried = totals.select("customer_id", "slot", "asked", *[money(F.coalesce(F.sum(c).over(before), F.lit(0))).alias(f"carried_{c}") for c in kinds])
+    # all slots count for those after them, but only the ones with a probe meet one
+    carried = carried.where("asked").drop("asked")
     sums = {c: money(F.col(c) + F.col(f"carried_{c}")) for c in kinds}
     # a left join, as an inner one would push a filter into one side only and so part the exchanges
     return running.where("probe").join(carried, ["customer_id", "slot"], "left").select(

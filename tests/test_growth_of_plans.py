@@ -1,12 +1,15 @@
 """What must not grow with the tables: what the driver holds, rows that are compared, rows that are exchanged."""
 
+from decimal import Decimal
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from reelflow.operators import changes, inflate, keys
-from reelflow.plans import refresh
+from reelflow.plans import finance, refresh
 from reelflow.sources import colocated
-from tests.conftest import SF, make, ts
+from tests.conftest import SF, make, small, ts
 from verification import queries
 
 
@@ -121,3 +124,13 @@ def test_rows_to_number_are_computed_once(spark, tables):
     numbers = sorted(r.idx for r in rows.collect())
     assert numbers == list(range(tables.inventory.count()))
     assert keys.dense_index(spark.sql("select * from values (5L), (null) as v(k)"), "k").count() == 1
+
+
+def test_only_slots_with_a_probe_carry_sums_and_sums_are_exchanged_as_money(spark):
+    text = initial_plan(entry.queries()["balances_at"](spark, SF))
+    assert any("Filter" in line and "asked" in line for line in text.splitlines())
+    day = lambda k: ts(f"2001-01-0{k} 00:00:00")
+    paid = [{"payment_id": k, "customer_id": 1, "amount": Decimal(k), "payment_date": day(k)} for k in (1, 2, 4, 5)]
+    t = small(spark, payment=paid)
+    got = finance.balances_at(t, spark.createDataFrame([(1, day(3)), (1, day(5)), (2, day(5))], "customer_id long, as_of timestamp_ntz"))
+    assert {(r.customer_id, r.as_of): int(r.payments) for r in got.collect()} == {(1, day(3)): 3, (1, day(5)): 12, (2, day(5)): 0}
