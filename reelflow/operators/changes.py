@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,18 +58,18 @@ def update_join(
 def stamp_last_update(before: DataFrame, after: DataFrame, key: Sequence[str] | str, as_of: datetime | str) -> DataFrame:
     """`after` with `last_update = as_of` on every row that differs from its row in `before`.
 
-    NULL-safe row compare; rows without an earlier version keep their own stamp.
+    NULL-safe row compare; rows without an earlier version, or with NULL in their key, keep their own stamp.
     """
     keys = [key] if isinstance(key, str) else list(key)
     body = [c for c in after.columns if c not in keys and c != "last_update"]
-    old = before.select(*keys, F.struct(*body).alias("_old"))
-    changed = F.col("_old").isNotNull() & ~F.struct(*body).eqNullSafe(F.col("_old"))
+    old, new = lambda c: F.col(f"_old.{c}"), lambda c: F.col(f"_new.{c}")
+    # a plain `=` would filter NULL keys out of one side only, and a table that both sides share be computed twice
+    same = reduce(Column.__and__, [new(k).eqNullSafe(old(k)) & new(k).isNotNull() for k in keys])
+    changed = old(keys[0]).isNotNull() & ~F.struct(*map(new, body)).eqNullSafe(F.struct(*map(old, body)))
     stamp = F.lit(as_of if isinstance(as_of, str) else as_of.isoformat(sep=" ")).cast("timestamp")
-    return (
-        after.join(old, keys, "left")
-        .withColumn("last_update", F.when(changed, stamp).otherwise(F.col("last_update")))
-        .select(*after.columns)
-    )
+    joined = after.alias("_new").join(before.select(*keys, *body).alias("_old"), same, "left")
+    stamped = F.when(changed, stamp).otherwise(new("last_update")).alias("last_update")
+    return joined.select(*[stamped if c == "last_update" else new(c) for c in after.columns])
 
 
 def stamp_tables(before: RentalTables, after: RentalTables, as_of: datetime | str) -> RentalTables:

@@ -134,3 +134,20 @@ def test_only_slots_with_a_probe_carry_sums_and_sums_are_exchanged_as_money(spar
     t = small(spark, payment=paid)
     got = finance.balances_at(t, spark.createDataFrame([(1, day(3)), (1, day(5)), (2, day(5))], "customer_id long, as_of timestamp_ntz"))
     assert {(r.customer_id, r.as_of): int(r.payments) for r in got.collect()} == {(1, day(3)): 3, (1, day(5)): 12, (2, day(5)): 0}
+
+
+def test_a_table_on_both_sides_of_a_stamp_is_computed_once(spark, tables):
+    rental = tables.rental.withColumn("last_update", F.lit("1995-01-01 00:00:00").cast("timestamp"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = changes.stamp_last_update(rental, rental, "rental_id", queries.AS_OF).groupBy("last_update").count()
+        assert "ReusedExchange" in final_plan(got).split("LeftOuter")[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [r["count"] for r in got.collect()] == [tables.rental.count()]
+
+
+def test_rows_without_a_key_keep_their_stamp_and_are_not_repeated(spark):
+    rows = lambda name: spark.sql(f"select k, '{name}' name, timestamp'1995-01-01' last_update from values (1L), (null), (null) v(k)")
+    got = changes.stamp_last_update(rows("a"), rows("b"), "k", "2001-01-01 00:00:00").collect()
+    assert sorted((r.k or 0, r.last_update.year) for r in got) == [(0, 1995), (0, 1995), (1, 2001)]
