@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from reelflow.operators import changes, inflate, keys
+from reelflow.operators import changes, inflate, keys, search, text_index
 from reelflow.plans import finance, refresh
 from reelflow.sources import colocated
 from tests.conftest import SF, make, small, ts
@@ -151,3 +151,23 @@ def test_rows_without_a_key_keep_their_stamp_and_are_not_repeated(spark):
     rows = lambda name: spark.sql(f"select k, '{name}' name, timestamp'1995-01-01' last_update from values (1L), (null), (null) v(k)")
     got = changes.stamp_last_update(rows("a"), rows("b"), "k", "2001-01-01 00:00:00").collect()
     assert sorted((r.k or 0, r.last_update.year) for r in got) == [(0, 1995), (0, 1995), (1, 2001)]
+
+
+def test_terms_are_sorted_without_a_comparator_function(spark, tables):
+    vectors = search.build_term_vectors(tables.film_text)
+    index = text_index.positional_postings(tables.film_text)
+    for df in (vectors, index):
+        assert "sort_array(" in initial_plan(df) and "array_sort(" not in initial_plan(df)
+
+
+def test_words_of_a_document_are_compared_once_to_find_runs(spark):
+    docs = spark.sql("select * from values (1L, 'b a', 'B c a b'), (2L, '', null) as v(film_id, title, description)")
+    got = search.term_positions(docs, ("title", "description"))
+    assert initial_plan(got).count("slice(lambda") == 1 and ".pos" in initial_plan(got)
+    assert {(r.film_id, r.term): r.positions for r in got.collect()} == {(1, "a"): [2, 5], (1, "b"): [1, 3, 6], (1, "c"): [4]}
+
+
+def test_the_second_key_of_a_fresh_join_has_two_values(spark):
+    left = spark.range(6).selectExpr("id % 4 film_id", "id inventory_id")
+    text = keys.fresh_join(left, spark.range(3).selectExpr("id film_id"), "film_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("as tinyint) AS _place") == 2
