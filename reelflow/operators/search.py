@@ -187,16 +187,24 @@ def _term_positions(cols: Sequence[str], min_len: int, stopwords: Sequence[str])
     words = F.transform(tokens(cols, stopwords, min_len), lambda w, i: F.struct(w.alias("term"), (i + 1).alias("pos")))
 
     def runs(s: Column) -> Column:
-        begins = F.filter(F.transform(s, lambda w, i: F.when((i == 0) | (F.get(s, i - 1)["term"] != w["term"]), i)), lambda i: i.isNotNull())
+        terms, places = s["terms"], s["places"]
+        begins = F.filter(
+            F.when(F.size(terms) > 0, F.sequence(F.lit(0), F.size(terms) - 1)).otherwise(F.array().cast("array<int>")),
+            lambda i: (i == 0) | (F.get(terms, i - 1) != F.get(terms, i)))
 
         def one(bounds: Column) -> Column:
             return F.transform(bounds, lambda at, k: F.struct(
-                F.get(s, at)["term"].alias("term"),
-                F.transform(F.slice(s, at + 1, F.coalesce(F.get(bounds, k + 1), F.size(s)) - at), lambda w: w["pos"]).alias("positions")))
+                F.get(terms, at).alias("term"),
+                F.slice(places, at + 1, F.coalesce(F.get(bounds, k + 1), F.size(terms)) - at).alias("positions")))
 
         return F.get(F.transform(F.array(begins), one), F.lit(0))
 
-    return F.get(F.transform(F.array(F.array_sort(words)), runs), F.lit(0))
+    # both parts of the sorted words are bound once as arrays of their own, so that a run is one slice
+    def parts(s: Column) -> Column:
+        return F.struct(s["term"].alias("terms"), s["pos"].alias("places"))
+
+    halves = F.transform(F.array(F.sort_array(words)), parts)
+    return F.get(F.transform(halves, runs), F.lit(0))
 
 
 def term_positions(docs: DataFrame, cols: Sequence[str], min_len: int = 1, stopwords: Sequence[str] = ()) -> DataFrame:

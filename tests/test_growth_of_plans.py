@@ -141,7 +141,7 @@ def test_a_table_on_both_sides_of_a_stamp_is_computed_once(spark, tables):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         got = changes.stamp_last_update(rental, rental, "rental_id", queries.AS_OF).groupBy("last_update").count()
-        assert "ReusedExchange" in final_plan(got).split("LeftOuter")[1]
+        assert final_plan(got).count("FileScan parquet [l_orderkey") == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert [r["count"] for r in got.collect()] == [tables.rental.count()]
@@ -160,10 +160,10 @@ def test_terms_are_sorted_without_a_comparator_function(spark, tables):
         assert "sort_array(" in initial_plan(df) and "array_sort(" not in initial_plan(df)
 
 
-def test_words_of_a_document_are_compared_once_to_find_runs(spark):
+def test_positions_of_a_term_are_one_slice(spark):
     docs = spark.sql("select * from values (1L, 'b a', 'B c a b'), (2L, '', null) as v(film_id, title, description)")
     got = search.term_positions(docs, ("title", "description"))
-    assert initial_plan(got).count("slice(lambda") == 1 and ".pos" in initial_plan(got)
+    assert "slice(" in initial_plan(got) and "transform(slice(" not in initial_plan(got)
     assert {(r.film_id, r.term): r.positions for r in got.collect()} == {(1, "a"): [2, 5], (1, "b"): [1, 3, 6], (1, "c"): [4]}
 
 
