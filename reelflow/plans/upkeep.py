@@ -12,11 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelflow.functions.scalars import ntz
+from reelflow.functions.scalars import ntz, within_days
 from reelflow.operators.changes import net_changes
 from reelflow.plans.refresh import refresh_inventory_status, refresh_sales_rollup
 from reelflow.sources import sinks
@@ -108,14 +109,18 @@ def changed_rollup(
     payments = net_changes(payment_log, "payment_id", t.payment)
     rentals = net_changes(rental_log, "rental_id", t.rental)
     changed = rentals.select("rental_id")
-    moved = t.payment.join(changed, "rental_id", "left_semi").join(payments.select("payment_id"), "payment_id", "left_anti").select(*t.payment.columns)
+    moved = t.payment.join(changed, "rental_id", "left_semi").join(payments.select("payment_id"), "payment_id", "left_anti")
+    columns = ["rental_id", "amount", "payment_date"]
+    parts = [rows.select(F.lit(side).alias("side"), *columns) for side, rows in (("before", _images(payments, "before")), ("after", _images(payments, "after")), ("both", moved))]
+    inside = within_days("payment_date", start, end) & F.col("rental_id").isNotNull()
+    touched = sinks.stored(reduce(DataFrame.unionByName, parts).where(inside))
 
     def share(side: str, rental: DataFrame, sign: int) -> DataFrame:
-        paid = _images(payments, side).unionByName(moved)
+        paid = touched.where(F.col("side").isin(side, "both")).select(*columns)
         rows = refresh_sales_rollup(t.replacing(payment=paid, rental=rental), start, end)
         return rows.select("sales_date", "store_id", "category_id", (F.col("total_sales") * sign).alias("d_sales"), (F.col("tx_count") * sign).alias("d_count"))
 
-    needed = _images(payments, "before").unionByName(_images(payments, "after")).unionByName(moved).select("rental_id").where("rental_id is not null").distinct()
+    needed = touched.select("rental_id").distinct()
     now = t.rental.join(needed, "rental_id", "left_semi").select(*t.rental.columns)
     before = now.join(changed, "rental_id", "left_anti").unionByName(_images(rentals, "before"))
     keys = ["sales_date", "store_id", "category_id"]

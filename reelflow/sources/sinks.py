@@ -19,6 +19,9 @@ from reelflow.functions.scalars import as_date, month_start, within_days
 
 MONTH_FOLDER = "month"
 
+#: Spark's setting that frees the files of a statement's exchanges at its end.
+FREE_EXCHANGES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the cluster's shared `spark.checkpoint.dir`.
@@ -35,10 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """`df` written once to a shared folder and read from there, so that several uses do not compute it again."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` written once to a shared folder and read from there, so that several uses do not compute it again.
+
+    Files of its exchanges are freed when it is written, as nothing reads them again; else they stay on the
+    executors' disks until the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    path, before = shared_dir(spark), spark.conf.get(FREE_EXCHANGES, None)
+    spark.conf.set(FREE_EXCHANGES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FREE_EXCHANGES) if before is None else spark.conf.set(FREE_EXCHANGES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def write_payments_by_month(

@@ -1,5 +1,6 @@
 """What must not grow with the tables: what the driver holds, rows that are compared, rows that are exchanged."""
 
+import time
 from decimal import Decimal
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from reelflow.operators import changes, inflate, keys, search, text_index
 from reelflow.plans import finance, refresh
-from reelflow.sources import colocated
+from reelflow.sources import colocated, sinks
 from tests.conftest import SF, make, small, ts
 from verification import queries
 
@@ -93,6 +94,27 @@ def test_facts_and_logs_of_the_upkeep_are_computed_once(spark):
         assert "to_json(" not in text and "row_number" not in text
 
 
+def test_the_kept_up_rollup_is_computed_once(spark):
+    text = entry.queries()["upkeep_rollup"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in text and "p_partkey" not in text
+
+
+def test_files_of_exchanges_go_when_a_table_is_stored(spark):
+    def files():
+        env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+        return {n for n in env.blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "/shuffle_" in n}
+
+    before, setting = files(), spark.conf.get(sinks.FREE_EXCHANGES, None)
+    assert sinks.stored(spark.range(1000).groupBy((F.col("id") % 300).alias("k")).count()).count() == 300
+    assert spark.conf.get(sinks.FREE_EXCHANGES, None) == setting
+    for _ in range(50):
+        left = {n for n in files() - before if n.endswith((".data", ".index"))}
+        if len(left) <= 2:  # those of the count of the stored rows
+            break
+        time.sleep(0.2)
+    assert len(left) <= 2
+
+
 def test_a_key_is_exchanged_once_in_a_comparison(spark, tables):
     pairs = tables.film_actor
     log = changes.audit_changes(pairs, pairs.where("film_id % 2 = 0"), ["actor_id", "film_id"], queries.AS_OF)

@@ -522,7 +522,7 @@ def upkeep_status_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFr
 def upkeep_rollup_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
     t = _stored_facts(t, "rental", "payment")
     after = changed_facts(t)
-    stored = refresh.refresh_sales_rollup(t, FIRST_DAY, LAST_DAY)
+    stored = sinks.stored(refresh.refresh_sales_rollup(t, FIRST_DAY, LAST_DAY))  # compared with the changes, and merged
     changed = upkeep.changed_rollup(stored, after, *_logs(t, after), FIRST_DAY, LAST_DAY)
     return upkeep.merged(stored, changed, ["sales_date", "store_id", "category_id"]).drop("last_update")
 
