@@ -83,6 +83,25 @@ def test_inflated_keys_are_grouped_before_the_exchange(spark):
     assert text.count("hashpartitioning(block") == 2
 
 
+def test_facts_of_the_inflated_keys_are_computed_once(spark):
+    text = entry.queries()["inflated_keys"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in text
+
+
+@pytest.mark.parametrize("kind", ["decimal(38,0)", "bigint"])
+def test_a_key_has_the_same_block_with_and_without_a_near_one(spark, kind):
+    """Keys in, below, just above and far from the near block, negative ones, and NULLs."""
+    near = [None, -128, 0, 64, 6400] + [10**30 // 64 * 64] * (kind != "bigint")
+    given = [(k + d, k, new) for k in near if k is not None for d in (-65, -1, 0, 1, 63, 64, 127, 128, 10**9) for new in (True, False)]
+    wide = [(10**38 - 1, -(10**38 - 64), True)] * (kind != "bigint") + [(2**63 - 1, -(2**63) + 64, True)]
+    rows = given + wide + [(5, None, True), (-5, None, False), (None, 64, True), (None, None, False)]
+    data = spark.createDataFrame([(None if k is None else str(k), None if n is None else str(n), new) for k, n, new in rows], "k string, near string, new boolean")
+    data = data.select(F.col("k").cast(kind).alias("k"), F.col("near").cast(kind).alias("near"), "new")
+    got = [(r.new, None if r.block is None else int(r.block), r.at) for r in queries._in_blocks(data, "k").collect()]
+    want = [(new, None if k is None else k // 64 * 64, None if k is None else k % 64) for k, _, new in rows]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_a_change_log_is_parsed_once(spark):
     text = initial_plan(entry.queries()["audit_changes"](spark, SF))
     assert text.count("from_json(") == 2 and "get_json_object" not in text

@@ -328,20 +328,40 @@ def inflate_payment_query(spark: SparkSession, sf: str, t: RentalTables) -> Data
     return sums.select("customer_id", _month(F.make_date("year", "month", F.lit(1))).alias("payment_month"), "n", "n_with_rental", "amount")
 
 
+def _in_blocks(df: DataFrame, key: str) -> DataFrame:
+    """(new, block, at): a key as the multiple of 64 below it and the rest; `near`, where given, is a multiple of 64 that may be the one."""
+    kind = df.schema[key].dataType
+    whole = F.lit(64).cast(kind)
+    far = df.withColumn("far", F.try_subtract(F.col(key), F.col("near")))
+    step = far.withColumn("step", F.when(F.col("far").between(F.lit(0).cast(kind), F.lit(127).cast(kind)), F.col("far").cast("int")))
+    at = step.withColumn("at", F.when(F.col("step").isNotNull(), F.col("step") % 64).otherwise(F.pmod(key, whole).cast("int")))
+    block = F.when(F.col("step") < 64, F.col("near")).when(F.col("step") >= 64, F.col("near") + whole).otherwise(F.col(key) - F.col("at").cast(kind))
+    return at.select("new", block.cast(kind).alias("block"), "at")
+
+
 def inflated_keys_query(spark: SparkSession, sf: str, t: RentalTables) -> DataFrame:
     """After both inflations: rows, distinct keys, unchanged source rows, payments that meet a rental of their customer.
 
     Keys are counted exactly, as bits of 64 neighbours each: copies of a row have keys in a row, so they are one or two
     groups before the exchange. Rentals beyond the keys that payments name are left out of the meeting.
+
+    Payments' keys are wide decimals, whose remainder takes ten times as long as their difference. So a block near a
+    row's copies is found once, before there are copies, and a key within it or the next one needs its distance only; any
+    other key is divided as it is. The facts are written once, as both counts and the meeting read them.
     """
+    paid = sinks.stored(t.payment.select("payment_id", "customer_id", "rental_id", "payment_date"))
+    t = t.replacing(payment=paid, rental=sinks.stored(t.rental))
     tasks = inflate.task_count(t.payment)
-    payment = inflate.inflate_payment(t.payment.repartition(tasks, "payment_id"))
+    first = keys.first_copied_key(t.payment, "payment_id", (1 << len(inflate.STEP_YEARS)) - 1)
+    near = t.payment.repartition(tasks, "payment_id").withColumn("near", first)
+    payment = inflate.inflate_payment(near.withColumn("near", F.col("near") - F.pmod("near", F.lit(64).cast(near.schema["near"].dataType))))
     rental = inflate.inflate_rental(t.rental)
 
     def keys_of(grown: DataFrame, source: DataFrame, key: str) -> DataFrame:
-        both = grown.select(key, F.lit(True).alias("new")).unionByName(source.select(key, F.lit(False).alias("new")))
-        at = F.pmod(F.col(key), F.lit(64).cast(source.schema[key].dataType))
-        bits = both.select("new", (F.col(key) - at).alias("block"), at.cast("int").alias("at")).withColumn("bit", F.expr("shiftleft(1L, at)"))
+        kind = source.schema[key].dataType
+        hint = "near" if "near" in grown.columns else F.lit(None).cast(kind).alias("near")
+        both = grown.select(key, hint, F.lit(True).alias("new")).unionByName(source.select(key, F.lit(None).cast(kind).alias("near"), F.lit(False).alias("new")))
+        bits = _in_blocks(both, key).withColumn("bit", F.expr("shiftleft(1L, at)"))
         blocks = bits.groupBy("block").agg(
             F.count_if("new").alias("n"),
             F.coalesce(F.bit_or(F.when(F.col("new"), F.col("bit"))), F.lit(0)).alias("found"),
