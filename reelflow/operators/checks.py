@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelflow.sources import schemas
@@ -49,53 +49,59 @@ def _missing(tables: RentalTables, needed: Sequence[tuple[str, Sequence[str]]])
     return any(t not in known or not set(columns) <= set(tables[t].columns) for t, columns in needed)
 
 
-def _report(tables: RentalTables, constraints: list[dict], entries: dict[str, list[Column]], broken: Column, rows: Column) -> DataFrame:
-    """One row for each constraint; `entries` are, by table, (constraint, key, is_child) structs for every row.
+def _tallied(spark: SparkSession, constraints: list[dict], per_key: Sequence[DataFrame]) -> DataFrame:
+    """One row for each constraint, from the broken keys (number, n) of the checked ones.
 
-    Each table is scanned once for all its constraints. Keys are counted before the shuffle, then
-    the broken ones per constraint. A constraint whose table or column is not there is not left
-    out: it has `checked` false and no counts.
+    A constraint whose table or column is not there is not left out: it has `checked` false and no counts.
     """
-    parts = [tables[t].select(F.explode(F.array(*own)).alias("e")).select("e.*") for t, own in entries.items()]
-    spark = tables[next(iter(entries))].sparkSession
-    per_key = reduce(DataFrame.unionByName, parts).where("key is not null").groupBy("number", "key")
-    per_key = per_key.agg(F.count_if("is_child").alias("n_child"), F.count_if(~F.col("is_child")).alias("n_parent"))
-    tally = per_key.where(broken).groupBy("number").agg(F.count(F.lit(1)).alias("bad_keys"), F.sum(rows).cast("long").alias("bad_rows"))
     names = [c for c in constraints[0] if c != "checked"]
     given = spark.createDataFrame([(k, *c.values()) for k, c in enumerate(constraints)], ["number", *constraints[0]])
+    broken = reduce(DataFrame.unionByName, per_key, spark.createDataFrame([], "number int, n long"))
+    tally = broken.groupBy("number").agg(F.count(F.lit(1)).alias("bad_keys"), F.sum("n").cast("long").alias("bad_rows"))
     zero = lambda c: F.when(F.col("checked"), F.coalesce(c, F.lit(0))).alias(c)
     return given.join(tally, "number", "left").select(*names, "checked", zero("bad_keys"), zero("bad_rows"))
 
 
-def _entry(number: int, keys: Sequence[str], is_child: bool) -> Column:
-    present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    text = F.col(keys[0]).cast("string") if len(keys) == 1 else F.to_json(F.struct(*keys))
-    return F.struct(F.lit(number).alias("number"), F.when(present, text).alias("key"), F.lit(is_child).alias("is_child"))
-
-
 def unique_report(tables: RentalTables) -> DataFrame:
-    """Violations of every declared primary and unique key, from one scan of each table."""
+    """Violations of every declared primary and unique key.
+
+    Rows are counted by the key columns themselves: those of a table that its keys already place are not exchanged
+    again, and none is written as text. A table with several keys is read once for each of them.
+    """
     wanted = [(t, k) for t, k in schemas.PRIMARY_KEYS.items()]
     wanted += [(t, k) for t, keys in schemas.UNIQUE_KEYS.items() for k in keys]
-    constraints, entries = [], {}
+    constraints, per_key = [], []
     for number, (table, keys) in enumerate(wanted):
         checked = not _missing(tables, [(table, keys)])
         constraints.append({"table_name": table, "constraint_columns": ",".join(keys), "checked": checked})
         if checked:
-            entries.setdefault(table, []).append(_entry(number, keys, True))
-    return _report(tables, constraints, entries, F.col("n_child") > 1, F.col("n_child"))
+            per_key.append(check_unique(tables[table], keys).select(F.lit(number).alias("number"), "n"))
+    return _tallied(tables[tables.names()[0]].sparkSession, constraints, per_key)
 
 
 def foreign_key_report(tables: RentalTables) -> DataFrame:
-    """Violations of every declared foreign key, from one scan of each table."""
+    """Violations of every declared foreign key, from one scan of each table.
+
+    Constraints whose keys are of one type meet in one exchange, in that type; only where the two sides of one differ, its
+    keys are compared as text. Keys are counted before the exchange.
+    """
     constraints, entries = [], {}
     for number, (child, column, parent, parent_column) in enumerate(schemas.FOREIGN_KEYS):
         checked = not _missing(tables, [(child, [column]), (parent, [parent_column])])
         constraints.append({"table_name": child, "constraint_columns": column, "parent_table": parent, "checked": checked})
         if checked:
-            entries.setdefault(child, []).append(_entry(number, [column], True))
-            entries.setdefault(parent, []).append(_entry(number, [parent_column], False))
-    return _report(tables, constraints, entries, (F.col("n_parent") == 0) & (F.col("n_child") > 0), F.col("n_child"))
+            kinds = {tables[t].schema[c].dataType.simpleString() for t, c in ((child, column), (parent, parent_column))}
+            kind = kinds.pop() if len(kinds) == 1 else "string"
+            for t, c, is_child in ((child, column, True), (parent, parent_column, False)):
+                entry = F.struct(F.lit(number).alias("number"), F.col(c).cast(kind).alias("key"), F.lit(is_child).alias("is_child"))
+                entries.setdefault(kind, {}).setdefault(t, []).append(entry)
+    per_key = []
+    for own in entries.values():
+        parts = [tables[t].select(F.explode(F.array(*e)).alias("e")).select("e.*") for t, e in own.items()]
+        met = reduce(DataFrame.unionByName, parts).where("key is not null").groupBy("number", "key")
+        met = met.agg(F.count_if("is_child").alias("n"), F.max(~F.col("is_child")).alias("known"))
+        per_key.append(met.where("n > 0 and not known").select("number", "n"))
+    return _tallied(tables[tables.names()[0]].sparkSession, constraints, per_key)
 
 
 def domain_report(tables: RentalTables) -> DataFrame:

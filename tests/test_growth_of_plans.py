@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from reelflow.operators import changes, inflate, keys, search, text_index
+from reelflow.operators import changes, checks, inflate, keys, search, text_index
 from reelflow.plans import finance, refresh
 from reelflow.sources import colocated, sinks
 from tests.conftest import SF, make, small, ts
@@ -134,6 +134,33 @@ def test_files_of_exchanges_go_when_a_table_is_stored(spark):
     assert len(left) <= 2
 
 
+@pytest.mark.parametrize("name", ["check_unique_report"])
+def test_reports_compute_rentals_and_daily_sales_once_and_keep_the_keys_types(spark, name):
+    text = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json(" not in text and not any("Aggregate [l_orderkey" in line for line in text.splitlines())
+
+
+def test_rows_that_their_key_places_are_not_exchanged_by_the_unique_report(spark, tables):
+    pairs = checks.check_unique(tables.film_actor, ["actor_id", "film_id"])
+    assert initial_plan(pairs).count("Exchange hashpartitioning(") == 1
+    report = initial_plan(checks.unique_report(tables))
+    lines = [line for line in report.splitlines() if "Exchange hashpartitioning(actor_id" in line and "film_id" in line]
+    assert len(lines) == 1 and "to_json(" not in report
+
+
+def test_unique_report_tells_times_within_a_millisecond(spark):
+    at = {"inventory_id": 1, "customer_id": 1, "rental_date": ts("2001-01-01 00:00:00.000001")}
+    later = {**at, "rental_date": ts("2001-01-01 00:00:00.000002")}
+    t = small(spark, rental=[{"rental_id": 1, **at}, {"rental_id": 2, **later}, {"rental_id": 3, **at}, {"rental_id": 3, **later, "customer_id": 2}],
+              store=[{"store_id": 1, "manager_staff_id": 5}, {"store_id": 2, "manager_staff_id": 5}])
+    t = t.replacing(customer_kpis=t.customer_kpis.drop("customer_id"), store=t.store.withColumn("store_id", F.when(F.col("store_id") == 1, 1)))
+    report = {(r.table_name, r.constraint_columns): (r.checked, r.bad_keys, r.bad_rows) for r in checks.unique_report(t).collect()}
+    assert len(report) == 23
+    assert report["rental", "rental_id"] == (True, 1, 2) and report["rental", "rental_date,inventory_id,customer_id"] == (True, 1, 2)
+    assert report["store", "store_id"] == (True, 0, 0) and report["store", "manager_staff_id"] == (True, 1, 2)
+    assert report["customer_kpis", "customer_id"] == (False, None, None)
+
+
 def test_a_key_is_exchanged_once_in_a_comparison(spark, tables):
     pairs = tables.film_actor
     log = changes.audit_changes(pairs, pairs.where("film_id % 2 = 0"), ["actor_id", "film_id"], queries.AS_OF)
