@@ -134,7 +134,7 @@ def test_files_of_exchanges_go_when_a_table_is_stored(spark):
     assert len(left) <= 2
 
 
-@pytest.mark.parametrize("name", ["check_unique_report"])
+@pytest.mark.parametrize("name", ["check_unique_report", "check_foreign_key"])
 def test_reports_compute_rentals_and_daily_sales_once_and_keep_the_keys_types(spark, name):
     text = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "to_json(" not in text and not any("Aggregate [l_orderkey" in line for line in text.splitlines())
@@ -161,6 +161,13 @@ def test_unique_report_tells_times_within_a_millisecond(spark):
     assert report["customer_kpis", "customer_id"] == (False, None, None)
 
 
+def test_foreign_keys_of_two_types_meet_as_text(spark):
+    t = small(spark, staff=[{"staff_id": 1, "store_id": 1}, {"staff_id": 2, "store_id": 9}, {"staff_id": 3, "store_id": 9}], store=[{"store_id": 1, "manager_staff_id": 2}])
+    t = t.replacing(staff=t.staff.withColumn("store_id", F.col("store_id").cast("decimal(38,0)")))
+    report = {(r.table_name, r.constraint_columns): (r.bad_keys, r.bad_rows) for r in checks.foreign_key_report(t).collect()}
+    assert report["staff", "store_id"] == (1, 2) and report["store", "manager_staff_id"] == (0, 0) and report["store", "address_id"] == (1, 1)
+
+
 def test_a_key_is_exchanged_once_in_a_comparison(spark, tables):
     pairs = tables.film_actor
     log = changes.audit_changes(pairs, pairs.where("film_id % 2 = 0"), ["actor_id", "film_id"], queries.AS_OF)

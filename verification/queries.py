@@ -770,7 +770,7 @@ REGISTRY: dict[str, Query] = {
     "streamed_status": streamed_status_query,
     "check_unique": check_unique_query,
     "check_unique_report": lambda spark, sf, t: checks.unique_report(_for_report(t)),
-    "check_foreign_key": lambda spark, sf, t: checks.foreign_key_report(_with_rollup(t)),
+    "check_foreign_key": lambda spark, sf, t: checks.foreign_key_report(_for_report(t)),
     "check_domain": check_domain_query,
     "check_not_null": check_not_null_query,
     "check_required": lambda spark, sf, t: checks.not_null_report(_with_rollup(t)),
